@@ -14,6 +14,7 @@ both can be broadcast whatever the data size.
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -97,7 +98,13 @@ def _as_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
-    raise TypeError(f"order column {name} must be a number, date or timestamp")
+    if isinstance(kind, T.StringType):
+        # The first six bytes after the prefix all values share, as a number.
+        low, high = df.agg(F.min(name), F.max(name)).first()
+        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+        digits = F.substring(F.hex(F.encode(name, "UTF-8")), 2 * shared + 1, 12)
+        return F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double")
+    raise TypeError(f"order column {name} must be a number, text, date or timestamp")
 
 
 def _order_number(df: DataFrame, order: Sequence[str]) -> Column:
@@ -350,3 +357,41 @@ def hot_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, alias
         .agg(at(lo).alias("_lo"), at(hi).alias("_hi"), F.max(place - lo).alias("_w"))
         .select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).cast("double").alias(alias))
     )
+
+
+def group_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    aggs: dict[str, Column],
+    medians: dict[str, str],
+    hot: DataFrame | None = None,
+    probe: bool = True,
+) -> DataFrame:
+    """``groupBy`` with exact medians of arbitrary columns. Medians of hot groups are read
+    off running counts instead of one task's buffer."""
+    keys = list(keys)
+    if hot is None and probe:
+        hot = hot_groups(df, keys)
+    plain = [e.alias(n) for n, e in aggs.items()]
+    if hot is None:
+        return df.groupBy(*keys).agg(*plain, *[F.percentile(c, F.lit(0.5)).alias(n) for n, c in medians.items()])
+    flagged = _attach(df, hot.select(*keys, F.lit(True).alias("_hot")), keys)
+    out = flagged.groupBy(*keys).agg(
+        *plain, *[F.percentile(F.when(F.col("_hot").isNull(), F.col(c)), F.lit(0.5)).alias(n) for n, c in medians.items()]
+    )
+    few = keep_hot(df, hot, keys)
+    for name, column in medians.items():
+        out = _attach(out, hot_quantile(few, keys, column, 0.5, "_exact"), keys)
+        out = out.withColumn(name, F.coalesce("_exact", name)).drop("_exact")
+    return out
+
+
+def spread_back(df: DataFrame, keys: Sequence[str], value: Column, name: str, hot: DataFrame | None) -> DataFrame:
+    """A combinable per-group aggregate as a column of every row: a window over small groups,
+    an aggregate joined back where a group is hot."""
+    keys = list(keys)
+    if hot is None:
+        parts = [F.col(k) for k in keys] or [F.lit(0)]
+        return df.withColumn(name, value.over(Window.partitionBy(*parts)))
+    sizes = df.groupBy(*keys).agg(value.alias(name))
+    return join_one_row(df, sizes, keys, hot, "left")

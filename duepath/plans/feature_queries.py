@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from duepath.operators import features as ft
-from duepath.plans.registry import register, rounded
+from duepath.plans.registry import register
 from duepath.sources import tables as fx
 
 SQL: dict[str, str] = {
@@ -114,10 +116,21 @@ left join dx_instal i using (case_id) left join dx_bal b using (case_id)""",
 }
 
 
+# Money averages often end in a 5 at the seventh place, where two engines may round apart.
+DIGITS = {
+    "avg_overdue_amount_24m": 7, "avg_instalment_amount": 7, "agg_instal_mean": 7, "avg_overdue_amount_6m": 7,
+    "avg_overdue_6m_minus_24m": 7,
+}
+
+
 def column_sql(name: str) -> str:
     default = next(s.default for s in ft.SPECS if s.name == name)
     value = name if default is None else f"coalesce({name}, 0)"
-    return f"round(cast({value} as double), 6) as {name}"
+    return f"round(cast({value} as double), {DIGITS.get(name, 6)}) as {name}"
+
+
+def shown(df):
+    return df.select("case_id", *[F.round(c, DIGITS.get(c, 6)).alias(c) for c in df.columns if c != "case_id"])
 
 
 # The matrix with defaults filled, for other queries to build on.
@@ -138,7 +151,7 @@ def matrix(spark, folder, names=ft.NAMES):
 
 
 def _one(name: str):
-    return lambda spark, folder: rounded(matrix(spark, folder, [name]))
+    return lambda spark, folder: shown(matrix(spark, folder, [name]))
 
 
 for _i, _spec in enumerate(ft.SPECS, start=1):
@@ -148,4 +161,4 @@ for _i, _spec in enumerate(ft.SPECS, start=1):
 
 register(
     "feature_matrix", "select case_id, " + ", ".join(column_sql(n) for n in ft.NAMES) + " from dx_features", SQL
-)(lambda spark, folder: rounded(matrix(spark, folder)))
+)(lambda spark, folder: shown(matrix(spark, folder)))

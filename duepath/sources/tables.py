@@ -120,3 +120,136 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), _text("user_id").alias("req_key")
     )
+
+
+# -- the raw bureau shape: numbered columns, text in numeric columns, several tables -------------
+
+
+def bureau_a(spark: SparkSession, folder: str) -> DataFrame:
+    """Depth-2 payments timed by year and month; some dates and lateness values are garbage."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, folder, "lineitem").filter("l_linestatus = 'O'")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").alias("case_id"),
+        (F.col("l_linenumber") % 3).alias("num_group1"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num_group2"),
+        F.when(F.col("l_partkey") % 51 != 0, F.year("l_shipdate")).alias("pmts_year_1139T"),
+        F.when(F.col("l_partkey") % 50 == 0, 13).otherwise(F.month("l_shipdate")).alias("pmts_month_158T"),
+        F.when(F.col("l_suppkey") % 10 == 0, "n/a")
+        .otherwise((F.col("l_quantity") * 4 - 20).cast("int").cast("string"))
+        .alias("pmts_dpd_1073P"),
+        (F.col("l_extendedprice") * F.col("l_discount") - 100).alias("pmts_overdue_1140A"),
+    )
+
+
+def bureau_b(spark: SparkSession, folder: str) -> DataFrame:
+    """Depth-2 payments timed by date; lateness holds absurd outliers."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, folder, "lineitem").filter("l_linestatus = 'F'")
+    return li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.col("o_custkey").alias("case_id"),
+        (F.col("l_linenumber") % 3).alias("num_group1"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("num_group2"),
+        F.when(F.col("l_partkey") % 40 != 0, F.col("l_shipdate").cast("date").cast("string")).alias("pmts_date_1107D"),
+        F.when(F.col("l_partkey") % 30 == 0, 185124192.0).when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("pmts_dpdvalue_108P"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_extendedprice") * F.col("l_tax")).alias("pmts_pmtsoverdue_635A"),
+    )
+
+
+def applprev(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders")
+    return o.select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderkey").alias("num_group1"),
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice") / 120).alias("annuity_853A"),
+        F.when(F.col("o_orderkey") % 5 == 0, "x").otherwise((F.col("o_orderkey") % 1000 - 100).cast("string")).alias("annuity_780A"),
+        F.col("o_orderdate").cast("date").cast("string").alias("creationdate_885D"),
+    )
+
+
+def static_0(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer").filter("c_custkey % 3 = 0")
+    return c.select(F.col("c_custkey").alias("case_id"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("maininc_215A"))
+
+
+def static_cb_0(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer").filter("c_custkey % 2 = 0")
+    return c.select(F.col("c_custkey").alias("case_id"), (F.abs("c_acctbal") + 7).alias("maininc_215A"))
+
+
+def debitcard(spark: SparkSession, folder: str) -> DataFrame:
+    o = table(spark, folder, "orders").filter("o_orderkey % 3 = 0")
+    return o.select(
+        F.col("o_custkey").alias("case_id"),
+        F.col("o_orderkey").alias("num_group1"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice") / 100).alias("last180dayaveragebalance_704A"),
+    )
+
+
+def person(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer")
+    rows = c.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("num_group1"))
+    return rows.select(
+        F.col("c_custkey").alias("case_id"),
+        "num_group1",
+        (F.col("c_acctbal") - F.col("num_group1")).alias("mainoccupationinc_384A"),
+        F.concat(F.lit(" "), F.col("c_mktsegment")).alias("incometype_1044T"),
+        F.when(F.col("c_custkey") % 5 == 0, "  ").otherwise(F.concat(F.lit("edu"), F.col("c_nationkey").cast("string"))).alias("education_927M"),
+        F.when(F.col("c_nationkey") % 2 == 0, "OWNED ").otherwise("RENTED").alias("housetype_905L"),
+        F.lit(None).cast("string").alias("empl_employedtotal_800L"),
+    )
+
+
+def base(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "customer").filter("c_custkey % 10 <> 9")
+    return c.select(
+        F.col("c_custkey").alias("case_id"),
+        F.lit(AS_OF).alias("date_decision"),
+        F.when(F.col("c_custkey") % 11 != 0, F.when(F.col("c_acctbal") < 2000, 1).otherwise(0)).alias("target"),
+        (F.col("c_custkey") % 40).cast("int").alias("wk"),
+    )
+
+
+def account_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """Account rows as a bank's JSON text: one page of a fetch per account and month.
+
+    A page holds one account's rows of one order-key block, so no page can grow with the data.
+    """
+    o = table(spark, folder, "orders")
+    txn = F.struct(
+        F.col("o_orderkey").cast("string").alias("transaction_id"),
+        F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("amount"),
+        F.col("o_orderpriority").alias("description"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Shop-"), F.col("o_custkey").cast("string"))).alias("merchant_name"),
+        F.lit("DIRECT_DEBIT").alias("transaction_category"),
+    )
+    balance = F.struct(
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice") / 10).alias("current"),
+        (F.col("o_totalprice") / 20).alias("available"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("update_timestamp"),
+        F.when(F.col("o_orderkey") % 3 == 1, "2001-01-05T10:00:00+02:00").alias("timestamp"),
+    )
+    pages = o.groupBy("o_custkey", F.floor(F.col("o_orderkey") / 50).alias("page")).agg(
+        F.collect_list(txn).alias("transactions"), F.collect_list(balance).alias("balances"),
+        F.collect_list(F.when(F.col("o_orderkey") % 4 == 1, F.struct(
+            F.lit("DD").alias("name"), F.col("o_orderpriority").alias("merchant_name"),
+            (F.col("o_totalprice") / 120).alias("amount")))).alias("direct_debits"),
+        F.collect_list(F.when(F.col("o_orderkey") % 4 == 2, F.struct(
+            F.col("o_orderstatus").alias("name"), F.lit(None).cast("string").alias("merchant_name"),
+            (F.col("o_totalprice") / 120 - 1000).alias("amount")))).alias("standing_orders"),
+    )
+    account = F.struct(
+        F.concat(F.lit("acc"), F.col("o_custkey").cast("string"), F.lit("-"), (F.col("page") % 2).cast("string")).alias("account_id"),
+        F.when(F.col("page") % 3 == 0, "savings").when(F.col("page") % 3 == 1, "TRANSACTION").otherwise("CREDIT_CARD").alias("account_type"),
+        "transactions", "balances", "direct_debits", "standing_orders",
+    )
+    return pages.select(
+        F.to_json(
+            F.struct(
+                F.col("o_custkey").cast("string").alias("case_id"),
+                F.lit(AS_OF).alias("as_of"),
+                F.array(account).alias("accounts"),
+            )
+        ).alias("payload")
+    )
