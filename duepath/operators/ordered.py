@@ -107,44 +107,61 @@ def _as_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order column {name} must be a number, text, date or timestamp")
 
 
-def _order_number(df: DataFrame, order: Sequence[str]) -> Column:
-    """One double that never falls along (order[0], order[1]); ties stay together."""
+def _order_numbers(df: DataFrame, order: Sequence[str]) -> Column:
+    """The first two order columns as numbers. Neither falls along the order, so rows that
+    compare equal here stay in one segment and the segments are contiguous."""
     first = _as_number(df, order[0])
-    if len(order) == 1:
-        return first
-    if len(order) > 2 or not isinstance(df.schema[order[0]].dataType, T.DateType):
-        return first
-    second = _as_number(df, order[1])
-    low, high = df.agg(F.min(second), F.max(second)).first()
-    if low is None:
-        return first
-    return first + (second - F.lit(low)) / F.lit(high - low + 1.0)
-
-
-def _segment_cuts(df: DataFrame, keys: Sequence[str], number: Column, hot: DataFrame) -> DataFrame:
-    """Cut points of every hot group, fixed as literals so a recomputed task agrees."""
+    second = _as_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
+    return F.struct(first.alias("a"), second.alias("b"))
+
+
+def _segment_cuts(df: DataFrame, keys: Sequence[str], place: Column, hot: DataFrame) -> DataFrame:
+    """Cut points of every hot group, fixed as literals so a recomputed task agrees.
+
+    Quantiles of the first order column give the cuts; a value that fills several of them
+    is cut again along the second column.
+    """
+    keys = list(keys)
     limit = hot_limit(df)
     sizes = hot.agg(F.sum("_rows"), F.max("_rows")).first()
     per_segment = max(limit, math.ceil(sizes[0] / MAX_SEGMENTS))
     grid = max(2, min(MAX_SEGMENTS, math.ceil(sizes[1] / per_segment)))
-    fractions = F.array(*[F.lit(i / grid) for i in range(1, grid)])
-    quantiles = (
-        keep_hot(df, hot, keys)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(number, fractions, 20 * grid).alias("_q"), F.count(F.lit(1)).alias("_rows"))
-    )
-    wanted = F.greatest(F.lit(2), F.least(F.lit(grid), F.ceil(F.col("_rows") / F.lit(per_segment)))).cast("int")
-    cuts = quantiles.select(
-        *keys,
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), wanted - 1),
-                lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * F.lit(grid) / wanted)).cast("int")),
-            )
-        ).alias("_cuts"),
+    rows = keep_hot(df, hot, keys).select(*keys, place.alias("_p"))
+    accuracy = 20 * grid
+
+    def quantiles(column: str) -> Column:
+        return F.percentile_approx(column, F.array(*[F.lit(i / grid) for i in range(1, grid)]), F.lit(accuracy))
+
+    def picked(wanted: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), wanted - 1),
+            lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * F.lit(grid) / wanted)).cast("int")),
+        )
+
+    wanted = F.greatest(F.lit(2), F.least(F.lit(grid), F.ceil(F.col("_n") / F.lit(per_segment)))).cast("int")
+    first = (
+        rows.groupBy(*keys)
+        .agg(quantiles("_p.a").alias("_q"), F.count(F.lit(1)).alias("_n"))
+        .select(*keys, F.explode(picked(wanted)).alias("a"))
+        .groupBy(*keys, "a")
+        .agg(F.count(F.lit(1)).alias("_m"))
     )
-    rows = cuts.collect()
-    return df.sparkSession.createDataFrame(rows, cuts.schema)
+    spec = T.StructType([*[df.schema[k] for k in keys], T.StructField("a", T.DoubleType()), T.StructField("_m", T.LongType())])
+    spark = df.sparkSession
+    first = spark.createDataFrame(first.select(*keys, "a", "_m").collect(), spec)
+    cuts = first.select(*keys, F.struct(F.col("a"), F.lit(float("-inf")).alias("b")).alias("c"))
+    heavy = first.filter(F.col("_m") > 1)
+    if heavy.count():
+        again = (
+            _attach(rows.withColumn("a", F.col("_p.a")), heavy, [*keys, "a"])
+            .filter(F.col("_m").isNotNull())
+            .groupBy(*keys, "a", "_m")
+            .agg(quantiles("_p.b").alias("_q"))
+            .select(*keys, "a", F.explode(picked(F.least(F.lit(grid), F.col("_m") + 1).cast("int"))).alias("b"))
+        )
+        cuts = cuts.unionByName(again.select(*keys, F.struct("a", "b").alias("c")))
+    out = cuts.groupBy(*keys).agg(F.sort_array(F.collect_set("c")).alias("_cuts"))
+    return spark.createDataFrame(out.collect(), out.schema)
 
 
 @dataclass(frozen=True)
@@ -201,12 +218,12 @@ class OrderedGroups:
         if hot is not None:
             # The segments are read several times; a written table keeps that cheap and stable.
             df = df if written else cut_lineage(df, "ordered")
-            number = _order_number(keep_hot(df, hot, self.keys), self.order)
-            cuts = _segment_cuts(df, self.keys, number, hot)
+            place = _order_numbers(keep_hot(df, hot, self.keys), self.order)
+            cuts = _segment_cuts(df, self.keys, place, hot)
             df = _attach(df, cuts, self.keys)
             df = df.withColumn(
                 SEG,
-                F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= number))),
+                F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= place))),
             ).drop("_cuts")
         self.df = df
 

@@ -1,4 +1,4 @@
 """All registered queries, in one import."""
 
-from duepath.plans import feature_queries, history_queries, source_queries  # noqa: F401
+from duepath.plans import feature_queries, history_queries, metric_queries, source_queries  # noqa: F401
 from duepath.plans.registry import ORACLE, QUERIES  # noqa: F401
