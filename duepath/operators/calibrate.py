@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duepath.functions import score as sc
 from duepath.operators.ordered import Index, Lag, OrderedGroups, RunningSum, Total
 from duepath.operators.ranking import score_counts
+from duepath.session import cut_lineage
 
 TOL = 1e-12
 
@@ -27,7 +29,8 @@ def knots(df: DataFrame, score: str = "raw", target: str = "target") -> DataFram
 def binned_knots(df: DataFrame, bins: int = 2000, score: str = "raw", target: str = "target") -> DataFrame:
     """Distinct scores pooled into quantile bins. Edges are interpolated quantiles of the
     rows; a score equal to an edge goes to the bin above it; x is the mean score of a bin."""
-    points = knots(df, score, target)
+    # One pass over the rows; everything after works on the written counts.
+    points = cut_lineage(knots(df, score, target), "score-counts")
     total = points.agg(F.sum("n")).first()[0] or 0
     if bins <= 1 or total <= bins:
         return points
@@ -255,7 +258,7 @@ def plateau_z(fitted: DataFrame, low_x: float, high_x: float, n_knots: int) -> f
 
 def fit(df: DataFrame, score: str = "raw", target: str = "target", bins: int = 0, **options) -> Calibrator:
     """Fit on distinct scores, or on at most ``bins`` pooled ones."""
-    points = binned_knots(df, bins, score, target) if bins else knots(df, score, target)
+    points = cut_lineage(binned_knots(df, bins, score, target) if bins else knots(df, score, target), "knots")
     model, fitted = isotonic(points)
     ends = terminal_runs(fitted).first()
     z = {
@@ -502,12 +505,12 @@ def _beta_ppf(a: float, b: float, q: float) -> float:
     return 0.5 * (lo + hi)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_quantile(a: pd.Series, b: pd.Series, q: pd.Series) -> pd.Series:
     return pd.Series([_beta_ppf(x, y, z) for x, y, z in zip(a, b, q)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def beta_share(a: pd.Series, b: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
     return pd.Series([max(0.0, min(1.0, _beta_cdf(x, y, h) - _beta_cdf(x, y, l))) for x, y, l, h in zip(a, b, lo, hi)])
 

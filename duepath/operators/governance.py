@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duepath.functions import clean, score
 from duepath.operators.ordered import Index, Lag, OrderedGroups, RunningMax, hot_groups, join_one_row
+from duepath.session import cut_lineage
 
 COOLDOWN_DAYS = 28
 ZERO_HASH = "0" * 64
@@ -18,13 +19,13 @@ ZERO_HASH = "0" * 64
 # -- history ---------------------------------------------------------------------------------------
 
 
-def recent_scores(history: DataFrame, limit: int = 10) -> DataFrame:
+def recent_scores(history: DataFrame, limit: int = 10, digits: int = 1) -> DataFrame:
     """Newest scores of each key with the change against the next older one shown. Ranking
     with a limit is applied before the shuffle, so a busy key sends few rows."""
     newest = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("seq"))
     kept = history.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= limit)
     older = F.lead("score").over(Window.partitionBy("key").orderBy("_rn"))
-    return kept.withColumn("delta", F.bround(F.col("score") - older, 1)).drop("_rn")
+    return kept.withColumn("delta", F.bround(F.col("score") - older, digits)).drop("_rn")
 
 
 # -- events ----------------------------------------------------------------------------------------
@@ -63,11 +64,21 @@ def validate_events(events: DataFrame) -> DataFrame:
 
 
 def _json_number(value: Column) -> Column:
-    """Number text of a JSON number; an integral value has no decimal point."""
+    """Number text as JSON writers print it: integral values without a decimal point, plain
+    digits between 1e-6 and 1e21, an exponent outside."""
     d = value.cast("double")
-    whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
-    text = F.when(whole, d.cast("bigint").cast("string")).otherwise(d.cast("string"))
-    return F.when(value.isNull() | F.isnan(d), "null").otherwise(text)
+    size = F.abs(d)
+    shortest = F.regexp_replace(F.lower(d.cast("string")), r"\.0e", "e")
+    plain = F.regexp_replace(d.try_cast("decimal(38,23)").cast("string"), "0+$", "")
+    whole = (d == F.floor(d)) & (size < 1e21)
+    text = (
+        F.when(whole, d.try_cast("decimal(38,0)").cast("string"))
+        .when(size >= 1e21, F.regexp_replace(shortest, "e(?=[0-9])", "e+"))
+        .when(size < 1e-6, shortest)
+        .when((size < 1e-3) | (size >= 1e7), plain)
+        .otherwise(d.cast("string"))
+    )
+    return F.when(value.isNull() | F.isnan(d) | (size == float("inf")), "null").otherwise(text)
 
 
 def _json_text(value: Column) -> Column:
@@ -119,7 +130,7 @@ def tampered(stored: DataFrame, event_text: Column, anchored: str = "anchored_ha
 
 def pair_hash(a: Column, b: Column) -> Column:
     """Parent of two nodes; the smaller one comes first, so order does not matter."""
-    return F.sha2(F.concat(F.least(a, b), F.greatest(a, b)), 256)
+    return F.sha2(F.unhex(F.concat(F.least(a, b), F.greatest(a, b))), 256)
 
 
 def merkle_roots(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str = "leaf") -> DataFrame:
@@ -128,11 +139,14 @@ def merkle_roots(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str
     numbered = OrderedGroups(leaves.select(*batch, F.col(leaf).alias("h"), order), list(batch), [order]).add(pos=Index()).done()
     level = numbered.select(*batch, "pos", "h")
     largest = level.groupBy(*batch).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
+    depth = 0
     while largest > 1:
         level = level.groupBy(*batch, F.floor(F.col("pos") / 2).alias("pos")).agg(
             F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"), F.count(F.lit(1)).alias("c"))
         level = level.select(*batch, "pos", F.when(F.col("c") == 2, pair_hash(F.col("a"), F.col("b"))).otherwise(F.col("a")).alias("h"))
-        largest = (largest + 1) // 2
+        largest, depth = (largest + 1) // 2, depth + 1
+        if depth % 8 == 0:
+            level = cut_lineage(level, "merkle")
     return level.select(*batch, F.col("h").alias("root"))
 
 
@@ -230,6 +244,14 @@ def quota_usage(log: DataFrame, limit: int) -> DataFrame:
         "remaining", F.greatest(F.lit(limit) - F.col("used"), F.lit(0)))
 
 
+def rate_flags(hits: DataFrame, limit: int = 20, window_seconds: int = 3600) -> DataFrame:
+    """Raw hits beyond ``limit`` per key and rolling window: a hit is one too many when the
+    hit ``limit`` places earlier is still inside the window."""
+    rows = OrderedGroups(hits, ["req_key"], ["ts", "seq"]).add(_back=Lag("ts", limit)).done()
+    inside = F.unix_micros("ts") - F.unix_micros("_back") < F.lit(window_seconds * 1_000_000)
+    return rows.withColumn("over_limit", F.coalesce(inside, F.lit(False))).drop("_back")
+
+
 def next_allowed(log: DataFrame) -> DataFrame:
     return log.groupBy("user_hash").agg((F.max("ts") + F.expr(f"INTERVAL {COOLDOWN_DAYS} DAYS")).alias("next_at"))
 

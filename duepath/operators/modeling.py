@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from duepath.functions import score as sc
 from duepath.operators import flags
 from duepath.operators import metrics
-from duepath.operators.ordered import Index, OrderedGroups
+from duepath.operators.ordered import Index, Lag, OrderedGroups, RunningSum
 from duepath.operators.ranking import two_way_split
 
 
@@ -107,14 +107,10 @@ def monotone_audit(scored: DataFrame, feature: str, direction: int, pred: str =
     """Mean prediction per quantile bin of a feature, and whether the steps keep the sign."""
     known = scored.filter(F.col(feature).isNotNull()).select(F.col(feature).cast("double").alias("x"), F.col(pred).alias("p"))
     values = known.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.sum("p").alias("sp"))
-    from duepath.operators.ordered import RunningSum
-
     cum = OrderedGroups(values, [], ["x"]).add(_cum=RunningSum("c")).done()
     total = known.count()
     b = F.least(F.floor((F.col("_cum") - F.col("c")) * bins / F.lit(max(1, total))), F.lit(bins - 1)).cast("int")
     table = cum.groupBy(b.alias("bin")).agg(F.sum("c").alias("n"), (F.sum("sp") / F.sum("c")).alias("mean_pred"), F.min("x").alias("x_lo"), F.max("x").alias("x_hi"))
-    from duepath.operators.ordered import Lag
-
     steps = OrderedGroups(table, [], ["bin"]).add(_prev=Lag("mean_pred")).done()
     moved = F.col("mean_pred") - F.col("_prev")
     against = F.lit(False) if direction == 0 else F.coalesce(moved * direction < -1e-12, F.lit(False))
@@ -131,8 +127,6 @@ def leave_one_out(train: DataFrame, test: DataFrame, columns: Sequence[str], fit
 def shuffled(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
     """The frame with one column permuted: positions under two seeded hash orders are matched,
     so the permutation is the same on every run and no task holds the whole column."""
-    from duepath.operators.ordered import _attach  # noqa: F401
-
     def numbered(rows: DataFrame, salt: int, name: str) -> DataFrame:
         keyed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed * 2 + salt)))
         return OrderedGroups(keyed, [], ["_h"]).add(**{name: Index()}).done().drop("_h")

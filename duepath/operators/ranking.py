@@ -11,12 +11,13 @@ from duepath.operators.ordered import (
     Index,
     OrderedGroups,
     RunningSum,
-    _attach,
     hot_groups,
     hot_quantile,
     join_one_row,
 )
 
+from duepath.session import cut_lineage
+
 
 def score_counts(df: DataFrame, keys: Sequence[str], score: str = "raw", target: str = "target", weight: str | None = None) -> DataFrame:
     """Rows reduced to (keys, score, n0, n1). Everything about ranking is read off these."""
@@ -47,7 +48,7 @@ def time_split(df: DataFrame, week: str, order: str, shares: Sequence[float], la
     """Chronological slices by row count. Only the weeks that a boundary falls into are
     ordered row by row; every other row is placed by its week alone."""
     rows = df.filter(F.col(week).isNotNull())
-    weeks = rows.groupBy(F.col(week).alias("_w")).agg(F.count(F.lit(1)).alias("_c"))
+    weeks = cut_lineage(rows.groupBy(F.col(week).alias("_w")).agg(F.count(F.lit(1)).alias("_c")), "weeks")
     placed = OrderedGroups(weeks, [], ["_w"]).add(_cum=RunningSum("_c")).done()
     total = weeks.agg(F.sum("_c")).first()[0] or 0
     cuts, share = [], 0.0
@@ -116,9 +117,3 @@ def rank_blend(df: DataFrame, key: str, columns: Sequence[str], alias: str = "bl
         out = average_rank(out, [], c, f"_r_{c}")
     mean = sum((F.col(f"_r_{c}") for c in columns), F.lit(0.0)) / len(columns)
     return out.select(key, mean.alias(alias))
-
-
-__all__ = [
-    "score_counts", "prefix_counts", "average_rank", "time_split", "three_way_split", "two_way_split", "quantile_split",
-    "random_cohort", "head_and_tail", "rank_blend", "_attach",
-]

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from duepath.functions import score as sc
 from duepath.operators import calibrate
-from duepath.operators.metrics import auc
 from duepath.operators.ordered import Index, OrderedGroups
 from duepath.operators.ranking import prefix_counts, score_counts
+from duepath.session import cut_lineage
 
 
 def delong(df: DataFrame, score: str = "raw", target: str = "target", keys: Sequence[str] = ()) -> DataFrame:
@@ -49,7 +49,7 @@ def hash_draw(seed: Column, replicate: Column, draw: Column, size: Column) -> Co
 def week_draws(spark: SparkSession, weeks: DataFrame, week: str, replicates: int, seed: int = 42, smaller: bool = False) -> DataFrame:
     """(replicate, week, times): whole weeks drawn with replacement. The table has one row per
     replicate and drawn week, whatever the number of scored rows."""
-    numbered = OrderedGroups(weeks.select(week).distinct(), [], [week]).add(_no=Index()).done()
+    numbered = cut_lineage(OrderedGroups(weeks.select(week).distinct(), [], [week]).add(_no=Index()).done(), "weeks")
     count = numbered.count()
     draws = max(2, int(round(count ** (2.0 / 3.0)))) if smaller else max(2, count)
     grid = spark.range(replicates * draws).select(
@@ -63,7 +63,7 @@ def block_bootstrap(df: DataFrame, replicates: int = 500, week: str = "wk", scor
                     seed: int = 42, smaller: bool = False) -> DataFrame:
     """Gini per replicate. Rows are first counted per week and score; a drawn week only
     multiplies those counts, so no row is ever copied."""
-    counts = score_counts(df, [week], score, target)
+    counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
     # Multiplied counts stay within counts x replicates and combine before the shuffle.
     drawn = counts.join(F.broadcast(draws), week) if replicates <= 5_000 else counts.join(draws, week)
@@ -93,7 +93,7 @@ def row_bootstrap(df: DataFrame, replicates: int = 500, score: str = "raw", targ
             out[i] = rng.poisson(a), rng.poisson(c)
         return pd.DataFrame(out, columns=["n1", "n0"])
 
-    grid = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).cast("bigint"))
+    grid = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
     drawn = grid.withColumn("d", draw("replicate", "s", "n1", "n0")).select("replicate", "s", "d.n1", "d.n0")
     return _gini_of_counts(drawn)
 
@@ -146,12 +146,12 @@ def refit_bootstrap(df: DataFrame, refs: Sequence[tuple[float, float]], replicat
     Scores are pooled into at most ``bins`` quantile bins once, so a replicate is a group of
     at most ``bins`` rows.
     """
-    points = calibrate.knots(df, score, target)
+    counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
+    points = counts.groupBy(F.col("s").alias("x")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("k"))
     total = points.agg(F.sum("n")).first()[0] or 0
     edges = calibrate.quantile_edges(points, bins, total) if bins > 1 and total > bins else None
     if edges is None and points.count() > 100_000:
         raise ValueError("set bins to at most 2000 for this many distinct scores")
-    counts = score_counts(df, [week], score, target)
     place = calibrate.bin_index(edges, "right") if edges is not None else None
     binned = counts.withColumn("b", place(F.col("s")).cast("double") if place is not None else F.col("s"))
     cells = binned.groupBy(week, "b").agg(
@@ -196,7 +196,3 @@ def tail_evidence(fitted: DataFrame, base_rate: float, strength: float = 100.0)
     return block.withColumns({
         "rule_of_three": sc.rule_of_three(F.col("n")),
         "posterior_mean": sc.posterior_mean(F.col("n"), F.col("k"), F.lit(base_rate), F.lit(strength))})
-
-
-__all__ = ["delong", "hash_draw", "week_draws", "block_bootstrap", "row_bootstrap", "summarise", "design_effect", "pool_adjacent",
-           "refit_bootstrap", "reference_raw", "tail_evidence", "auc"]

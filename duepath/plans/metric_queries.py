@@ -105,7 +105,7 @@ def _(spark, folder):
 
 
 @q("w08_score_history", """
-select key, seq, score, round_even(score - lead(score) over (partition by key order by ts desc, seq desc), 1) as delta from (
+select key, seq, score, round(score - lead(score) over (partition by key order by ts desc, seq desc), 6) as delta from (
   select cast(user_id as varchar) as key, event_id as seq, ts, value as score, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events)
 where rn <= 10""")
 def _(spark, folder):
@@ -113,7 +113,7 @@ def _(spark, folder):
 
     e = fx.table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("score"))
-    return governance.recent_scores(e, 10).select("key", "seq", "score", "delta")
+    return governance.recent_scores(e, 10, digits=6).select("key", "seq", "score", "delta")
 
 
 @q("w09_latest_record", "select user_hash, arg_max(event_hash, seq) as event_hash, arg_max(period, seq) as period from fx_submissions group by user_hash")
@@ -124,8 +124,8 @@ def _(spark, folder):
 
 
 @q("w10_top_contributions", """
-select case_id, list_transform(list_sort(list_filter(v, lambda x: x.c > 0), 'desc')[:2], lambda x: x.f) as increasing,
-  list_transform(list_sort(list_filter(v, lambda x: x.c < 0))[:2], lambda x: x.f) as decreasing from (
+select case_id, array_to_string(list_transform(list_sort(list_filter(v, lambda x: x.c > 0), 'desc')[:2], lambda x: x.f), ',') as increasing,
+  array_to_string(list_transform(list_sort(list_filter(v, lambda x: x.c < 0))[:2], lambda x: x.f), ',') as decreasing from (
 select case_id, [struct_pack(c := max_dpd_24m / 10 - 4.31, f := 'max_dpd_24m'), struct_pack(c := mean_dpd_24m / 10 - 1.07, f := 'mean_dpd_24m'),
   struct_pack(c := agg_dpd_count / 10 - 0.63, f := 'agg_dpd_count'), struct_pack(c := pct_dpd_payments_24m - 0.4013, f := 'pct_dpd_payments_24m')] as v from dx_matrix)""")
 def _(spark, folder):
@@ -136,7 +136,8 @@ def _(spark, folder):
         (F.col("max_dpd_24m") / 10 - 4.31, "max_dpd_24m"), (F.col("mean_dpd_24m") / 10 - 1.07, "mean_dpd_24m"),
         (F.col("agg_dpd_count") / 10 - 0.63, "agg_dpd_count"), (F.col("pct_dpd_payments_24m") - 0.4013, "pct_dpd_payments_24m"))])
     m = m.withColumn("c", c)
-    return m.select("case_id", modeling.top_reasons(F.col("c"), 2).feature.alias("increasing"), modeling.top_reasons(F.col("c"), 2, False).feature.alias("decreasing"))
+    return m.select("case_id", F.array_join(modeling.top_reasons(F.col("c"), 2).feature, ",").alias("increasing"),
+                    F.array_join(modeling.top_reasons(F.col("c"), 2, False).feature, ",").alias("decreasing"))
 
 
 @q("w11_rank_blend", """
@@ -307,11 +308,11 @@ def _(spark, folder):
 @q("a05_column_profile", """
 select 'dpd' as column_name, count(*) as n, count(try_cast(dpd_text as double)) as n_known, 100.0 * (count(*) - count(try_cast(dpd_text as double))) / count(*) as null_pct,
   count(*) filter (try_cast(dpd_text as double) <> 0) as n_nonzero, min(try_cast(dpd_text as double)) as min_value, max(try_cast(dpd_text as double)) as max_value,
-  round(avg(try_cast(dpd_text as double)), 6) as mean_value from dx_bureau_a
-union all select 'overdue', count(*), count(ovd), 100.0 * (count(*) - count(ovd)) / count(*), count(*) filter (ovd <> 0), round(min(ovd), 6), round(max(ovd), 6), round(avg(ovd), 6) from dx_bureau_a""")
+  round(avg(try_cast(dpd_text as double)), 4) as mean_value from dx_bureau_a
+union all select 'overdue', count(*), count(ovd), 100.0 * (count(*) - count(ovd)) / count(*), count(*) filter (ovd <> 0), round(min(ovd), 6), round(max(ovd), 6), round(avg(ovd), 4) from dx_bureau_a""")
 def _(spark, folder):
     a = fx.bureau_a(spark, folder).withColumnsRenamed({"pmts_dpd_1073P": "dpd", "pmts_overdue_1140A": "overdue"})
-    return rounded(reports.column_profile(a, ["dpd", "overdue"]))
+    return rounded(reports.column_profile(a, ["dpd", "overdue"]).withColumn("mean_value", F.round("mean_value", 4)))
 
 
 @q("a07_population_narrowing", """

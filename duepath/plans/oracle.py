@@ -69,6 +69,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         return body.strip()
     parts = ",\n".join(f"{name} as ({known[name].strip()})" for name in order)
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {parts},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {parts},\n{body[5:]}"
     return f"with {parts}\n{body}"
