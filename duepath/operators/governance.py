@@ -70,7 +70,7 @@ def _json_number(value: Column) -> Column:
     size = F.abs(d)
     shortest = F.regexp_replace(F.lower(d.cast("string")), r"\.0e", "e")
     plain = F.regexp_replace(d.try_cast("decimal(38,23)").cast("string"), "0+$", "")
-    whole = (d == F.floor(d)) & (size < 1e21)
+    whole = (d == F.rint(d)) & (size < 1e21)
     text = (
         F.when(whole, d.try_cast("decimal(38,0)").cast("string"))
         .when(size >= 1e21, F.regexp_replace(shortest, "e(?=[0-9])", "e+"))

@@ -37,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    set_by_hand = spark.sparkContext.getCheckpointDir()
+    if set_by_hand:
+        return set_by_hand
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     made = spark.conf.get("duepath.localDir", None)
