@@ -121,7 +121,10 @@ class PaymentWindow:
     def __init__(self, payments: DataFrame, applicants: DataFrame, cfg: Settings = DEFAULT):
         self.cfg = cfg
         hot = hot_groups(payments, [self.CASE])
-        joined = join_one_row(payments, applicants.select(self.CASE, "as_of"), [self.CASE], hot)
+        # The one exchange of the job: payments by case. Every window and both aggregates below
+        # are keyed by the case or by parts of it, so they reuse it.
+        dates = applicants.select(self.CASE, "as_of").hint("shuffle_hash")
+        joined = join_one_row(payments, dates, [self.CASE], hot)
         recent_low = F.date_sub("as_of", cfg.window_days(cfg.recent_months))
         rows = in_window(joined, cfg.full_months, cfg).select(
             "case_id", "line_id", "pdate", "tie", "amount", "overdue",
@@ -152,6 +155,16 @@ class PaymentWindow:
         line_part = self.LINE + split + ([SEG] if self.hot_lines is not None else [])
         per_line = Window.partitionBy(*line_part)
         per_case = Window.partitionBy("case_id", *split)
+        # Ordered columns come first: the sort they need also serves the unordered windows.
+        lines.df = lines.df.withColumns({"late": (F.col("v") > 0).cast("int"), "st": arrears_state(F.col("v"))})
+        lines.add(idx=Index(), v1=Lag("v"), st1=Lag("st"), pdate1=Lag("pdate"), late1=Lag("late", 1), late2=Lag("late", 2),
+                  late3=Lag("late", 3))
+        lines.df = lines.df.withColumns({
+            "clean_at": F.when(F.col("late") == 0, F.col("idx")),
+            "late_at": F.when(F.col("late") == 1, F.col("idx")),
+            "gap": F.datediff("pdate", "pdate1").cast("double"),
+        })
+        lines.add(last_clean=RunningMax("clean_at"), last_late=RunningMax("late_at")).add(n=Total())
         lines.df = lines.df.select(
             "*",
             F.percentile("paid", F.lit(0.5)).over(per_line).alias("inst24"),
@@ -165,17 +178,7 @@ class PaymentWindow:
         lines.df = lines.df.withColumns({
             "o24": overdue_amount(F.col("overdue"), F.col("inst24"), F.col("amount")),
             "o6": F.when(F.col("in6"), overdue_amount(F.col("overdue"), F.col("inst6"), F.col("amount"))),
-            "late": (F.col("v") > 0).cast("int"),
-            "st": arrears_state(F.col("v")),
-        })
-        lines.add(idx=Index(), n=Total(), v1=Lag("v"), st1=Lag("st"), pdate1=Lag("pdate"),
-                  late1=Lag("late", 1), late2=Lag("late", 2), late3=Lag("late", 3))
-        lines.df = lines.df.withColumns({
-            "clean_at": F.when(F.col("late") == 0, F.col("idx")),
-            "late_at": F.when(F.col("late") == 1, F.col("idx")),
-            "gap": F.datediff("pdate", "pdate1").cast("double"),
         })
-        lines.add(last_clean=RunningMax("clean_at"), last_late=RunningMax("late_at"))
         out = lines.df.select(
             "*",
             F.percentile("v", F.lit(0.5)).over(per_case).alias("med_v"),
@@ -218,10 +221,9 @@ class PaymentWindow:
             "l_gap_max": F.max("gap"), "l_gap_min": F.min("gap"), "l_gap_pos": F.count_if(c("gap") > 0),
             "l_gap_sd": F.stddev_pop(F.when(c("gap") > 0, c("gap"))),
             "l_paid_n": F.count("paid"), "l_paid_sd": F.stddev_pop("paid"), "l_paid_avg": F.avg("paid"),
-            "l_first": F.min_by("v", F.struct("pdate", "line_id", "tie")),
-            "l_first_key": F.min(F.struct("pdate", "line_id", "tie")),
-            "l_last": F.max_by("v", F.struct("pdate", "line_id", "tie")),
-            "l_last_key": F.max(F.struct("pdate", "line_id", "tie")),
+            # Plain numbers and dates keep this a hash aggregate.
+            "l_first": F.max(F.when(idx == 0, v)), "l_first_date": F.min("pdate"), "l_first_tie": F.max(F.when(idx == 0, c("tie"))),
+            "l_last": F.max(F.when(idx == n - 1, v)), "l_last_date": F.max("pdate"), "l_last_tie": F.max(F.when(idx == n - 1, c("tie"))),
             "l_med_v": F.max("med_v"), "l_med_gap": F.max("med_gap"),
             "l_slope_new": F.regr_slope(F.when(newer, v), F.when(newer, idx)),
             "l_slope_old": F.regr_slope(F.when(~newer, v), F.when(~newer, idx)),
@@ -324,8 +326,8 @@ class PaymentWindow:
             "agg_dpd_sum": F.sum("l_sum"),
             "agg_dpd_median": F.max("l_med_v"),
             "agg_dpd_nonzero": F.sum("l_late").cast("double"),
-            "agg_dpd_first": F.min_by("l_first", "l_first_key"),
-            "agg_dpd_last": F.max_by("l_last", "l_last_key"),
+            "agg_dpd_first": F.min_by("l_first", F.struct("l_first_date", "line_id", "l_first_tie")),
+            "agg_dpd_last": F.max_by("l_last", F.struct("l_last_date", "line_id", "l_last_tie")),
             "agg_interval_count": gaps.cast("double"),
             "agg_interval_mean": F.when(gaps > 0, F.sum("l_gap_sum") / gaps),
             "agg_interval_max": F.max("l_gap_max"), "agg_interval_min": F.min("l_gap_min"),
