@@ -342,10 +342,9 @@ def blocks(fitted: DataFrame, pd_floor: float | None = None, tol: float = 1e-15)
 
 def floor_policy(table: DataFrame, min_defaults: float = 1) -> DataFrame:
     """Rate of the lowest block with enough defaults, its ceiling score, and what it rests on."""
-    floor = table.filter(F.col("k") >= min_defaults).agg(F.min("pd").alias("pd_floor"))
-    # One row, so this is a scalar next to every block.
-    at = table.join(F.broadcast(floor), F.col("pd") <= F.col("pd_floor") + TOL)
-    return at.groupBy("pd_floor").agg(F.sum("n").alias("pinned_n"), F.sum("k").alias("pinned_k")).withColumn(
+    floor = table.filter(F.col("k") >= min_defaults).agg(F.min("pd")).first()[0]
+    at = table.filter(F.col("pd") <= F.lit(floor).cast("double") + TOL)
+    return at.agg(F.lit(floor).cast("double").alias("pd_floor"), F.sum("n").alias("pinned_n"), F.sum("k").alias("pinned_k")).withColumn(
         "ceiling_score", sc.pd_to_score(F.col("pd_floor")))
 
 
@@ -365,11 +364,9 @@ def floor_sensitivity(fitted: DataFrame, strengths=(20, 50, 100, 200, 500), floo
 
 def block_intervals(table: DataFrame) -> DataFrame:
     """Binomial interval of each block on the score scale, capped at the policy ceiling."""
-    top = table.agg(F.min("pd").alias("ceiling_pd"))
-    rows = table.join(F.broadcast(top), F.lit(True))
-    ceiling = sc.pd_to_score(F.col("ceiling_pd"))
+    ceiling = sc.pd_to_score(F.lit(table.agg(F.min("pd")).first()[0]))
     pd_lo, pd_hi = sc.wilson(F.col("k"), F.col("n"))
-    rows = rows.withColumns({"pd_lo": pd_lo, "pd_hi": pd_hi, "ceiling": ceiling})
+    rows = table.withColumns({"pd_lo": pd_lo, "pd_hi": pd_hi, "ceiling": ceiling})
     raw_hi = sc.pd_to_score(F.col("pd_lo"))
     none = F.col("pd_lo") <= 0
     hi = F.when(none, F.col("ceiling")).otherwise(F.least(raw_hi, F.col("ceiling")))

@@ -23,6 +23,7 @@ from duepath.operators.ordered import (
     OrderedGroups,
     RunningMax,
     Total,
+    group_stats,
     hot_groups,
     hot_quantile,
     join_one_row,
@@ -338,31 +339,23 @@ class PaymentWindow:
             # Instalment list of last resort: the median paid on each line.
             "fb_n": F.count_if(c("l_inst") > 0), "fb_sum": F.sum("l_inst"), "fb_max": F.max("l_inst"),
             "fb_min": F.min("l_inst"), "fb_std": F.stddev_pop("l_inst"),
-            "fb_median": F.percentile("l_inst", F.lit(0.5)),
         }
         for name in self._line_names:
             agg[name] = F.avg(f"p_{name}")
-        return lines.groupBy("case_id").agg(*[e.alias(k) for k, e in agg.items()])
+        if self.hot_cases is not None:
+            lines = cut_lineage(lines, "lines")
+        return group_stats(lines, ["case_id"], agg, {"fb_median": "l_inst"}, self.hot_cases, probe=False)
 
 
 def instalment_stats(instalments: DataFrame) -> DataFrame:
     """Per-case statistics of the contractual instalments; zero amounts do not count."""
     amt = F.when(F.col("amount") != 0, F.col("amount"))
     rows = instalments.select("case_id", amt.alias("amt"))
-    hot = hot_groups(rows, ["case_id"])
-    aggs = [
-        F.count(F.lit(1)).alias("in_rows"), F.count("amt").alias("in_n"), F.sum("amt").alias("in_sum"),
-        F.max("amt").alias("in_max"), F.min("amt").alias("in_min"), F.stddev_pop("amt").alias("in_std"),
-        F.count_if(F.col("amt") > 0).alias("in_pos"),
-    ]
-    median = F.percentile("amt", F.lit(0.5)).alias("in_median")
-    if hot is None:
-        return rows.groupBy("case_id").agg(*aggs, median)
-    exact = hot_quantile(keep_hot(rows, hot, ["case_id"]), ["case_id"], "amt", 0.5, "_exact")
-    cold_median = F.percentile(F.when(F.col("_hot").isNull(), F.col("amt")), F.lit(0.5)).alias("in_median")
-    flagged = _attach(rows, hot.select("case_id", F.lit(True).alias("_hot")), ["case_id"])
-    out = flagged.groupBy("case_id").agg(*aggs, cold_median)
-    return _attach(out, exact, ["case_id"]).withColumn("in_median", F.coalesce("_exact", "in_median")).drop("_exact")
+    aggs = {
+        "in_rows": F.count(F.lit(1)), "in_n": F.count("amt"), "in_sum": F.sum("amt"), "in_max": F.max("amt"), "in_min": F.min("amt"),
+        "in_std": F.stddev_pop("amt"), "in_pos": F.count_if(F.col("amt") > 0),
+    }
+    return group_stats(rows, ["case_id"], aggs, {"in_median": "amt"})
 
 
 def balance_stats(balances: DataFrame, applicants: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:

@@ -205,9 +205,8 @@ def issuers_at(log: DataFrame, changes: DataFrame, at: str = "ts") -> DataFrame:
 
 def first_failure(log: DataFrame, approved: DataFrame, hash_columns: Sequence[str]) -> DataFrame:
     """First row-level rule a submission breaks, in the order the registry checks them.
-    ``approved`` is the short list of issuers."""
-    few = F.broadcast(approved.select("issuer", F.lit(True).alias("_ok")))
-    rows = log.join(few, "issuer", "left")
+    ``approved`` has one row per issuer."""
+    rows = join_one_row(log, approved.select("issuer", F.lit(True).alias("_ok")), ["issuer"], hot_groups(log, ["issuer"]), "left")
     reason = F.when(F.col("_ok").isNull(), "issuer not approved")
     for c in hash_columns:
         reason = reason.when(F.col(c).isNull() | (F.col(c) == ZERO_HASH), f"zero {c}")
@@ -323,7 +322,7 @@ def attach_advice(reasons: DataFrame, advice: DataFrame, generic: str, limit: in
     codes that may carry a value in brackets. ``advice`` is the short text table."""
     first = reasons.select("case_id", F.posexplode(F.slice("codes", 1, limit)).alias("place", "code"))
     keyed = first.withColumn("feature", F.trim(F.substring_index("code", "(", 1)))
-    out = keyed.join(F.broadcast(advice), "feature", "left")
+    out = join_one_row(keyed, advice, ["feature"], hot_groups(keyed, ["feature"]), "left")
     known = F.col("title").isNotNull()
     plain = F.regexp_replace("feature", "_", " ")
     return out.select(

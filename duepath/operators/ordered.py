@@ -66,7 +66,8 @@ def _match(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> Da
 def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of a small table with unique keys; no key means a one-row table."""
     if not keys:
-        return df.crossJoin(F.broadcast(small))
+        one = F.broadcast(small.withColumn("_one", F.lit(1)))
+        return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
     renamed = small.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys]
     )
@@ -90,6 +91,20 @@ def join_one_row(
     return cold.unionByName(keep_hot(big, hot, keys).join(few, keys, how))
 
 
+def join_salted(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], hot: DataFrame | None, how: str = "inner", salts: int = 64
+) -> DataFrame:
+    """Join to a table with several rows per key. Rows of a hot key are dealt over ``salts``
+    places and the other side's rows of that key are repeated in each of them."""
+    keys = list(keys)
+    if hot is None:
+        return big.join(small, keys, how)
+    dealt = keep_hot(big, hot, keys).withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    copies = keep_hot(small, hot, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cold = drop_hot(big, hot, keys).join(small, keys, how)
+    return cold.unionByName(dealt.join(copies, [*keys, "_salt"], how).drop("_salt"))
+
+
 def _as_number(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
@@ -376,6 +391,25 @@ def hot_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, alias
     )
 
 
+def value_quantiles(df: DataFrame, value: str, shares: dict[str, float], aggs: dict[str, Column] | None = None) -> DataFrame:
+    """Several exact quantiles of one column as one row, with further aggregates over the
+    counted values (columns ``value`` and ``_c``)."""
+    counts = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    ranked = OrderedGroups(counts, [], [value]).add(_cum=RunningSum("_c")).done()
+
+    def at(place: int) -> Column:
+        here = (F.col("_cum") - F.col("_c") <= place) & (F.lit(place) < F.col("_cum"))
+        return F.max(F.when(here, F.col(value)))
+
+    picks = []
+    for name, share in shares.items():
+        place = share * (total - 1)
+        lo, hi = math.floor(place), math.ceil(place)
+        picks.append((at(lo) + (at(hi) - at(lo)) * F.lit(place - lo)).cast("double").alias(name))
+    return ranked.agg(*picks, *[e.alias(n) for n, e in (aggs or {}).items()])
+
+
 def group_stats(
     df: DataFrame,
     keys: Sequence[str],

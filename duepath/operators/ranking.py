@@ -29,7 +29,9 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str = "raw", target:
 
 
 def prefix_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Score counts with the counts of all lower scores (below0, below1)."""
+    """Score counts with the counts of all lower scores (below0, below1). The counts are
+    written once, so the look-up for hot groups costs no second pass over the rows."""
+    counts = cut_lineage(counts, "score-counts")
     ordered = OrderedGroups(counts, keys, ["s"]).add(c0=RunningSum("n0"), c1=RunningSum("n1")).done()
     return ordered.withColumns({"below0": F.col("c0") - F.col("n0"), "below1": F.col("c1") - F.col("n1")}).drop("c0", "c1")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duepath.config import DEFAULT
 from duepath.functions import clean, score
-from duepath.operators.ordered import exact_quantile
+from duepath.operators.ordered import value_quantiles
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -122,13 +122,10 @@ def archetypes(df: DataFrame) -> DataFrame:
 
 def score_distribution(df: DataFrame) -> DataFrame:
     """Range, quantiles and band counts of a scored population, one row."""
-    s = F.col("score")
-    out = df.agg(
-        F.count("score").alias("n"), F.min(s).alias("min_score"), F.max(s).alias("max_score"), (F.max(s) - F.min(s)).alias("spread"),
-        *[F.count_if(score.band(s) == b).alias(f"n_{b.lower()}") for b in ("A", "B", "C", "D", "E")])
-    for pct in (5, 25, 50, 75, 95):
-        out = out.crossJoin(F.broadcast(exact_quantile(df, [], "score", pct / 100, f"p{pct}")))
-    return out
+    s, c = F.col("score"), F.col("_c")
+    bands = {f"n_{b.lower()}": F.sum(F.when(score.band(s) == b, c).otherwise(0)) for b in ("A", "B", "C", "D", "E")}
+    return value_quantiles(df, "score", {f"p{pct}": pct / 100 for pct in (5, 25, 50, 75, 95)}, {
+        "n": F.sum(c), "min_score": F.min(s), "max_score": F.max(s), "spread": F.max(s) - F.min(s), **bands})
 
 
 def cohort_summary(df: DataFrame, ceiling: float) -> DataFrame:

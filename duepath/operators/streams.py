@@ -19,7 +19,7 @@ from duepath.operators.ordered import (
     group_stats,
     hot_groups,
     join_one_row,
-    keep_hot,
+    join_salted,
     spread_back,
 )
 
@@ -90,7 +90,9 @@ def seed_mandates(mandates: DataFrame, streams: DataFrame, transactions: DataFra
         "case_id", "payee", F.concat(F.lit("mandate::"), F.col("payee"), F.lit("#"), F.col("no").cast("string")).alias("line_id"),
         clean.line_kind(F.col("payee"), F.lit("")).alias("kind"), F.col("amount").alias("scheduled"),
     )
-    payments = debits(transactions).join(lines.select("case_id", "payee", "line_id"), ["case_id", "payee"]).select(
+    paid = debits(transactions)
+    keys = ["case_id", "payee"]
+    payments = join_salted(paid, lines.select(*keys, "line_id"), keys, hot_groups(paid, keys)).select(
         "case_id", "line_id", F.col("tdate").alias("pdate"), F.col("txn_id").alias("tie"), "amount",
         F.lit(None).cast("double").alias("overdue"), F.lit(None).cast("double").alias("dpd"),
     )
@@ -121,10 +123,11 @@ class Schedule:
     anchor, step, cycle, expected (date), off (signed days late) and late.
     """
 
-    def __init__(self, payments: DataFrame, distinct: bool = True, cfg: Settings = DEFAULT, keys: Sequence[str] = LINE):
+    def __init__(self, payments: DataFrame, distinct: bool = True, cfg: Settings = DEFAULT, keys: Sequence[str] = LINE,
+                 hot: DataFrame | None = None, probe: bool = True):
         self.cfg = cfg
         self.keys = list(keys)
-        lines = OrderedGroups(payments, self.keys, ["pdate", "tie"])
+        lines = OrderedGroups(payments, self.keys, ["pdate", "tie"], hot, probe)
         self.hot = lines.hot
         lines.add(before=Lag("pdate"))
         gap = F.datediff("pdate", "before")
@@ -164,10 +167,10 @@ class Schedule:
 PAYMENT_COLUMNS = ("case_id", "line_id", "pdate", "tie", "amount", "overdue", "dpd")
 
 
-def missed_cycles(payments: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+def missed_cycles(payments: DataFrame, cfg: Settings = DEFAULT, hot: DataFrame | None = None, probe: bool = True) -> DataFrame:
     """One zero payment per empty cycle of a line with at least three payments. Works on all
     dates, so a second payment on one day moves the cycle count on."""
-    sched = Schedule(payments, distinct=False, cfg=cfg)
+    sched = Schedule(payments, distinct=False, cfg=cfg, hot=hot, probe=probe)
     facts = group_stats(payments.withColumn("paid", F.when(F.col("amount") > 0, F.col("amount"))), LINE,
                         {"n": F.count(F.lit(1))}, {"instalment": "paid"}, sched.hot, probe=False)
     holes = sched.rows.filter((F.col("step") > 1) & (F.col("period") > 0))
@@ -185,15 +188,17 @@ def missed_cycles(payments: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 
 def complete_history(payments: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Observed payments with inferred lateness, and the missed ones."""
-    seen = Schedule(payments, distinct=True, cfg=cfg).with_dpd().select(*PAYMENT_COLUMNS)
-    return seen.unionByName(missed_cycles(payments, cfg))
+    hot = hot_groups(payments, LINE)
+    seen = Schedule(payments, distinct=True, cfg=cfg, hot=hot, probe=False).with_dpd().select(*PAYMENT_COLUMNS)
+    return seen.unionByName(missed_cycles(payments, cfg, hot, probe=False))
 
 
 def profile(payments: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """Delinquency profile per line from its schedule."""
-    points = Schedule(payments, distinct=True, cfg=cfg).points().select(
-        *LINE, "pdate", "gap", "step", "late", F.greatest("off", F.lit(0)).alias("days"))
-    lines = OrderedGroups(points, LINE, ["pdate"])
+    sched = Schedule(payments, distinct=True, cfg=cfg)
+    points = sched.points().select(*LINE, "pdate", "gap", "step", "late", F.greatest("off", F.lit(0)).alias("days"))
+    # Points are a part of the payments, so without a hot line there is nothing to look up.
+    lines = OrderedGroups(points, LINE, ["pdate"], probe=sched.hot is not None)
     lines.df = lines.df.withColumn("ontime_date", F.when(~F.col("late"), F.col("pdate")))
     lines.add(idx=Index(), next_ontime=NextMin("ontime_date"))
     lines.df = lines.df.withColumn("late_at", F.when(F.col("late"), F.col("idx")))
@@ -265,7 +270,7 @@ def to_cycles(payments: DataFrame, applicants: DataFrame, instalments: DataFrame
     side = applicants.select("case_id", "as_of").join(typical, "case_id", "left")
     n = F.least(F.col("n_all"), F.lit(keep))
     i = F.col("idx") - (F.col("n_all") - n)
-    return last.join(side, "case_id").select(
+    return join_one_row(last, side, ["case_id"], hot_groups(payments, ["case_id"])).select(
         "case_id", "line_id", "as_of", i.cast("int").alias("i"), n.cast("int").alias("n"),
         F.date_add("as_of", (i * 30 - n * 30).cast("int")).alias("due"),
         F.bround(F.coalesce("typical", F.lit(fallback)), 2).alias("instalment"),

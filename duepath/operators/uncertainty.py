@@ -22,7 +22,11 @@ def delong(df: DataFrame, score: str = "raw", target: str = "target", keys: Sequ
     keys = list(keys)
     pre = prefix_counts(score_counts(df, keys, score, target), keys)
     totals = pre.groupBy(*keys).agg(F.sum("n1").alias("m"), F.sum("n0").alias("n"))
-    rows = pre.join(F.broadcast(totals), keys) if keys else pre.join(F.broadcast(totals), F.lit(True))
+    if keys:
+        rows = pre.join(totals, keys)
+    else:
+        one = totals.first()
+        rows = pre.withColumns({"m": F.lit(one["m"]), "n": F.lit(one["n"])})
     v1 = (F.col("below0") + F.col("n0") / 2) / F.col("n")
     v0 = 1.0 - (F.col("below1") + F.col("n1") / 2) / F.col("m")
     w1, w0 = F.col("n1"), F.col("n0")
@@ -54,9 +58,12 @@ def week_draws(spark: SparkSession, weeks: DataFrame, week: str, replicates: int
     draws = max(2, int(round(count ** (2.0 / 3.0)))) if smaller else max(2, count)
     grid = spark.range(replicates * draws).select(
         F.floor(F.col("id") / draws).cast("bigint").alias("replicate"), (F.col("id") % draws).alias("_j"))
+    # One row per replicate and week at most; small enough to send around up to two million.
+    small = replicates * count <= 2_000_000
     picked = grid.withColumn("_no", hash_draw(F.lit(seed), F.col("replicate"), F.col("_j"), F.lit(count)))
     times = picked.groupBy("replicate", "_no").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(numbered, "_no").select("replicate", week, "times")
+    out = times.join(numbered, "_no").select("replicate", week, "times")
+    return F.broadcast(out) if small else out
 
 
 def block_bootstrap(df: DataFrame, replicates: int = 500, week: str = "wk", score: str = "raw", target: str = "target",
@@ -66,7 +73,7 @@ def block_bootstrap(df: DataFrame, replicates: int = 500, week: str = "wk", scor
     counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
     # Multiplied counts stay within counts x replicates and combine before the shuffle.
-    drawn = counts.join(F.broadcast(draws), week) if replicates <= 5_000 else counts.join(draws, week)
+    drawn = counts.join(draws, week)
     sums = drawn.groupBy("replicate", "s").agg(
         F.sum(F.col("n1") * F.col("times")).alias("n1"), F.sum(F.col("n0") * F.col("times")).alias("n0"))
     return _gini_of_counts(sums)
@@ -111,9 +118,10 @@ def summarise(values: DataFrame, column: str = "gini", keys: Sequence[str] = ())
 
 def design_effect(block: DataFrame, rows: DataFrame) -> DataFrame:
     """Standard error under block and row resampling, and their ratio."""
-    a = summarise(block).select(F.col("sd").alias("se_block"))
-    b = summarise(rows).select(F.col("sd").alias("se_rows"))
-    return a.join(F.broadcast(b), F.lit(True)).withColumn("design_effect", F.col("se_block") / F.col("se_rows"))
+    both = block.select("gini", F.lit("block").alias("kind")).unionByName(rows.select("gini", F.lit("rows").alias("kind")))
+    sd = {kind: F.stddev_samp(F.when(F.col("kind") == kind, F.col("gini"))) for kind in ("block", "rows")}
+    return both.filter(F.col("gini").isNotNull()).agg(sd["block"].alias("se_block"), sd["rows"].alias("se_rows")).withColumn(
+        "design_effect", F.col("se_block") / F.col("se_rows"))
 
 
 def pool_adjacent(rate: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -157,7 +165,7 @@ def refit_bootstrap(df: DataFrame, refs: Sequence[tuple[float, float]], replicat
     cells = binned.groupBy(week, "b").agg(
         F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("k"), F.sum(F.col("s") * (F.col("n0") + F.col("n1"))).alias("xs"))
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
-    drawn = cells.join(F.broadcast(draws), week).groupBy("replicate", "b").agg(
+    drawn = cells.join(draws, week).groupBy("replicate", "b").agg(
         *[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "k", "xs")])
     ref_scores = np.array([r[0] for r in refs])
     ref_raw = np.array([r[1] for r in refs])

@@ -129,7 +129,7 @@ def instalments(applprev: DataFrame) -> DataFrame:
 def declared(person: DataFrame) -> DataFrame:
     """Declared attributes of the applicant row of each case."""
     first = person.filter(F.col("num_group1") == 0).groupBy(F.col("case_id").cast("string").alias("case_id")).agg(
-        F.first(F.struct("mainoccupationinc_384A", "incometype_1044T", "education_927M", "housetype_905L",
+        F.min(F.struct("mainoccupationinc_384A", "incometype_1044T", "education_927M", "housetype_905L",
                          "empl_employedtotal_800L")).alias("p")
     )
     stated = clean.number(F.col("p.mainoccupationinc_384A"))

@@ -9,8 +9,9 @@ org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,19 +67,36 @@ ACCEPT_OUT = "user_hash string, seq bigint, ts timestamp, period int, accepted b
 ACCEPT_STATE = "period int, ts bigint"
 
 
+def _in_time_order(frames: Iterator[pd.DataFrame], names: Sequence[str]) -> list[np.ndarray]:
+    """The numeric columns of a group as arrays in (ts, seq) order; ts in microseconds."""
+    parts: list[list[np.ndarray]] = [[] for _ in names]
+    for frame in frames:
+        for i, name in enumerate(names):
+            values = frame[name].to_numpy()
+            parts[i].append(values.astype("datetime64[us]").astype("int64") if name == "ts" else values)
+    columns = [np.concatenate(p) for p in parts]
+    place = np.lexsort((columns[names.index("seq")], columns[names.index("ts")]))
+    return [c[place] for c in columns]
+
+
+def _pieces(rows: dict, size: int = 100_000) -> Iterator[pd.DataFrame]:
+    """A long result in frames of bounded size."""
+    n = len(rows["seq"])
+    for a in range(0, n, size):
+        yield pd.DataFrame({k: v[a:a + size] if isinstance(v, np.ndarray) else v for k, v in rows.items()})
+
+
 def _accept(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last_period, last_ts = state.get if state.exists else (-1, -(2**62))
-    rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-    stamps = rows["ts"].astype("datetime64[us]").astype("int64")
-    verdicts = []
-    for period, ts in zip(rows["period"], stamps):
-        ok = last_period < 0 or (period > last_period and ts >= last_ts + COOLDOWN_MICROS)
-        verdicts.append(ok)
-        if ok:
-            last_period, last_ts = int(period), int(ts)
-    if any(verdicts):
+    seq, ts, period = _in_time_order(frames, ["seq", "ts", "period"])
+    verdicts = np.zeros(len(seq), dtype=bool)
+    for i in range(len(seq)):
+        if last_period < 0 or (period[i] > last_period and ts[i] >= last_ts + COOLDOWN_MICROS):
+            verdicts[i] = True
+            last_period, last_ts = int(period[i]), int(ts[i])
+    if verdicts.any():
         state.update((last_period, last_ts))
-    yield pd.DataFrame({"user_hash": key[0], "seq": rows["seq"], "ts": rows["ts"], "period": rows["period"], "accepted": verdicts})
+    yield from _pieces({"user_hash": key[0], "seq": seq, "ts": ts.astype("datetime64[us]"), "period": period, "accepted": verdicts})
 
 
 def accept_per_user(submissions: DataFrame) -> DataFrame:
@@ -121,16 +139,15 @@ def rate_limit(hits: DataFrame, limit: int = 20, window_seconds: int = 3600) ->
 
     def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        allowed = []
-        for ts in rows["ts"].astype("datetime64[us]").astype("int64"):
-            kept = [t for t in kept if ts - t < width]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(int(ts))
-            allowed.append(ok)
+        seq, ts = _in_time_order(frames, ["seq", "ts"])
+        allowed = np.zeros(len(seq), dtype=bool)
+        for i, now in enumerate(ts.tolist()):
+            kept = [t for t in kept if now - t < width]
+            if len(kept) < limit:
+                kept.append(now)
+                allowed[i] = True
         state.update((kept,))
-        yield pd.DataFrame({"req_key": key[0], "seq": rows["seq"], "ts": rows["ts"], "allowed": allowed})
+        yield from _pieces({"req_key": key[0], "seq": seq, "ts": ts.astype("datetime64[us]"), "allowed": allowed})
 
     rows = hits.select("req_key", "seq", "ts")
     return rows.groupBy("req_key").applyInPandasWithState(check, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -92,6 +92,34 @@ def test_join_one_row(spark):
     assert plain == split and len(plain) == df.count()
 
 
+def test_join_salted(spark):
+    df = frame(spark).filter(F.col("g").isNotNull())
+    side = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 3)], "g string, x int")
+    plain, split = both(spark, lambda: rows_of(od.join_salted(df, side, ["g"], od.hot_groups(df, ["g"]))))
+    assert plain == split and len(plain) > df.count()
+
+
+def test_many_lines_in_one_case(spark):
+    """A case that is hot because of its many lines, not because of one long line."""
+    import datetime as dt
+
+    from duepath.operators import features as ft
+
+    day = dt.date(2024, 1, 1)
+    rows = [("1", f"l{i}", day + dt.timedelta(days=i % 300), i, float(50 + i % 7), None, float(i % 40)) for i in range(60)]
+    pay = spark.createDataFrame(rows, "case_id string, line_id string, pdate date, tie bigint, amount double, overdue double, dpd double")
+    who = spark.createDataFrame([("1", dt.date(2024, 12, 1), 1000.0)], "case_id string, as_of date, monthly_income double")
+    inst = spark.createDataFrame([], "case_id string, amount double")
+    bal = spark.createDataFrame([], "case_id string, acct_type string, bdate date, balance double")
+    names = ["agg_instal_median", "total_annuity", "agg_dpd_median", "num_active_obligations", "max_dpd_24m"]
+    spark.conf.set("duepath.hotGroupRows", "20")
+    try:
+        split = rows_of(ft.build(pay, who, inst, bal, names))
+    finally:
+        spark.conf.unset("duepath.hotGroupRows")
+    assert split == rows_of(ft.build(pay, who, inst, bal, names)) and len(split) == 1
+
+
 def test_average_rank_matches_pandas(spark, tiny_limit):
     from duepath.operators.ranking import average_rank
 
