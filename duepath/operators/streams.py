@@ -22,6 +22,7 @@ from duepath.operators.ordered import (
     join_salted,
     spread_back,
 )
+from duepath.session import cut_lineage
 
 LINE = ("case_id", "line_id")
 
@@ -340,5 +341,8 @@ def cycles_as_transactions(cycles: DataFrame, applicants: DataFrame, missed_from
 def history_from_transactions(transactions: DataFrame, mandates: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """The whole bank-feed path to payments: streams, seeded mandates, lateness, missed cycles."""
     streams, found = detect(transactions, cfg)
+    streams = cut_lineage(streams, "streams")
     _, seeded = seed_mandates(mandates, streams, transactions)
-    return complete_history(found.unionByName(seeded), cfg)
+    # Read by the look-up for hot lines and by both passes over the schedule.
+    paid = cut_lineage(found.unionByName(seeded), "feed-payments")
+    return cut_lineage(complete_history(paid, cfg), "feed-history")

@@ -116,21 +116,25 @@ left join dx_instal i using (case_id) left join dx_bal b using (case_id)""",
 }
 
 
-# Money averages often end in a 5 at the seventh place, where two engines may round apart.
-DIGITS = {
-    "avg_overdue_amount_24m": 7, "avg_instalment_amount": 7, "agg_instal_mean": 7, "avg_overdue_amount_6m": 7,
-    "avg_overdue_6m_minus_24m": 7,
-}
+# Money averages often end in a 5 just after the last place shown, where two engines may round
+# apart; both sides nudge them off the tie first.
+MONEY_MEANS = ("avg_overdue_amount_24m", "avg_instalment_amount", "agg_instal_mean", "avg_overdue_amount_6m",
+               "max_overdue_amount_6m", "avg_overdue_6m_minus_24m")
+NUDGE = 1e-9
 
 
 def column_sql(name: str) -> str:
     default = next(s.default for s in ft.SPECS if s.name == name)
     value = name if default is None else f"coalesce({name}, 0)"
-    return f"round(cast({value} as double), {DIGITS.get(name, 6)}) as {name}"
+    nudge = f" + {NUDGE!r}" if name in MONEY_MEANS else ""
+    return f"round(cast({value} as double){nudge}, 6) as {name}"
 
 
 def shown(df):
-    return df.select("case_id", *[F.round(c, DIGITS.get(c, 6)).alias(c) for c in df.columns if c != "case_id"])
+    def one(c):
+        return F.round(F.col(c) + NUDGE if c in MONEY_MEANS else F.col(c), 6).alias(c)
+
+    return df.select("case_id", *[one(c) for c in df.columns if c != "case_id"])
 
 
 # The matrix with defaults filled, for other queries to build on.

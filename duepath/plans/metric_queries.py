@@ -13,13 +13,13 @@ from duepath.plans.history_queries import cycles
 from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register, rounded
 from duepath.plans.source_queries import assembled, _combined
+from duepath.session import cut_lineage
 from duepath.sources import tables as fx
 
 SPLIT: dict[str, str] = {
     "dx_split": """
 select *, case when i < floor(n_all * 0.6) then 'train' when i < floor(n_all * 0.8) then 'calib' else 'eval' end as slice from (
   select *, row_number() over (order by wk, id) - 1 as i, count(*) over () as n_all from fx_scored)""",
-    "dx_weekly": "",
 }
 
 
@@ -285,7 +285,7 @@ def _(spark, folder):
 
 def rendered(spark, folder, names=ft.PARITY_NAMES):
     """The same history seen through the bureau and through the bank feed."""
-    cyc, who = cycles(spark, folder), fx.applicants(spark, folder)
+    cyc, who = cut_lineage(cycles(spark, folder), "cycles"), fx.applicants(spark, folder)
     money = cyc.groupBy("case_id", "line_id").agg(F.max("instalment").alias("amount"))
     direct = ft.build(streams.cycles_as_payments(cyc), who, money.select("case_id", "amount"), fx.balances(spark, folder), names)
     txns, mandates = streams.cycles_as_transactions(cyc, who)
@@ -306,10 +306,10 @@ def _(spark, folder):
 
 
 @q("a05_column_profile", """
-select 'dpd' as column_name, count(*) as n, count(try_cast(dpd_text as double)) as n_known, 100.0 * (count(*) - count(try_cast(dpd_text as double))) / count(*) as null_pct,
+select 'dpd' as column_name, count(*) as n, count(try_cast(dpd_text as double)) as n_known, round(100.0 * (count(*) - count(try_cast(dpd_text as double))) / count(*), 6) as null_pct,
   count(*) filter (try_cast(dpd_text as double) <> 0) as n_nonzero, min(try_cast(dpd_text as double)) as min_value, max(try_cast(dpd_text as double)) as max_value,
   round(avg(try_cast(dpd_text as double)), 4) as mean_value from dx_bureau_a
-union all select 'overdue', count(*), count(ovd), 100.0 * (count(*) - count(ovd)) / count(*), count(*) filter (ovd <> 0), round(min(ovd), 6), round(max(ovd), 6), round(avg(ovd), 4) from dx_bureau_a""")
+union all select 'overdue', count(*), count(ovd), round(100.0 * (count(*) - count(ovd)) / count(*), 6), count(*) filter (ovd <> 0), round(min(ovd), 6), round(max(ovd), 6), round(avg(ovd), 4) from dx_bureau_a""")
 def _(spark, folder):
     a = fx.bureau_a(spark, folder).withColumnsRenamed({"pmts_dpd_1073P": "dpd", "pmts_overdue_1140A": "overdue"})
     return rounded(reports.column_profile(a, ["dpd", "overdue"]).withColumn("mean_value", F.round("mean_value", 4)))
