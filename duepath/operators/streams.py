@@ -260,7 +260,7 @@ def monthly_income(transactions: DataFrame, cfg: Settings = DEFAULT) -> DataFram
 
 
 def to_cycles(payments: DataFrame, applicants: DataFrame, instalments: DataFrame, cfg: Settings = DEFAULT,
-              keep: int = 22, fallback: float = 100.0) -> DataFrame:
+              keep: int = 22, fallback: float = 100.0, digits: int = 2) -> DataFrame:
     """The last payments of each line on a 30-day grid that ends at the decision."""
     lines = OrderedGroups(payments, LINE, ["pdate", "tie"])
     # Newest first is read off the group size, so one ordering serves.
@@ -274,7 +274,7 @@ def to_cycles(payments: DataFrame, applicants: DataFrame, instalments: DataFrame
     return join_one_row(last, side, ["case_id"], hot_groups(payments, ["case_id"])).select(
         "case_id", "line_id", "as_of", i.cast("int").alias("i"), n.cast("int").alias("n"),
         F.date_add("as_of", (i * 30 - n * 30).cast("int")).alias("due"),
-        F.bround(F.coalesce("typical", F.lit(fallback)), 2).alias("instalment"),
+        F.bround(F.coalesce("typical", F.lit(fallback)), digits).alias("instalment"),
         F.least(F.greatest(F.coalesce("dpd", F.lit(0.0)), F.lit(0.0)), F.lit(cfg.dpd_cap_days)).alias("dpd"),
         F.greatest(F.coalesce("overdue", F.lit(0.0)), F.lit(0.0)).alias("overdue"),
     )

@@ -144,7 +144,8 @@ CYCLE_COLS = "case_id, line_id, i, n, due, round(instalment, 6) as instalment, r
 
 
 def cycles(spark, folder):
-    return streams.to_cycles(fx.payments(spark, folder), fx.applicants(spark, folder), fx.instalments(spark, folder))
+    # Six digits instead of two: the amounts then never sit on a rounding tie.
+    return streams.to_cycles(fx.payments(spark, folder), fx.applicants(spark, folder), fx.instalments(spark, folder), digits=6)
 
 
 @q("c19_history_to_cycles", f"select {CYCLE_COLS} from dx_cycles", ("due",))

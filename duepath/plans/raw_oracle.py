@@ -134,6 +134,6 @@ select p.*, row_number() over (partition by case_id, line_id order by pdate desc
     "dx_cycles": """
 select c.case_id, line_id, as_of, cast(least(n_all, 22) - back as int) as i, cast(least(n_all, 22) as int) as n,
   as_of + cast(30 * (least(n_all, 22) - back) - 30 * least(n_all, 22) as int) as due,
-  round_even(coalesce(typical, 100.0), 2) as instalment, least(greatest(coalesce(dpd, 0), 0), 90) as dpd, greatest(coalesce(overdue, 0), 0) as overdue
+  round_even(coalesce(typical, 100.0), 6) as instalment, least(greatest(coalesce(dpd, 0), 0), 90) as dpd, greatest(coalesce(overdue, 0), 0) as overdue
 from dx_cycles0 c join fx_applicants a on a.case_id = c.case_id left join dx_typical t on t.case_id = c.case_id where back <= 22""",
 }

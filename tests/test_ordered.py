@@ -155,11 +155,24 @@ def test_schedule_split_path(spark, sf):
 
 
 def test_metrics_split_path(spark, sf):
-    from duepath.operators import calibrate, governance, metrics, ranking, uncertainty
+    from duepath.operators import calibrate, flags, governance, metrics, ranking, reports, streams, uncertainty
+    from duepath.plans.history_queries import CFG, inflows, transactions
     from duepath.sources import tables as fx
 
     s = fx.scored(spark, sf)
+    subs = fx.submissions(spark, sf).filter("seq < 400")
+    changes = subs.filter(F.col("seq") % 50 < 2).select("issuer", "ts", (F.col("seq") % 2 == 0).alias("approved"))
     for make in (
+        lambda: flags.medians(s, ["raw", "wk"]),
+        lambda: rows_of(reports.score_distribution(s.withColumn("score", F.col("raw")))),
+        lambda: rows_of(calibrate.binned_knots(s, 40)),
+        lambda: rows_of(metrics.spearman(s, "id", ["raw", "wk"])),
+        lambda: rows_of(streams.monthly_income(inflows(spark, sf), CFG)),
+        lambda: rows_of(streams.detect(transactions(spark, sf), CFG)[1]),
+        lambda: rows_of(streams.robust_stats(fx.instalments(spark, sf), ["case_id"], "amount"), 4),
+        lambda: rows_of(governance.merkle_roots(subs.withColumnRenamed("event_hash", "leaf"), ["issuer"], "seq")),
+        lambda: rows_of(governance.issuers_at(subs, changes).select("seq", "approved")),
+        lambda: rows_of(governance.rate_flags(fx.requests(spark, sf), 2).select("seq", "over_limit")),
         lambda: rows_of(metrics.auc(s, ["wk"])),
         lambda: rows_of(metrics.auc(s)),
         lambda: rows_of(uncertainty.delong(s), 10),
