@@ -158,14 +158,14 @@ class PaymentWindow:
         per_case = Window.partitionBy("case_id", *split)
         # Ordered columns come first: the sort they need also serves the unordered windows.
         lines.df = lines.df.withColumns({"late": (F.col("v") > 0).cast("int"), "st": arrears_state(F.col("v"))})
-        lines.add(idx=Index(), v1=Lag("v"), st1=Lag("st"), pdate1=Lag("pdate"), late1=Lag("late", 1), late2=Lag("late", 2),
-                  late3=Lag("late", 3))
+        lines.add(idx=Index(), n=Total(), v1=Lag("v"), st1=Lag("st"), pdate1=Lag("pdate"), late1=Lag("late", 1),
+                  late2=Lag("late", 2), late3=Lag("late", 3))
         lines.df = lines.df.withColumns({
             "clean_at": F.when(F.col("late") == 0, F.col("idx")),
             "late_at": F.when(F.col("late") == 1, F.col("idx")),
             "gap": F.datediff("pdate", "pdate1").cast("double"),
         })
-        lines.add(last_clean=RunningMax("clean_at"), last_late=RunningMax("late_at")).add(n=Total())
+        lines.add(last_clean=RunningMax("clean_at"), last_late=RunningMax("late_at"))
         lines.df = lines.df.select(
             "*",
             F.percentile("paid", F.lit(0.5)).over(per_line).alias("inst24"),

@@ -11,6 +11,7 @@ from duepath.config import DEFAULT, Settings
 from duepath.operators.ordered import Index, OrderedGroups, Total
 from duepath.operators.ranking import average_rank, prefix_counts, score_counts
 from duepath.operators.reports import unpivot
+from duepath.session import cut_lineage
 
 
 def auc(df: DataFrame, keys: Sequence[str] = (), score: str = "raw", target: str = "target", weight: str | None = None,
@@ -155,7 +156,7 @@ def parity_breaks(a: DataFrame, b: DataFrame, columns: Sequence[str], cfg: Setti
 
 def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns, as (x, y, rho) rows."""
-    long = unpivot(df, [key], columns)
+    long = cut_lineage(unpivot(df, [key], columns), "long")
     ranked = average_rank(long, ["feature"], "value")
     wide = ranked.groupBy(key).pivot("feature", list(columns)).agg(F.first("rank"))
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]

@@ -285,7 +285,10 @@ class OrderedGroups:
             F.count(F.lit(1)).over(whole).alias("_cn"),
             *[c.alias(n) for n, c in local.items()],
         )
-        inputs = self.df.select(
+        # Summaries and result both read the windowed rows; writing them keeps one window pass
+        # per call, also when calls are chained.
+        base = cut_lineage(base, "segments")
+        inputs = base.select(
             *self.keys, SEG,
             *sorted({w.column for w in columns.values() if isinstance(w, (RunningSum, RunningMax, NextMin))} - set(self.keys)),
         )
