@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duepath.llm import naming
+from duepath.llm import minmax, naming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +37,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 )
 def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
     return naming.exact_duplicates(table(spark, folder, "documents"))
+
+
+@query("op10_min_max")
+def op10_min_max(spark: SparkSession, folder: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, folder, "documents")).drop("body")
