@@ -5,9 +5,9 @@ and the largest image of the set, so ``BANDS * ROWS / 2`` permutations fill ``BA
 of one permutation go to different bands. Two sets of similarity s share a band with probability
 1 - (1 - s**4)**40: 0.9999998 at 0.75. Every link is then confirmed on the full sets.
 
-Documents with equal sets form one class; one row per class is banded. Inside a bucket no pairs are listed: members
-are compared with the smallest member first; as soon as a bucket's members are in one component it is finished. In
-what is left, only members outside the bucket's largest component are compared with the others, across components.
+Documents with equal sets form one class; one row per class is banded. The pairs of a bucket are not listed: members
+are compared with the bucket's hub, and a bucket whose members are then in one component is finished. Texts of the
+buckets left are compared across components where they share one of their rarest shingles, which no link lacks.
 
 Defined cases: null text and text without words have an empty set, ``n_shingles`` 0, and are linked with nothing;
 fewer than five words are one shingle; rows without doc_id take part and get the smallest id they reach, or null;
@@ -29,7 +29,6 @@ from duepath.llm.components import smallest_reachable
 from duepath.session import cut_lineage
 
 BANDS, ROWS, WORDS = 40, 4, 5
-PIVOT_ROUNDS = 2
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -72,7 +71,6 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int,
         row = 0
         for sets, bounds in document_sets(batch.column("text"), width):
             n = len(bounds) - 1
-            place = np.arange(1, len(sets) + 1, dtype=np.uint64)
             full = np.flatnonzero(np.diff(bounds) > 0)
             digest = np.zeros((2, n), np.uint64)
             if len(full):
@@ -84,7 +82,6 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], bands: int, rows: int,
                 [part.column("doc_id"), part.column("body"), pa.array(np.diff(bounds)), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))],
                 names=["doc_id", "body", "n_shingles", "d0", "d1", "bands"],
             )
-            del place
             row += n
 
 
@@ -94,83 +91,91 @@ def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         for sets, bounds in document_sets(batch.column("text"), width):
             n = len(bounds) - 1
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.slice(row, n).column("node"), lists], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([batch.slice(row, n).column("cid"), lists], names=["cid", "items"])
             row += n
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough. The partner of many is joined last, so its set stays in place."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("of_b")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("items").alias("of_a")), "a")
+    one = pairs.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("of_b")), "b")
+    both = one.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("of_a")), "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * common >= percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
+def _hub_pairs(here: DataFrame) -> DataFrame:
+    """Each member against its bucket's hub: the member that shares most buckets with most others.
+
+    The text that copies were made from is such a member, so this round joins nearly all of a group.
+    """
+    hubs = cut_lineage(here.groupBy("key").agg(F.max(F.struct("weight", "cid", "n")).alias("h")), "hubs")
+    pairs = here.join(hubs, "key").where("cid <> h.cid")
+    return pairs.select(F.col("h.cid").alias("a"), F.col("h.n").alias("n_a"), F.col("cid").alias("b"), F.col("n").alias("n_b")).distinct()
+
+
+def _remaining_pairs(here: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that share one of their rarest shingles, as every pair similar enough must.
+
+    With shingles in one order, rarest first, two sets of that similarity agree in one of the first
+    n - ceil(percent * n / 100) + 1 places of each. Passages common to many texts come last, so a family that shares
+    only such a passage gives no pairs. Counting and joining use 32 bits of a shingle, which can only add candidates.
+    """
+    open_docs = here.select("cid", "n", "root").distinct()
+    items = sets.select("cid", F.explode("items").alias("whole")).select("cid", F.shiftright("whole", 32).cast("int").alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = items.join(counts, "item").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
+    length = F.greatest(F.size("rare") - F.ceil(F.col("n") * percent / 100) + 1, F.lit(0)).cast("int")
+    front = shared.join(open_docs, "cid").select("cid", "n", "root", F.size("rare").alias("in_others"), F.posexplode(F.slice("rare", F.lit(1), length)).alias("at", "x"))
+    front = cut_lineage(front.select("cid", "n", "root", "x.item", (F.col("in_others") - F.col("at")).alias("left")), "front")
+    parts = front.groupBy("item", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("roots"))
+    front = cut_lineage(front.join(parts.where("roots > 1").select("item", F.col("m.root").alias("main")), "item").withColumn("few", F.col("root") != F.col("main")), "members")
+    few = front.where("few").select("item", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("left").alias("left_a"))
+    others = front.select("item", F.col("cid").alias("b"), F.col("n").alias("n_b"), "root", "few", "left")
+    # what two sets have in common from their first common place on is at most what either still shares with any text
+    enough = f"{100 + percent} * least(left, left_a) >= {percent} * (n_a + n_b)"
+    return others.join(few, "item").where(f"(not few or a < b) and root <> root_a and {enough}").select("a", "n_a", "b", "n_b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document, and ``body`` (a digest of id and text that names the row)."""
+    """doc_id, n_shingles, component_id, kept for every document, and ``row`` and ``body``, which name the row and its text."""
     source = docs.select("doc_id", "text").withColumn("body", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut_lineage(
-        source.mapInArrow(lambda it: _signature_batches(it, bands, rows, width), f"doc_id {kind}, body string, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>"), "signed"
-    )
-    # One node per distinct set: its name is the smallest (no id, id, row) of the class, so names order as doc_ids do.
-    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body")
+    made = source.mapInArrow(lambda it: _signature_batches(it, bands, rows, width), f"doc_id {kind}, body string, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>")
+    signed = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()), "signed")
     full = signed.where("n_shingles > 0")
-    classes = cut_lineage(full.groupBy("d0", "d1").agg(F.min(F.struct(name.alias("node"), "n_shingles", "bands")).alias("x")).select("d0", "d1", "x.*"), "classes")
-    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    crowded = cut_lineage(members.join(sizes, ["band", "key"]), "buckets")
-    wanted = crowded.select(F.col("node.body").alias("body")).distinct()
-    texts = source.join(wanted, "body", "left_semi").dropDuplicates(["body"]).select(name.alias("node"), "text")
-    sets = cut_lineage(texts.mapInArrow(lambda it: _set_batches(it, width), _set_schema(texts)), "sets")
-
-    tried, links = [], []
-    labels = None
+    # One class per distinct set; its first row stands for it.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "body")
+    classes = full.groupBy("d0", "d1").agg(F.min(first).alias("x")).select("d0", "d1", F.struct("x.no_id", "x.doc_id").alias("name"), "x.row", "x.body")
+    classes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    members = signed.select("row", "n_shingles", "bands").join(classes.select("row", "cid"), "row").select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = cut_lineage(members.join(sizes, "key"), "crowded")
+    weights = cut_lineage(crowded.groupBy("cid").agg(F.sum("size").alias("weight")), "weights")
+    crowded = cut_lineage(crowded.drop("size").join(weights, "cid"), "buckets")
+    wanted = classes.select("cid", "body").join(weights.select("cid"), "cid")
+    texts = source.select("body", "text").join(wanted, "body").dropDuplicates(["cid"]).select("cid", "text")
+    sets = cut_lineage(texts.mapInArrow(lambda it: _set_batches(it, width), "cid bigint, items array<bigint>"), "sets")
+
     near = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    here = crowded.select("band", "key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("node").alias("root"))
-    for turn in range(PIVOT_ROUNDS + 1):
-        if turn:
-            here = crowded.select("band", "key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-            here = here.join(labels.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-        spread = here.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-        here = cut_lineage(here.join(spread, ["band", "key"]), "open")
+    links, labels = [], None
+    for by_hub in (True, False):
+        here = crowded.withColumn("root", F.col("cid"))
+        if labels is not None:
+            here = crowded.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        open_keys = here.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        here = cut_lineage(here.join(open_keys, "key"), "open")
         if here.isEmpty():
             break
-        if turn < PIVOT_ROUNDS:
-            # the smallest member first, then the smallest that is not in the first one's component
-            if turn == 0:
-                pivots = here.groupBy("band", "key").agg(F.min(F.struct("b", "n_b", "root")).alias("p"))
-            else:
-                first = here.groupBy("band", "key").agg(F.min(F.struct("b", "root")).alias("f")).select("band", "key", F.col("f.root").alias("done"))
-                pivots = here.join(first, ["band", "key"]).where("root <> done").groupBy("band", "key").agg(F.min(F.struct("b", "n_b", "root")).alias("p"))
-            pairs = here.join(cut_lineage(pivots, "pivots"), ["band", "key"])
-            pairs = pairs.where("root <> p.root").select(F.col("p.b").alias("a"), F.col("p.n_b").alias("n_a"), "b", "n_b")
-        else:
-            counts = here.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-            most = counts.groupBy("band", "key").agg(F.max(F.struct("n", "root")).alias("m")).select("band", "key", F.col("m.root").alias("main"))
-            few = cut_lineage(here.join(most, ["band", "key"]).where("root <> main").select("band", "key", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("root").alias("root_a")), "few")
-            pairs = here.join(few, ["band", "key"]).where("root <> root_a")
-        pairs = pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs, "candidates")
-        tried.append(pairs)
+        pairs = _hub_pairs(here) if by_hub else _remaining_pairs(here, sets, percent)
+        pairs = cut_lineage(pairs.where(near).select("a", "b"), "candidates")
         links.append(cut_lineage(_confirmed(pairs, sets, percent), "links"))
         labels = cut_lineage(smallest_reachable(reduce(DataFrame.union, links)), "components")
 
-    named = classes.select("d0", "d1", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left")
-        named = named.select("d0", "d1", F.coalesce("root", "node").alias("root"))
-    else:
-        named = named.select("d0", "d1", F.col("node").alias("root"))
+    named = classes.select("d0", "d1", "cid", "name")
+    named = named.withColumn("root", F.col("cid")) if labels is None else named.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = cut_lineage(named, "named")
-    out = full.drop("bands").join(named, ["d0", "d1"]).select("doc_id", "n_shingles", F.col("root.doc_id").alias("component_id"), "body")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "body")
+    least = cut_lineage(named.groupBy("root").agg(F.min("name").alias("least")).select("root", F.col("least.doc_id").alias("component_id")), "least")
+    found = cut_lineage(named.join(least, "root").select("d0", "d1", "component_id"), "found")
+    out = full.join(found, ["d0", "d1"]).select("doc_id", "n_shingles", "component_id", "row", "body")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", "body")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _set_schema(texts: DataFrame):
-    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
-
-    return StructType([texts.schema["node"], StructField("items", ArrayType(LongType(), False))])

@@ -41,4 +41,4 @@ def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_min_max")
 def op10_min_max(spark: SparkSession, folder: str) -> DataFrame:
-    return minmax.near_duplicates(table(spark, folder, "documents")).drop("body")
+    return minmax.near_duplicates(table(spark, folder, "documents")).drop("row", "body")
