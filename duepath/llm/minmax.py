@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from duepath.llm import text as tx
 from duepath.llm.components import smallest_reachable
+from duepath.llm.rows import content_key, only
 from duepath.session import cut_lineage
 
 BANDS, ROWS, WORDS = 40, 4, 5
@@ -137,8 +138,8 @@ def _remaining_pairs(here: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, width: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document, and ``row`` and ``body``, which name the row and its text."""
-    source = docs.select("doc_id", "text").withColumn("body", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+    """doc_id, n_shingles, component_id, kept for every document, and ``row``, ``body`` and ``root``, which name the row, its text and its component."""
+    source = docs.select("doc_id", "text").withColumn("body", content_key(F.col("doc_id"), F.col("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = source.mapInArrow(lambda it: _signature_batches(it, bands, rows, width), f"doc_id {kind}, body string, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>")
     signed = cut_lineage(made.withColumn("row", F.monotonically_increasing_id()), "signed")
@@ -175,7 +176,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows
     named = named.withColumn("root", F.col("cid")) if labels is None else named.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = cut_lineage(named, "named")
     least = cut_lineage(named.groupBy("root").agg(F.min("name").alias("least")).select("root", F.col("least.doc_id").alias("component_id")), "least")
-    found = cut_lineage(named.join(least, "root").select("d0", "d1", "component_id"), "found")
-    out = full.join(found, ["d0", "d1"]).select("doc_id", "n_shingles", "component_id", "row", "body")
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", "body")
+    found = cut_lineage(named.join(least, "root").select("d0", "d1", "component_id", "root"), "found")
+    out = full.join(found, ["d0", "d1"]).select("doc_id", "n_shingles", "component_id", "row", "body", "root")
+    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "row", "body", F.lit(None).cast("long").alias("root"))
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The documents, all columns, with one row of each component: the first of those with its smallest doc_id.
+
+    Documents without words are linked with nothing and all stay.
+    """
+    found = near_duplicates(docs, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    linked = found.where("n_shingles > 0").groupBy("root").agg(F.min_by("body", place).alias("key")).select("key")
+    bodies = found.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"))
+    stay = bodies.join(linked.withColumnRenamed("key", "body"), "body").select(F.col("body").alias("key"), (F.col("n") > 1).alias("repeated"))
+    alone = bodies.where("n_shingles = 0").select(F.col("body").alias("key"), F.lit(False).alias("repeated"))
+    return only(docs, cut_lineage(stay.unionByName(alone), "stay"))

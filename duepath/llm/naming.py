@@ -19,6 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duepath.llm.rows import content_key, only
 from duepath.session import cut_lineage
 
 BLOCK = 4096
@@ -44,13 +45,14 @@ def _block_rows(texts: DataFrame, size: int, fingerprint: Callable[[Column], Col
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """One row per document: doc_id, n_chars, text_sha256, n_bytes and ``name``; (n_bytes, name) identifies the text."""
+    """One row per document: doc_id, n_chars, text_sha256, key, n_bytes and ``name``; (n_bytes, name) identifies the text."""
     source = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("raw")).withColumn("clean", without_space(F.col("raw")))
     texts = source.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         F.char_length("raw").cast("long").alias("n_chars"),
         F.sha2("clean", 256).alias("text_sha256"),
+        content_key(F.col("doc_id"), F.col("raw")).alias("key"),
         F.octet_length("clean").alias("n_bytes"),
         F.col("clean").cast("binary").alias("body"),
     )
@@ -63,11 +65,11 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK, fingerprint: Callable[
     else:
         joined = rows.join(named, ["print", "block"]).drop("block")
     first = F.col("pos") == 0
-    facts = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_chars", "text_sha256")]
+    facts = [F.when(first, F.col(c)).alias(c) for c in ("doc_id", "n_chars", "text_sha256", "key")]
     level = cut_lineage(joined.select("row", "pos", "n_bytes", "name", *facts), "level")
-    heads = level.where(first).select("row", "doc_id", "n_chars", "text_sha256", "n_bytes")
+    heads = level.where(first).select("row", "doc_id", "n_chars", "text_sha256", "key", "n_bytes")
     single = F.col("n_bytes") <= block_bytes
-    out = level.where(first & single).select("doc_id", "n_chars", "text_sha256", "n_bytes", "name")
+    out = level.where(first & single).select("doc_id", "n_chars", "text_sha256", "key", "n_bytes", "name")
     longest = level.agg(F.max("pos")).first()[0] or 0
     left, span = level.where(~single).select("row", "pos", "n_bytes", "name"), block_bytes
     while longest > 0:
@@ -80,13 +82,13 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK, fingerprint: Callable[
         names = _numbered(pairs.select("a", "b").distinct(), "a", "b")
         left = cut_lineage(pairs.join(names, ["a", "b"]).select("row", F.col("half").alias("pos"), "n_bytes", "name"), "level")
         ready = F.col("n_bytes") <= span
-        out = out.unionByName(left.where(ready).select("row", "name").join(heads, "row").select("doc_id", "n_chars", "text_sha256", "n_bytes", "name"))
+        out = out.unionByName(left.where(ready).select("row", "name").join(heads, "row").select("doc_id", "n_chars", "text_sha256", "key", "n_bytes", "name"))
         left = left.where(~ready)
     return out
 
 
 def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK, fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every document.
+    """doc_id, keep_id, group_size, kept, text_sha256, and the content key, for every document.
 
     Of equal texts the row with the most code points in the original text stays, then the one with the smallest doc_id.
     """
@@ -94,5 +96,12 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK, fingerprint: Cal
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     best = cut_lineage(named.groupBy("n_bytes", "name").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(best, ["n_bytes", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "key"
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with the one row of each group of equal texts that stays."""
+    found = exact_duplicates(docs)
+    stay = found.groupBy("key").agg(F.max("kept").alias("kept"), (F.count(F.lit(1)) > 1).alias("repeated")).where("kept").drop("kept")
+    return only(docs, cut_lineage(stay, "stay"))

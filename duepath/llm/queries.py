@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duepath.llm import minmax, naming
+from duepath.llm import bpe, langid, leaks, minmax, naming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,9 +38,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """,
 )
 def op2_block_naming(spark: SparkSession, folder: str) -> DataFrame:
-    return naming.exact_duplicates(table(spark, folder, "documents"))
+    return naming.exact_duplicates(table(spark, folder, "documents")).drop("key")
 
 
 @query("op10_min_max")
 def op10_min_max(spark: SparkSession, folder: str) -> DataFrame:
-    return minmax.near_duplicates(table(spark, folder, "documents")).drop("row", "body")
+    return minmax.near_duplicates(table(spark, folder, "documents")).drop("row", "body", "root")
+
+
+def crc_rest(parts: int):
+    """crc32 of doc_id as text, modulo ``parts``; a missing id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(parts))
+
+
+@query("op4_compression")
+def op4_compression(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.train(docs)).select("doc_id", (crc_rest(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op1_embedded_edits")
+def op1_embedded_edits(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_chunked_bpe")
+def op6_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
