@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duepath.llm import bpe, langid, leaks, minmax, naming
+from duepath.llm import bpe, langid, leaks, minmax, naming, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,10 @@ def op1_embedded_edits(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_chunked_bpe")
 def op6_chunked_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op8_subword_bags")
+def op8_subword_bags(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), crc_rest(3) != 1)
+    return toxicity.predict(docs, model).select("doc_id", (crc_rest(3) == 1).alias("held_out"), "score", "predicted")
