@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duepath.llm import bpe, langid, leaks, minmax, naming, toxicity
+from duepath.llm import bpe, html, langid, leaks, minmax, naming, pfor, pii, resample, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +72,23 @@ def op8_subword_bags(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.train(docs, table(spark, folder, "labels"), crc_rest(3) != 1)
     return toxicity.predict(docs, model).select("doc_id", (crc_rest(3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op3_shape_field")
+def op3_shape_field(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find(table(spark, folder, "documents"))
+
+
+@query("op5_importance_resampling")
+def op5_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op7_patched_blocks")
+def op7_patched_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return pfor.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_text_blocks")
+def op9_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
