@@ -40,7 +40,8 @@ from duepath.session import cut_lineage, fresh_path
 BLOCK, PERCENTILE, VERSION = 256, 95, 1
 TAIL = struct.Struct("<4sIQQQQ")
 BLOCK_HEAD = struct.Struct("<IHBBH")
-REMEMBERED = 400_000
+#: Words a task's process remembers before it starts anew; about 200 bytes each.
+REMEMBERED = 1_000_000
 
 
 # ---- file format -------------------------------------------------------------------------------------------------
@@ -63,8 +64,8 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     for w in np.unique(width):
         which = np.flatnonzero(width == w)
         values = rest[which]
-        bits = ((values[:, :, None] >> np.arange(int(w), dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+        bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(len(which), BLOCK, 4), axis=2, bitorder="little")
+        packed = np.packbits(bits[:, :, : int(w)].reshape(len(which), -1), axis=1, bitorder="little")
         high = values >> np.uint32(w) if w < 32 else np.zeros_like(values)
         for k, b in enumerate(which):
             at = np.flatnonzero(high[k, : size[b]])
@@ -81,8 +82,9 @@ def unpack(raw: bytes, places: np.ndarray) -> np.ndarray:
     for w in np.unique(widths):
         which, size = np.flatnonzero(widths == w), BLOCK * int(w) // 8
         packed = np.stack([np.frombuffer(raw, np.uint8, size, int(places[b]) + BLOCK_HEAD.size) for b in which])
-        bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
-        values = (bits.astype(np.uint32) << np.arange(int(w), dtype=np.uint32)).sum(2, dtype=np.uint32)
+        bits = np.zeros((len(which), BLOCK, 32), np.uint8)
+        bits[:, :, : int(w)] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, int(w))
+        values = np.packbits(bits, axis=2, bitorder="little").view("<u4").reshape(len(which), BLOCK).astype(np.uint32)
         for k, b in enumerate(which):
             low, n, _, _, odd = heads[b]
             at = int(places[b]) + BLOCK_HEAD.size + size
@@ -163,7 +165,7 @@ def _tokenizer(path: str) -> Tokenizer:
     return made
 
 
-_memory: dict[str, dict[bytes, np.ndarray]] = {}
+_memory: dict[str, dict[bytes, bytes]] = {}
 
 _SPACE_BYTES = tx.table(tx.SPACES)
 _LETTER = tx.table(bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
@@ -192,6 +194,7 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """Ids of each text, in order."""
     made = _tokenizer(path)
+    kind = np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
     known = _memory.setdefault(path, {})
     for _, raw, offsets in tx.slices(column):
         body = tx.lower_ascii(raw)
@@ -210,10 +213,10 @@ def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         for at in range(0, len(fresh), 8192):
             group = fresh[at : at + 8192]
             for word, found in zip(group, made.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)):
-                known[word] = np.array(found.ids, np.uint16 if max(found.ids, default=0) < 1 << 16 else np.uint32)
+                known[word] = np.array(found.ids, kind).tobytes()
         lists = [known[w] for w in words]
-        size = np.array([len(x) for x in lists])
-        joined = np.concatenate(lists).astype(np.uint32)
+        size = np.array(list(map(len, lists))) // kind.itemsize
+        joined = np.frombuffer(b"".join(lists), kind).astype(np.uint32)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         n = size[place]
         to = np.concatenate([[0], np.cumsum(n)])
@@ -274,7 +277,7 @@ def read(manifest: DataFrame, doc_kind: str = "bigint") -> DataFrame:
                     part = slice(at, at + 8192)
                     yield pa.RecordBatch.from_arrays([names.slice(at, 8192), pa.array(start[part], pa.int64()), pa.array(counts[part], pa.int64()), pa.array(sums[part], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.withColumn("first_id", before).select("file", "first_id").repartition("file")
+    files = manifest.withColumn("first_id", before).select("number", "file", "first_id").repartitionByRange(max(1, manifest.count()), "number")
     return files.mapInArrow(batches, f"doc_id {doc_kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

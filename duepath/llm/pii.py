@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and further spans by a linear-chain conditional random field.
 
 The patterns find emails, IP addresses, card numbers and phone numbers (``base_spans``). The field labels the words near
-a digit or an ``@`` by word shapes and neighbours; it is trained from the small table ``LABELLED`` by gradient ascent
+a digit, an ``@`` or a written (at) by word shapes and neighbours; it is trained from the small table ``LABELLED`` by gradient ascent
 and decoded by Viterbi over batches of word sequences in numpy. It adds what patterns miss, such as ``name (at) host``
 or phone numbers without a plus sign; spans that touch a base span of any kind are left out, base spans always stay.
 
@@ -32,7 +32,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
 
