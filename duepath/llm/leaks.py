@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -49,7 +49,7 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Table:
-    """One hash table: random bits by step, sampled steps, and the items' keys after each sample."""
+    """One hash table: random bits by step, sampled steps, and the items' keys after each sample (``bits_seen``: their first bits)."""
 
     size: int
     bits: np.ndarray
@@ -58,6 +58,8 @@ class Table:
     keys: np.ndarray
     items: np.ndarray
     offsets: np.ndarray
+    bits_seen: list[np.ndarray] = field(default_factory=list)
+    low: np.ndarray | None = None
 
 
 def _walk(words: np.ndarray, start: np.ndarray, limit: np.ndarray, table: Table, levels: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -74,8 +76,10 @@ def _walk(words: np.ndarray, start: np.ndarray, limit: np.ndarray, table: Table,
                 seen.append(key)
             else:
                 known = levels[len(seen)]
-                fits = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-                alive, place, key, word = alive[fits], place[fits], key[fits], word[fits]
+                if j:  # the first word has been looked up before; most other misses show in a few bits
+                    fits = np.flatnonzero(table.bits_seen[len(seen)][(key >> np.uint64(48)).astype(np.int64)])
+                    fits = fits[known[np.minimum(np.searchsorted(known, key[fits]), len(known) - 1)] == key[fits]]
+                    alive, place, key, word = alive[fits], place[fits], key[fits], word[fits]
                 seen.append(known)
                 if not len(alive):
                     break
@@ -96,8 +100,10 @@ def build(items: list[np.ndarray]) -> list[Table]:
     for (size, exact), members in sorted(by_size.items()):
         for r in range(1 if exact else repetitions()):
             bits = rng.permutation(64).astype(np.uint64)
-            free = np.arange(1, 2 * size)
-            steps = np.arange(1, 2 * size) if exact else np.sort(rng.choice(free, min(SAMPLED - 1, len(free)), replace=False))
+            # one sample soon after the first ends most walks early; the rest are spread over the window
+            soon = int(rng.integers(1, min(4, 2 * size - 1) + 1))
+            free = np.setdiff1d(np.arange(1, max(size, 2)), [soon])
+            steps = np.arange(1, 2 * size) if exact else np.sort(np.append(rng.choice(free, min(SAMPLED - 2, len(free)), replace=False), soon))
             steps = np.concatenate([[0], steps]).astype(np.int64)
             offsets = np.array([0 if exact else round(r * (len(items[k]) - size) / max(1, repetitions() - 1)) for k in members])
             table = Table(size, bits, steps, [], np.zeros(0, np.uint64), np.array(members), offsets)
@@ -108,10 +114,12 @@ def build(items: list[np.ndarray]) -> list[Table]:
             order = np.argsort(key, kind="stable")
             table.keys, table.items, table.offsets = key[order], table.items[order], offsets[order]
             table.levels = [np.unique(s) for s in seen]
+            table.bits_seen = [np.zeros(1 << 16, bool) for _ in seen]
+            for known, flags in zip(table.levels, table.bits_seen):
+                flags[(known >> np.uint64(48)).astype(np.int64)] = True
             # what is looked up first: the first sampled word itself
-            table.first = np.unique(flat[start])
-            table.low = np.zeros(1 << 16, bool)
-            table.low[(table.first >> np.uint64(40)).astype(np.int64) & 0xFFFF] = True
+            table.low = np.zeros(1 << 18, bool)
+            table.low[(flat[start] >> np.uint64(40)).astype(np.int64) & 0x3FFFF] = True
             out.append(table)
     return out
 
@@ -132,11 +140,12 @@ def find(words: np.ndarray, bounds: np.ndarray, items: list[np.ndarray], tables:
     if not len(words):
         return []
     row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    short = (words >> np.uint64(40)).astype(np.int64) & 0xFFFF
+    short = (words >> np.uint64(40)).astype(np.int64) & 0x3FFFF
     hits: list[np.ndarray] = []
+    some = np.flatnonzero(np.any([t.low for t in tables], axis=0)[short]) if tables else short[:0]
+    short = short[some]
     for table in tables:
-        at = np.flatnonzero(table.low[short])
-        at = at[table.first[np.minimum(np.searchsorted(table.first, words[at]), len(table.first) - 1)] == words[at]]
+        at = some[table.low[short]]
         if not len(at):
             continue
         limit = np.minimum(at + table.size, bounds[row_of[at] + 1])
@@ -162,7 +171,14 @@ def find(words: np.ndarray, bounds: np.ndarray, items: list[np.ndarray], tables:
             row, start = near[0, part : part + 4096], near[1, part : part + 4096] - 2 * allowed
             place = start[:, None] + np.arange(width)
             inside = (place >= bounds[row][:, None]) & (place < bounds[row + 1][:, None])
-            edits = edit_distance(item, np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0)))
+            seen = np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+            # what the item has and the stretch lacks must be edited
+            sorted_item = np.sort(item)
+            there = (sorted_item[np.minimum(np.searchsorted(sorted_item, seen), len(item) - 1)] == seen).sum(1) >= len(item) - allowed
+            if not there.any():
+                continue
+            row, start = row[there], start[there]
+            edits = edit_distance(item, seen[there])
             for r, s, e in zip(row[edits <= allowed].tolist(), start[edits <= allowed].tolist(), edits[edits <= allowed].tolist()):
                 at = max(0, s + 2 * allowed - int(bounds[r]))
                 best[r, int(k)] = min(best.get((r, int(k)), (e, at)), (e, at))
