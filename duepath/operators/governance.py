@@ -82,8 +82,10 @@ def _json_number(value: Column) -> Column:
 
 
 def _json_text(value: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(value, r"\\", r"\\\\"), '"', r'\\"')
-    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(escaped, "\n", r"\\n"), "\r", r"\\r"), "\t", r"\\t")
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    short = {"\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
+    for code in range(32):
+        escaped = F.replace(escaped, F.lit(chr(code)), F.lit(short.get(chr(code), f"\\u{code:04x}")))
     return F.when(value.isNull(), "null").otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
 
 
@@ -327,7 +329,7 @@ def attach_advice(reasons: DataFrame, advice: DataFrame, generic: str, limit: in
     plain = F.regexp_replace("feature", "_", " ")
     return out.select(
         "case_id", "place", "feature",
-        F.coalesce("title", F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 200)))).alias("title"),
+        F.coalesce("title", F.concat(F.upper(F.substring(plain, 1, 1)), F.lower(F.substring(plain, 2, 1 << 30)))).alias("title"),
         F.coalesce("detail", F.lit(generic)).alias("detail"), (known & ~F.coalesce("fixed", F.lit(False))).alias("actionable"))
 
 

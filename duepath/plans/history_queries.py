@@ -186,8 +186,8 @@ def _(spark, folder):
 
 
 @q("a13_connection_thickness", """
-select cast(o_custkey as varchar) as case_id, count(distinct o_orderkey // 50) as accounts,
-  count(distinct case when (o_orderkey // 50) % 3 = 2 then o_orderkey // 50 end) as credit_accounts,
+select cast(o_custkey as varchar) as case_id, count(distinct o_orderkey // 50 % 2) as accounts,
+  count(distinct case when (o_orderkey // 50) % 3 = 2 then o_orderkey // 50 % 2 end) as credit_accounts,
   count(*) filter (o_orderkey % 4 in (1, 2)) as mandates, count(*) as transactions from orders group by o_custkey""")
 def _(spark, folder):
     t = openbanking.thickness(openbanking.parse_payloads(fx.account_payloads(spark, folder)))

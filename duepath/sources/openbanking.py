@@ -124,7 +124,9 @@ def thickness(payloads: DataFrame) -> DataFrame:
 
     credit = F.upper(F.coalesce(a["account_type"], F.lit(""))).isin("CREDIT_CARD", "CARD", "LOAN", "MORTGAGE")
     return accounts(payloads).groupBy("case_id").agg(
-        F.count("a").alias("accounts"), F.count_if(credit).alias("credit_accounts"),
+        # an account that comes on several pages counts once
+        (F.count_distinct(a["account_id"]) + F.count_if(a.isNotNull() & a["account_id"].isNull())).alias("accounts"),
+        (F.count_distinct(F.when(credit, a["account_id"])) + F.count_if(credit & a["account_id"].isNull())).alias("credit_accounts"),
         F.sum(F.greatest(length("direct_debits"), F.lit(0)) + F.greatest(length("standing_orders"), F.lit(0))).alias("mandates"),
         F.sum(F.greatest(length("transactions"), F.lit(0))).alias("transactions"),
     )

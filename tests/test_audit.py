@@ -111,3 +111,15 @@ def test_shared_folder_comes_from_the_session(spark):
     bare = NS(conf=NS(get=lambda k, d=None: d), sparkContext=NS(master="yarn", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         shared_dir(bare)
+
+
+def test_canonical_text_escapes_every_control_character(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from duepath.operators import governance
+
+    text = "".join(map(chr, range(32))) + 'a"b\\c/\u00e9\u007f'
+    got = spark.createDataFrame([(text,)], "t string").select(governance._json_text(F.col("t"))).first()[0]
+    assert got == json.dumps(text, ensure_ascii=False)
