@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column
@@ -18,9 +19,11 @@ EMPLOYMENT_WORDS = ("salar", "employ", "wage", "work", "private_sector")
 SALARY_PATTERN = r"\b(salary|salaries|payroll|wages?|hmrc|net\s*pay|paye)\b"
 CREDIT_ACCOUNT_WORDS = ("credit", "card", "loan", "mortgage", "overdraft")
 TITLES = ("MR", "MRS", "MISS", "MS", "DR", "PROF", "SIR", "MX", "REV")
-# Latin-1 letters that decompose to a base letter plus an accent.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+# Letters that decompose to one plain letter and accents, over the Latin blocks and the full-width letters.
+_LETTERS = (chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF21, 0xFF5B)))
+_BASES = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in _LETTERS}
+ACCENTED = "".join(c for c, base in _BASES.items() if len(base) == 1 and base.isascii() and base.isalpha())
+PLAIN = "".join(_BASES[c] for c in ACCENTED)
 
 
 def number(value: Column | str) -> Column:

@@ -50,7 +50,9 @@ def build_events(rows: DataFrame, model_version: str) -> DataFrame:
 
 
 def validate_events(events: DataFrame) -> DataFrame:
-    """First rule each event breaks, or null. Columns: userId, modelVersion, timestamp, newScore."""
+    """First rule each event breaks, or null. Columns: userId, modelVersion, timestamp, newScore and, where there,
+    positiveFactors and negativeFactors. A text column of a score or of factors holds the raw JSON of that field,
+    so a quoted number is no score; a null one is an absent field."""
     c = F.col
 
     def blank(name: str) -> Column:
@@ -60,6 +62,12 @@ def validate_events(events: DataFrame) -> DataFrame:
     finite = value.isNotNull() & (F.abs(value) != float("inf"))
     reason = F.when(blank("userId"), "userId").when(blank("modelVersion"), "modelVersion").when(blank("timestamp"), "timestamp")
     reason = reason.when(~finite, "newScore").when(F.col("timestamp").try_cast("timestamp").isNull(), "timestamp value")
+    kinds = dict(events.dtypes)
+    for name in ("positiveFactors", "negativeFactors"):
+        kind = kinds.get(name, "array")
+        if not kind.startswith("array"):
+            is_list = F.from_json(c(name), "array<string>").isNotNull() if kind == "string" else F.lit(False)
+            reason = reason.when(c(name).isNotNull() & ~is_list, name)
     return events.withColumn("reject_reason", reason)
 
 

@@ -57,7 +57,7 @@ def events(spark, folder):
         F.bround(F.col("o_totalprice") / 1000 + 300.3).cast("bigint").alias("newScore"),
         F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(MODEL).alias("modelVersion"),
         ((F.col("o_orderkey") % 9) / 8.0).alias("confidence"),
-        F.array(F.concat(F.lit('Paid "'), F.substring("o_orderpriority", 3, 100), F.lit('"'))).alias("positiveFactors"))
+        F.array(F.concat(F.lit('Paid "'), F.expr("substring(o_orderpriority, 3)"), F.lit('"'))).alias("positiveFactors"))
 
 
 EVENT_TEXT = {"userId": "text", "newScore": "number", "timestamp": "text", "modelVersion": "text", "confidence": "number", "positiveFactors": "texts"}
@@ -94,13 +94,14 @@ def _(spark, folder):
 
 @q("g02_validated_events", """
 select event_id, case when event_id % 50 = 0 then 'userId' when event_id % 51 = 0 then 'timestamp' when event_id % 52 = 0 then 'newScore'
-  when event_id % 53 = 0 then 'timestamp value' end as reject_reason from events""")
+  when event_id % 53 = 0 then 'timestamp value' when event_id % 47 = 0 then 'positiveFactors' end as reject_reason from events""")
 def _(spark, folder):
     i = F.col("event_id")
     e = fx.table(spark, folder, "events").select(
         "event_id", F.when(i % 50 == 0, " ").otherwise(F.col("user_id").cast("string")).alias("userId"), F.lit(MODEL).alias("modelVersion"),
         F.when(i % 52 == 0, "NaN").otherwise(F.col("value").cast("string")).alias("newScore"),
-        F.when(i % 51 == 0, None).when(i % 53 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"))
+        F.when(i % 51 == 0, None).when(i % 53 == 0, "soon").otherwise(F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("timestamp"),
+        F.when(i % 47 == 0, '"late"').when(i % 3 != 0, F.to_json(F.array("event_type"))).alias("positiveFactors"))
     return gov.validate_events(e).select("event_id", "reject_reason")
 
 
@@ -201,7 +202,7 @@ def _(spark, folder):
     a = anchors(spark, folder)
     registry = a.groupBy("user_hash").agg(F.max_by("anchored_hash", "seq").alias("latest_hash"))
     i = F.col("seq")
-    who = F.concat(F.lit("user-"), F.when(i % 13 == 0, "0x").otherwise(F.substring("userId", 6, 40)))
+    who = F.concat(F.lit("user-"), F.when(i % 13 == 0, "0x").otherwise(F.expr("substring(userId, 6)")))
     claims = events(spark, folder).select(
         i.alias("claim_id"), F.sha2(F.when(i % 11 == 0, F.lit(-1)).otherwise(i).cast("string"), 256).alias("tx_hash"),
         F.when(i % 5 != 0, gov.user_commitment(who, SALT)).alias("claimed_user_hash"),

@@ -214,11 +214,11 @@ def _(spark, folder):
     return df.select("case_id", "num_group1", F.round(clean.row_max(bureau.matching(df.columns, "^annuity_")), 6).alias("annuity"))
 
 
-@q("p06_clean_text", "select case_id, education, housing, income_type from dx_declared")
+@q("p06_clean_text", "select case_id, num_group1, education, housing, income_type from dx_declared, (values (0), (1)) g(num_group1)")
 def _(spark, folder):
-    p = fx.person(spark, folder).filter("num_group1 = 0")
+    p = fx.person(spark, folder)
     return p.select(
-        F.col("case_id").cast("string").alias("case_id"), clean.clean_text("education_927M").alias("education"),
+        F.col("case_id").cast("string").alias("case_id"), "num_group1", clean.clean_text("education_927M").alias("education"),
         clean.clean_text("housetype_905L").alias("housing"), clean.clean_text("incometype_1044T").alias("income_type"))
 
 
@@ -227,17 +227,17 @@ def _(spark, folder):
     return bureau.declared(fx.person(spark, folder))
 
 
-@q("p08_applicant_row", "select case_id, stated_income, income_type from dx_declared where stated_income is not null")
+@q("p08_applicant_row", "select case_id, stated_income, income_type from dx_declared")
 def _(spark, folder):
-    return bureau.declared(fx.person(spark, folder)).select("case_id", "stated_income", "income_type").filter(F.col("stated_income").isNotNull())
+    return bureau.declared(fx.person(spark, folder)).select("case_id", "stated_income", "income_type")
 
 
 PAYEE = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[0-9]+', '', 'g'), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@q("p09_payee_text", f"select doc_id, {PAYEE.format('text')} as payee from documents where text <> ''")
+@q("p09_payee_text", f"select doc_id, {PAYEE.format("coalesce(text, '')")} as payee from documents")
 def _(spark, folder):
-    d = fx.table(spark, folder, "documents").filter("text <> ''")
+    d = fx.table(spark, folder, "documents")
     return d.select("doc_id", clean.payee(F.col("text"), F.lit(""), F.lit(None).cast("string")).alias("payee"))
 
 

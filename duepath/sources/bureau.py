@@ -143,13 +143,15 @@ def declared(person: DataFrame) -> DataFrame:
     )
 
 
-def case_universe(base: DataFrame | None, payments: DataFrame) -> DataFrame:
-    """Cases with a decision date; without a base table, every case that has payments."""
-    if base is None:
-        return payments.select("case_id").distinct().withColumn("as_of", F.lit(None).cast("date"))
-    return base.select(
-        F.col("case_id").cast("string").alias("case_id"), F.col("date_decision").try_cast("date").alias("as_of")
-    ).filter(F.col("as_of").isNotNull())
+def case_universe(base: DataFrame | None, payments: DataFrame | None) -> DataFrame:
+    """Cases with a decision date; where no row has one, every case that has payments."""
+    if base is not None:
+        dated = base.select(
+            F.col("case_id").cast("string").alias("case_id"), F.col("date_decision").try_cast("date").alias("as_of")
+        ).filter(F.col("as_of").isNotNull())
+        if payments is None or not dated.isEmpty():
+            return dated
+    return payments.select("case_id").distinct().withColumn("as_of", F.lit(None).cast("date"))
 
 
 def applicants(base: DataFrame, income_side: DataFrame, declared_side: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.when(paid_in, F.col("o_totalprice")).otherwise(-F.col("o_totalprice")).alias("amount"),
         F.when(paid_in & (F.col("o_custkey") % 2 == 0), "ACME SALARY 42")
         .when(paid_in, "Transfer-7")
-        .otherwise(F.concat(F.lit("Loan "), F.substring("o_orderpriority", 3, 100)))
+        .otherwise(F.concat(F.lit("Loan "), F.expr("substring(o_orderpriority, 3)")))
         .alias("merchant"),
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("string").alias("category"),
@@ -88,7 +88,7 @@ def mandates(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
     return o.filter(F.col("o_orderkey") % 4 == 1).select(
         _text("o_custkey").alias("case_id"),
-        F.concat(F.lit("loan "), F.lower(F.substring("o_orderpriority", 3, 100))).alias("payee"),
+        F.concat(F.lit("loan "), F.lower(F.expr("substring(o_orderpriority, 3)"))).alias("payee"),
         (F.col("o_totalprice") / 120).alias("amount"),
     )
 

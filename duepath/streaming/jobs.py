@@ -107,9 +107,14 @@ def accept_per_user(submissions: DataFrame) -> DataFrame:
     return rows.groupBy("user_hash").applyInPandasWithState(_accept, ACCEPT_OUT, ACCEPT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def daily_usage(submissions: DataFrame, late: str = "1 day") -> DataFrame:
-    """Submissions per issuer and UTC day; days close when the watermark has passed them."""
-    return submissions.withWatermark("ts", late).groupBy("issuer", F.window("ts", "1 day").alias("w")).agg(
+def daily_usage(submissions: DataFrame, late: str | None = None) -> DataFrame:
+    """Submissions per issuer and UTC day, late ones included, however the stream is cut into batches.
+
+    The state is one count per issuer and day. A stream that never ends can close days by naming ``late``;
+    rows later than that are then not counted.
+    """
+    rows = submissions if late is None else submissions.withWatermark("ts", late)
+    return rows.groupBy("issuer", F.window("ts", "1 day").alias("w")).agg(
         F.count(F.lit(1)).alias("used")).select("issuer", F.col("w.start").cast("date").alias("day"), "used")
 
 

@@ -90,6 +90,25 @@ def test_streams_equal_batch(spark, sf):
     assert rows_of(used) == rows_of(gov.quota_usage(s, 2).select("issuer", "day", "used"))
 
 
+def test_daily_usage_counts_late_rows(spark, tmp_path):
+    path = str(tmp_path / "late")
+    for day in (9, 3, 6, 3, 1):
+        spark.createDataFrame([("a", dt.datetime(2026, 3, day, 12))], "issuer string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("issuer string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    got = jobs.drain_updates(jobs.daily_usage(stream), ["issuer", "day"], "t-late").collect()
+    assert {(r["day"].day, r["used"]) for r in got} == {(9, 1), (3, 2), (6, 1), (1, 1)} and len(got) == 4
+
+
+def test_events_with_wrong_factor_lists(spark):
+    good = ("u", "m", "2026-03-01T00:00:00Z", "650")
+    cases = [(None, None, None), ("[]", '["a", "b"]', None), ('"late"', None, "positiveFactors"), ("null", None, "positiveFactors"), ("[]", '{"a": 1}', "negativeFactors"), ("", None, "positiveFactors")]
+    rows = [(*good, p, n, want) for p, n, want in cases] + [("u", "m", good[2], '"650"', None, None, "newScore")]
+    df = spark.createDataFrame(rows, "userId string, modelVersion string, timestamp string, newScore string, positiveFactors string, negativeFactors string, want string")
+    assert [r for r in gov.validate_events(df).collect() if r["want"] != r["reject_reason"]] == []
+    lists = df.select("userId", "modelVersion", "timestamp", F.lit(650.0).alias("newScore"), F.array(F.lit("a")).alias("positiveFactors"))
+    assert gov.validate_events(lists).where("reject_reason is not null").isEmpty()
+
+
 def test_incremental_build_refuses_other_versions(spark, tmp_path):
     path = str(tmp_path / "out")
     df = spark.createDataFrame([("1", 1.0), ("2", 2.0)], "case_id string, f double")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,23 @@ def test_text_code_and_names(spark):
     assert code == 14739965 == int(hashlib.md5(b"SALARIED").hexdigest()[:6], 16)
     name = spark.range(1).select(clean.plain_name(F.lit("Dr. Zoë  Anne O'Néil-Smith"))).first()[0]
     assert name == "ZOE ANNE O NEIL SMITH"
+    assert spark.range(1).select(clean.plain_name(F.lit("Dvořák Łukasz Nguyễn ＡＢ"))).first()[0] == "DVORAK UKASZ NGUYEN AB"
+    every = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(unicodedata.normalize("NFKD", chr(c)).translate(dict.fromkeys(range(0x300, 0x370)))) == 1]
+    got = spark.createDataFrame([(c,) for c in every], "c string").select("c", clean.plain_name(F.col("c")).alias("p")).collect()
+    assert len(got) > 500
+    for r in got:
+        plain = unicodedata.normalize("NFKD", r["c"])[0]
+        assert r["p"] == (plain.upper() if plain.isascii() and plain.isalpha() else ""), r["c"]
+
+
+def test_case_universe_without_dated_rows(spark):
+    pay = spark.createDataFrame([("7",), ("7",), ("8",)], "case_id string")
+    for rows in ([], [(1, None)], [(1, "soon")]):
+        base = spark.createDataFrame(rows, "case_id int, date_decision string")
+        assert {tuple(r) for r in bureau.case_universe(base, pay).collect()} == {("7", None), ("8", None)}
+        assert bureau.case_universe(base, None).isEmpty()
+    base = spark.createDataFrame([(1, "2026-01-10"), (2, None)], "case_id int, date_decision string")
+    assert [tuple(r) for r in bureau.case_universe(base, pay).collect()] == [("1", AS_OF)]
     tries = spark.range(1).select(clean.name_spellings(F.lit("mr Jon A Doe"))).first()[0]
     assert tries == ["JON A DOE", "JON DOE", "J DOE"]
 
