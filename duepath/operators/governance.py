@@ -271,7 +271,8 @@ def next_allowed(log: DataFrame) -> DataFrame:
 def verify_claims(claims: DataFrame, anchors: DataFrame, registry: DataFrame, event_text: Column) -> DataFrame:
     """Claims by transaction: four checks and one verdict.
 
-    claims: claim_id, tx_hash, claimed_user_hash, claimed_score; anchors: tx_hash, user_hash,
+    claims: claim_id, tx_hash, claimed_score and either claimed_user_hash or claimed_user_hashes, the
+    ``identity_candidates`` of the person, of which any may match; anchors: tx_hash, user_hash,
     anchored_hash, event columns, event_score; registry: user_hash, latest_hash."""
     a = anchors.withColumn("recomputed", commit(event_text)).select(
         "tx_hash", F.col("user_hash").alias("a_user"), "anchored_hash", "recomputed", "event_score")
@@ -279,11 +280,12 @@ def verify_claims(claims: DataFrame, anchors: DataFrame, registry: DataFrame, ev
     rows = join_one_row(claims, a, ["tx_hash"], hot_groups(claims, ["tx_hash"]), "left")
     rows = join_one_row(rows, r, ["a_user"], hot_groups(rows, ["a_user"]), "left")
     c = F.col
+    several = "claimed_user_hashes" in claims.columns
     rows = rows.withColumns({
         "found": c("anchored_hash").isNotNull(),
         "integrity_ok": F.coalesce(c("recomputed") == F.lower("anchored_hash"), F.lit(False)),
         "on_registry": F.coalesce(F.lower("latest_hash") == F.lower("anchored_hash"), F.lit(False)),
-        "identity_match": c("claimed_user_hash") == c("a_user"),
+        "identity_match": F.array_contains("claimed_user_hashes", c("a_user")) if several else c("claimed_user_hash") == c("a_user"),
         "score_match": F.abs(c("event_score") - c("claimed_score")) < 0.5,
     })
     verdict = (
@@ -324,6 +326,12 @@ def identity_hash(email: Column, name: Column, salt: str) -> Column:
     return commit(F.concat(F.lower(F.trim(email)), F.lit("|"), clean.plain_name(name), F.lit(":" + salt)))
 
 
+def identity_candidates(email: Column, name: Column, salt: str) -> Column:
+    """Identity hashes of a person under every spelling of the name; null where e-mail or name is unknown."""
+    tried = F.transform(clean.name_spellings(name), lambda n: commit(F.concat(F.lower(F.trim(email)), F.lit("|"), n, F.lit(":" + salt))))
+    return F.when(email.isNotNull() & name.isNotNull(), tried)
+
+
 # -- advice ----------------------------------------------------------------------------------------
 
 

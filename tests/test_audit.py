@@ -99,6 +99,19 @@ def test_daily_usage_counts_late_rows(spark, tmp_path):
     assert {(r["day"].day, r["used"]) for r in got} == {(9, 1), (3, 2), (6, 1), (1, 1)} and len(got) == 4
 
 
+def test_claims_try_every_spelling(spark):
+    salt = "a-salt-of-sixteen-or-more"
+    made = hashlib.sha256(f"j@x.org|J DOE:{salt}".encode()).hexdigest()
+    body = hashlib.sha256(b"event").hexdigest()
+    anchor = spark.createDataFrame([("t", made, body, "event", 650.0)], "tx_hash string, user_hash string, anchored_hash string, body string, event_score double")
+    registry = spark.createDataFrame([(made, body)], "user_hash string, latest_hash string")
+    people = [(1, " J@x.org", "Mr Jon A. Doe", "VERIFIED"), (2, "j@x.org", "Doe Jon", "WRONG IDENTITY"), (3, None, "J Doe", "FOUND"), (4, "j@x.org", None, "FOUND"), (5, "j@x.org", "", "WRONG IDENTITY")]
+    claims = spark.createDataFrame([(*p, "t", 650.0) for p in people], "claim_id int, email string, name string, want string, tx_hash string, claimed_score double")
+    claims = claims.withColumn("claimed_user_hashes", gov.identity_candidates(F.col("email"), F.col("name"), salt))
+    got = gov.verify_claims(claims, anchor, registry, F.col("body")).select("claim_id", "want", "verdict").collect()
+    assert len(got) == 5 and [r for r in got if r["want"] != r["verdict"]] == []
+
+
 def test_events_with_wrong_factor_lists(spark):
     good = ("u", "m", "2026-03-01T00:00:00Z", "650")
     cases = [(None, None, None), ("[]", '["a", "b"]', None), ('"late"', None, "positiveFactors"), ("null", None, "positiveFactors"), ("[]", '{"a": 1}', "negativeFactors"), ("", None, "positiveFactors")]
