@@ -1,31 +1,28 @@
 """Ordered work inside groups that may be too big for one task.
 
 Lags, running sums, running maxima and exact quantiles are window functions as long as
-every group is small. A group above ``duepath.hotGroupRows`` rows is split into segments
-of its order key; each segment is one window partition, and a small per-segment summary
-carries the state of the earlier segments over. Which groups are hot is looked up when the
-plan is made, so ordinary data gets the plain window plan and nothing else.
-
-Bounds: the hot list holds at most ``MAX_HOT`` groups (the largest ones; any other group is
-then below 1/MAX_HOT of the rows) and at most ``MAX_HOT + MAX_SEGMENTS`` segments, so
-both can be broadcast whatever the data size.
+every group is small. The rows of groups above ``duepath.hotGroupRows`` are range-partitioned
+by group and order; each range is a segment and one window partition, and one summary row per
+group and segment carries the state of the earlier segments over. Which groups are hot is
+looked up when the plan is made, so ordinary data gets the plain window plan and nothing else.
+
+The hot list, the segments and the summaries are written tables: their number follows the
+data (never more than one per ``hotGroupRows`` rows, twice over), nothing of them is cut, and
+whether a join broadcasts them is decided by Spark from their size.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from dataclasses import dataclass
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from duepath.session import cut_lineage
 
-MAX_HOT = 10_000
-MAX_SEGMENTS = 4_096
 SEG = "_seg"
 
 
@@ -34,13 +31,10 @@ def hot_limit(df: DataFrame) -> int:
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame | None:
-    """The groups with more than ``limit`` rows as a small local table, or None."""
+    """The groups with more than ``limit`` rows and their sizes as a written table, or None."""
     limit = hot_limit(df) if limit is None else limit
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
-    rows = counts.orderBy(F.desc("_rows")).limit(MAX_HOT).collect()
-    if not rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, counts.schema)
+    return None if counts.isEmpty() else cut_lineage(counts, "hot")
 
 
 def keep_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -51,42 +45,36 @@ def drop_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _match(df, hot.select(*keys), keys, "left_anti")
 
 
-def _match(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe equi join to a small table; groups may have null keys."""
+def _same_keys(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of all keys; groups may have null keys."""
+    return reduce(lambda a, b: a & b, [df[k].eqNullSafe(side[f"_k_{k}"]) for k in keys])
+
+
+def _match(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     if not keys:
         return df if how == "left_semi" else df.limit(0)
-    side = F.broadcast(small.select(*[F.col(k).alias(f"_k_{k}") for k in keys]))
-    cond = None
-    for k in keys:
-        part = df[k].eqNullSafe(side[f"_k_{k}"])
-        cond = part if cond is None else cond & part
-    return df.join(side, cond, how)
+    side = few.select(*[F.col(k).alias(f"_k_{k}") for k in keys])
+    return df.join(side, _same_keys(df, side, keys), how)
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of a small table with unique keys; no key means a one-row table."""
+def _attach(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of a table with unique keys; no key means a one-row table, the only one broadcast by hand."""
     if not keys:
-        one = F.broadcast(small.withColumn("_one", F.lit(1)))
+        one = F.broadcast(few.withColumn("_one", F.lit(1)))
         return df.withColumn("_one", F.lit(1)).join(one, "_one", "left").drop("_one")
-    renamed = small.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in small.columns if c not in keys]
-    )
-    side = F.broadcast(renamed)
-    cond = None
-    for k in keys:
-        part = df[k].eqNullSafe(side[f"_k_{k}"])
-        cond = part if cond is None else cond & part
-    return df.join(side, cond, "left").drop(*[f"_k_{k}" for k in keys])
+    side = few.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in few.columns if c not in keys])
+    return df.join(side, _same_keys(df, side, keys), "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def join_one_row(
     big: DataFrame, small: DataFrame, keys: Sequence[str], hot: DataFrame | None, how: str = "inner"
 ) -> DataFrame:
-    """Join to a table with one row per key; rows of hot keys never shuffle."""
+    """Join to a table with one row per key. The rows that hot keys meet are written first: few of
+    them are broadcast, and many have a known size, so their shuffled join can be split."""
     keys = list(keys)
     if hot is None:
         return big.join(small, keys, how)
-    few = F.broadcast(keep_hot(small, hot, keys))
+    few = cut_lineage(keep_hot(small, hot, keys), "few")
     cold = drop_hot(big, hot, keys).join(small, keys, how)
     return cold.unionByName(keep_hot(big, hot, keys).join(few, keys, how))
 
@@ -105,78 +93,18 @@ def join_salted(
     return cold.unionByName(dealt.join(copies, [*keys, "_salt"], how).drop("_salt"))
 
 
-def _as_number(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.DateType):
-        return F.unix_date(name).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    if isinstance(kind, T.StringType):
-        # The first six bytes after the prefix all values share, as a number.
-        low, high = df.agg(F.min(name), F.max(name)).first()
-        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-        digits = F.substring(F.hex(F.encode(name, "UTF-8")), 2 * shared + 1, 12)
-        return F.conv(F.rpad(digits, 12, "0"), 16, 10).cast("double")
-    raise TypeError(f"order column {name} must be a number, text, date or timestamp")
-
-
-def _order_numbers(df: DataFrame, order: Sequence[str]) -> Column:
-    """The first two order columns as numbers. Neither falls along the order, so rows that
-    compare equal here stay in one segment and the segments are contiguous."""
-    first = _as_number(df, order[0])
-    second = _as_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
-    return F.struct(first.alias("a"), second.alias("b"))
-
-
-def _segment_cuts(df: DataFrame, keys: Sequence[str], place: Column, hot: DataFrame) -> DataFrame:
-    """Cut points of every hot group, fixed as literals so a recomputed task agrees.
-
-    Quantiles of the first order column give the cuts; a value that fills several of them
-    is cut again along the second column.
-    """
-    keys = list(keys)
-    limit = hot_limit(df)
-    sizes = hot.agg(F.sum("_rows"), F.max("_rows")).first()
-    per_segment = max(limit, math.ceil(sizes[0] / MAX_SEGMENTS))
-    grid = max(2, min(MAX_SEGMENTS, math.ceil(sizes[1] / per_segment)))
-    rows = keep_hot(df, hot, keys).select(*keys, place.alias("_p"))
-    accuracy = 20 * grid
-
-    def quantiles(column: str) -> Column:
-        return F.percentile_approx(column, F.array(*[F.lit(i / grid) for i in range(1, grid)]), F.lit(accuracy))
-
-    def picked(wanted: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), wanted - 1),
-            lambda i: F.element_at("_q", F.greatest(F.lit(1), F.floor(i * F.lit(grid) / wanted)).cast("int")),
-        )
+def _segmented(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame) -> DataFrame:
+    """``df`` with a segment number that never falls along the order of a hot group; 0 in other groups.
 
-    wanted = F.greatest(F.lit(2), F.least(F.lit(grid), F.ceil(F.col("_n") / F.lit(per_segment)))).cast("int")
-    first = (
-        rows.groupBy(*keys)
-        .agg(quantiles("_p.a").alias("_q"), F.count(F.lit(1)).alias("_n"))
-        .select(*keys, F.explode(picked(wanted)).alias("a"))
-        .groupBy(*keys, "a")
-        .agg(F.count(F.lit(1)).alias("_m"))
-    )
-    spec = T.StructType([*[df.schema[k] for k in keys], T.StructField("a", T.DoubleType()), T.StructField("_m", T.LongType())])
-    spark = df.sparkSession
-    first = spark.createDataFrame(first.select(*keys, "a", "_m").collect(), spec)
-    cuts = first.select(*keys, F.struct(F.col("a"), F.lit(float("-inf")).alias("b")).alias("c"))
-    heavy = first.filter(F.col("_m") > 1)
-    if heavy.count():
-        again = (
-            _attach(rows.withColumn("a", F.col("_p.a")), heavy, [*keys, "a"])
-            .filter(F.col("_m").isNotNull())
-            .groupBy(*keys, "a", "_m")
-            .agg(quantiles("_p.b").alias("_q"))
-            .select(*keys, "a", F.explode(picked(F.least(F.lit(grid), F.col("_m") + 1).cast("int"))).alias("b"))
-        )
-        cuts = cuts.unionByName(again.select(*keys, F.struct("a", "b").alias("c")))
-    out = cuts.groupBy(*keys).agg(F.sort_array(F.collect_set("c")).alias("_cuts"))
-    return spark.createDataFrame(out.collect(), out.schema)
+    Ranges are cut at sampled values of the whole (keys, order) tuple; rows that tie on it are
+    told apart by a hash of all columns, so a group of ties is split as well. The number is
+    written with the row, so a task that runs again sees the same segments.
+    """
+    rows = hot.agg(F.sum("_rows")).first()[0]
+    parts = max(2, math.ceil(rows / hot_limit(df)))
+    ranged = keep_hot(df, hot, keys).withColumn("_tie", F.xxhash64(*df.columns)).repartitionByRange(parts, *keys, *order, "_tie")
+    split = cut_lineage(ranged.drop("_tie").withColumn(SEG, F.spark_partition_id() + 1), "ranges")
+    return drop_hot(df, hot, keys).withColumn(SEG, F.lit(0)).unionByName(split) if keys else split
 
 
 @dataclass(frozen=True)
@@ -231,15 +159,8 @@ class OrderedGroups:
             hot = hot_groups(df, self.keys)
         self.hot = hot
         if hot is not None:
-            # The segments are read several times; a written table keeps that cheap and stable.
-            df = df if written else cut_lineage(df, "ordered")
-            place = _order_numbers(keep_hot(df, hot, self.keys), self.order)
-            cuts = _segment_cuts(df, self.keys, place, hot)
-            df = _attach(df, cuts, self.keys)
-            df = df.withColumn(
-                SEG,
-                F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c <= place))),
-            ).drop("_cuts")
+            # Rows of hot and of other groups are read apart; a written table keeps that cheap and stable.
+            df = _segmented(df if written else cut_lineage(df, "ordered"), self.keys, self.order, hot)
         self.df = df
 
     def _partition(self) -> list[str]:
@@ -292,7 +213,7 @@ class OrderedGroups:
             *self.keys, SEG,
             *sorted({w.column for w in columns.values() if isinstance(w, (RunningSum, RunningMax, NextMin))} - set(self.keys)),
         )
-        hot_inputs = keep_hot(inputs, self.hot, self.keys)
+        hot_inputs = inputs.filter(F.col(SEG) > 0)
         sums = [F.count(F.lit(1)).alias("_n")]
         for name, what in columns.items():
             if isinstance(what, RunningSum):
@@ -304,8 +225,7 @@ class OrderedGroups:
         summary = hot_inputs.groupBy(*self.keys, SEG).agg(*sums)
         if reach:
             tails = (
-                keep_hot(base, self.hot, self.keys)
-                .filter(F.col("_cn") - F.col("_rn") < reach)
+                base.filter((F.col(SEG) > 0) & (F.col("_cn") - F.col("_rn") < reach))
                 .groupBy(*self.keys, SEG)
                 .agg(F.array_sort(F.collect_list(F.struct("_rn", *lagged))).alias("_tail"))
             )
@@ -330,7 +250,7 @@ class OrderedGroups:
                 carried.append(F.min(f"_s_{name}").over(after).alias(f"_c_{name}"))
         if reach:
             carried.append(F.flatten(F.collect_list("_tail").over(seg_order.rowsBetween(-reach, -1))).alias("_tails"))
-        carry = summary.select(*self.keys, SEG, *carried)
+        carry = cut_lineage(summary.select(*self.keys, SEG, *carried), "carry")
         out = _attach(base, carry, self.keys + [SEG])
         final = {}
         for name, what in columns.items():
@@ -380,7 +300,7 @@ def hot_quantile(df: DataFrame, keys: Sequence[str], value: str, p: float, alias
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     ranked = OrderedGroups(counts, keys, [value]).add(_cum=RunningSum("_c")).done()
-    ranked = _attach(ranked, totals, keys)
+    ranked = _attach(ranked, cut_lineage(totals, "totals"), keys)
     place = F.lit(p) * (F.col("_n") - 1)
     lo, hi = F.floor(place), F.ceil(place)
 

@@ -1,6 +1,5 @@
 """The split path for hot groups must give what plain windows give."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,9 +185,35 @@ def test_metrics_split_path(spark, sf):
         assert plain == split
 
 
-def test_hot_groups_are_few(spark, monkeypatch):
-    monkeypatch.setattr(od, "MAX_HOT", 5)
-    df = spark.range(1000).select((F.col("id") % 100).alias("g"))
+def segment_sizes(df, keys, order, limit):
+    """Rows per window partition, and the ordered rows."""
+    spark = df.sparkSession
+    spark.conf.set("duepath.hotGroupRows", str(limit))
+    try:
+        groups = od.OrderedGroups(df, keys, order)
+        sizes = [r["count"] for r in groups.df.groupBy(*keys, od.SEG).count().collect()]
+        return sizes, groups.add(i=od.Index()).done().collect()
+    finally:
+        spark.conf.unset("duepath.hotGroupRows")
+
+
+def test_one_odd_text_does_not_stop_the_split(spark):
+    df = spark.range(20_000).select(F.format_string("application-%08d", "id").alias("name")).union(spark.createDataFrame([("zzz",)], "name string"))
+    sizes, rows = segment_sizes(df, [], ["name"], 500)
+    assert sum(sizes) == 20_001 and max(sizes) <= 1_000
+    assert [r.name for r in sorted(rows, key=lambda r: r.i)] == sorted(r.name for r in rows)
+
+
+def test_ties_on_the_whole_order_are_split(spark):
+    df = spark.range(2_000).select(F.lit("k").alias("g"), F.lit(1).alias("o"), F.lit(2).alias("t"), "id")
+    sizes, rows = segment_sizes(df, ["g"], ["o", "t"], 100)
+    assert sum(sizes) == 2_000 and max(sizes) <= 200
+    assert sorted(r.i for r in rows) == list(range(2_000))
+
+
+def test_every_hot_group_is_found(spark):
+    df = spark.range(80_000).select((F.col("id") % 20_000).alias("g"), "id")
     hot = od.hot_groups(df, ["g"], 3)
-    assert hot.count() == 5
-    assert isinstance(hot.toPandas(), pd.DataFrame)
+    assert hot.count() == 20_000 and hot.filter("_rows <> 4").count() == 0
+    assert od.hot_groups(df, ["g"], 4) is None
+    assert od.drop_hot(df, hot, ["g"]).isEmpty()
