@@ -30,7 +30,11 @@ def binned_knots(df: DataFrame, bins: int = 2000, score: str = "raw", target: st
     """Distinct scores pooled into quantile bins. Edges are interpolated quantiles of the
     rows; a score equal to an edge goes to the bin above it; x is the mean score of a bin."""
     # One pass over the rows; everything after works on the written counts.
-    points = cut_lineage(knots(df, score, target), "score-counts")
+    return pooled_knots(cut_lineage(knots(df, score, target), "score-counts"), bins)
+
+
+def pooled_knots(points: DataFrame, bins: int) -> DataFrame:
+    """Counted scores pooled into quantile bins of the rows they stand for."""
     total = points.agg(F.sum("n")).first()[0] or 0
     if bins <= 1 or total <= bins:
         return points
@@ -256,9 +260,14 @@ def plateau_z(fitted: DataFrame, low_x: float, high_x: float, n_knots: int) -> f
     return 0.0 if not row["v"] or row["v"] <= 0 else (row["o"] - row["e"]) / math.sqrt(row["v"])
 
 
-def fit(df: DataFrame, score: str = "raw", target: str = "target", bins: int = 0, **options) -> Calibrator:
-    """Fit on distinct scores, or on at most ``bins`` pooled ones."""
-    points = cut_lineage(binned_knots(df, bins, score, target) if bins else knots(df, score, target), "knots")
+def fit(df: DataFrame, score: str = "raw", target: str = "target", bins: int = 2000, **options) -> Calibrator:
+    """Fit on the distinct scores while there are at most ``bins`` of them, else on ``bins`` quantile
+    bins. The pooling of neighbours, which ends on the driver, so never sees more than ``bins`` points."""
+    if bins < 2:
+        raise ValueError("bins bounds the knots of the fit and must be at least 2")
+    points = cut_lineage(knots(df, score, target), "score-counts")
+    if points.count() > bins:
+        points = cut_lineage(pooled_knots(points, bins), "knots")
     model, fitted = isotonic(points)
     ends = terminal_runs(fitted).first()
     z = {
@@ -383,7 +392,7 @@ def _small(table: DataFrame, order: str, limit: int = 100_000) -> list:
     """A table that stays small by construction, checked before it reaches the driver."""
     rows = table.orderBy(order).limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError("fit with bins=2000 first: the block table is too large to look up in")
+        raise ValueError("the table has more rows than any fit with at most 100,000 bins gives")
     return rows
 
 

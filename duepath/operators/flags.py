@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duepath.operators import features as ft
-from duepath.operators.ordered import group_stats, hot_limit
+from duepath.operators.ordered import group_stats
 from duepath.operators.reports import unpivot
 
 FLAGS = ("income_detected", "thin_file", "declared_provided", "n_features_missing")
@@ -38,9 +38,6 @@ def coverage(df: DataFrame, columns: Sequence[str] = FLAGS) -> DataFrame:
 def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians of all columns in one job."""
     columns = list(columns)
-    if train.count() <= hot_limit(train):
-        row = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
     long = unpivot(train, [], columns)
     found = {r["feature"]: r["m"] for r in group_stats(long, ["feature"], {}, {"m": "value"}).collect()}
     return {c: found.get(c) for c in columns}

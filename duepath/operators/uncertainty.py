@@ -66,11 +66,26 @@ def week_draws(spark: SparkSession, weeks: DataFrame, week: str, replicates: int
     return F.broadcast(out) if small else out
 
 
+def pooled_scores(counts: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
+    """Counts per keys and score with the score's quantile bin ``b`` (the score itself while there are
+    at most ``bins`` distinct ones), and the counts per keys and bin as s, n0, n1."""
+    points = cut_lineage(counts.groupBy(F.col("s").alias("x")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n")), "score-counts")
+    if points.count() > bins:
+        total = points.agg(F.sum("n")).first()[0]
+        place = calibrate.bin_index(calibrate.quantile_edges(points, bins, total), "right")
+        tagged = counts.withColumn("b", place(F.col("s")).cast("double"))
+    else:
+        tagged = counts.withColumn("b", F.col("s"))
+    return tagged, tagged.groupBy(*keys, F.col("b").alias("s")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
 def block_bootstrap(df: DataFrame, replicates: int = 500, week: str = "wk", score: str = "raw", target: str = "target",
-                    seed: int = 42, smaller: bool = False) -> DataFrame:
-    """Gini per replicate. Rows are first counted per week and score; a drawn week only
-    multiplies those counts, so no row is ever copied."""
+                    seed: int = 42, smaller: bool = False, bins: int = 2000) -> DataFrame:
+    """Gini per replicate. Rows are first counted per week and score, more than ``bins`` distinct scores
+    in quantile bins; a drawn week only multiplies those counts, so a week is at most ``bins`` rows a replicate."""
     counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
+    _, counts = pooled_scores(counts, [week], bins)
+    counts = cut_lineage(counts, "week-bin-counts")
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
     # Multiplied counts stay within counts x replicates and combine before the shuffle.
     drawn = counts.join(draws, week)
@@ -86,10 +101,12 @@ def _gini_of_counts(sums: DataFrame) -> DataFrame:
     return pre.groupBy("replicate").agg((2 * F.when((pos > 0) & (neg > 0), value) - 1).alias("gini"))
 
 
-def row_bootstrap(df: DataFrame, replicates: int = 500, score: str = "raw", target: str = "target", seed: int = 42) -> DataFrame:
+def row_bootstrap(df: DataFrame, replicates: int = 500, score: str = "raw", target: str = "target", seed: int = 42,
+                  bins: int = 2000) -> DataFrame:
     """Gini per replicate of a row-wise bootstrap. A row's Poisson weights add up within equal
-    (score, target) cells, so each cell draws once per replicate."""
-    cells = score_counts(df, [], score, target)
+    (score, target) cells, at most ``bins`` scores of two targets, so each cell draws once per replicate."""
+    _, cells = pooled_scores(cut_lineage(score_counts(df, [], score, target), "row-score-counts"), [], bins)
+    cells = cut_lineage(cells, "cells").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
 
     @F.pandas_udf("struct<n1 double, n0 double>")
     def draw(replicate: pd.Series, s: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.DataFrame:
@@ -151,17 +168,11 @@ def refit_bootstrap(df: DataFrame, refs: Sequence[tuple[float, float]], replicat
                     smaller: bool = False) -> DataFrame:
     """Refit the binned calibrator in every replicate and read it at the reference raw scores.
 
-    Scores are pooled into at most ``bins`` quantile bins once, so a replicate is a group of
-    at most ``bins`` rows.
+    More than ``bins`` distinct scores are pooled into quantile bins once, so a replicate is a group
+    of at most ``bins`` rows.
     """
     counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
-    points = counts.groupBy(F.col("s").alias("x")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("k"))
-    total = points.agg(F.sum("n")).first()[0] or 0
-    edges = calibrate.quantile_edges(points, bins, total) if bins > 1 and total > bins else None
-    if edges is None and points.count() > 100_000:
-        raise ValueError("set bins to at most 2000 for this many distinct scores")
-    place = calibrate.bin_index(edges, "right") if edges is not None else None
-    binned = counts.withColumn("b", place(F.col("s")).cast("double") if place is not None else F.col("s"))
+    binned, _ = pooled_scores(counts, [week], bins)
     cells = binned.groupBy(week, "b").agg(
         F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("k"), F.sum(F.col("s") * (F.col("n0") + F.col("n1"))).alias("xs"))
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)

@@ -34,7 +34,9 @@ LOGIT = "ln(least(greatest({0}, 1e-9), 1 - 1e-9) / (1 - least(greatest({0}, 1e-9
 SCORE_OF = "(600 - 40 / ln(2.0) * ln(20.0) + 40 / ln(2.0) * ln((1 - least(greatest({0}, 1e-9), 1 - 1e-9)) / least(greatest({0}, 1e-9), 1 - 1e-9)))"
 BAND = "case when {0} >= 720 then 'A' when {0} >= 660 then 'B' when {0} >= 600 then 'C' when {0} >= 540 then 'D' else 'E' end"
 FLOOR = 0.0003
+# The shared scores have about 500 distinct values; fewer bins make K02 pool them.
 BINS = 60
+REPLICATES = 500
 
 CAL: dict[str, str] = {
     "dx_points": points_sql("slice = 'calib'"),
@@ -90,10 +92,10 @@ dx_v as (select *, (b0 + n0 / 2) / n as v1, 1 - (b1 + n1 / 2) / m as v0 from dx_
 dx_m as (select *, sum(n1 * v1) over () / m as m1, sum(n0 * v0) over () / n as m0 from dx_v)
 select max(m1) as auc, sum(n1 * (v1 - m1) * (v1 - m1)) / (max(m) - 1) / max(m) + sum(n0 * (v0 - m0) * (v0 - m0)) / (max(n) - 1) / max(n) as variance from dx_m""",
     "dx_weeks": "select wk, row_number() over (order by wk) - 1 as no, count(*) over () as c from (select distinct wk from fx_scored)",
-    "dx_draws": """
+    "dx_draws": f"""
 select r as replicate, no, count(*) as times from (
   select r, j, cast(('0x' || md5(concat('42:', r, ':', j))[1:12]) as bigint) % (select max(c) from dx_weeks) as no
-  from range(0, 40) a(r), range(0, (select max(c) from dx_weeks)) b(j)) group by r, no""",
+  from range(0, {REPLICATES}) a(r), range(0, (select max(c) from dx_weeks)) b(j)) group by r, no""",
     "dx_boot": """
 select replicate, 2 * sum(cast(n1 as double) * (below + n0 / 2.0)) / (cast(sum(n1) as double) * sum(n0)) - 1 as gini from (
   select *, sum(n0) over (partition by replicate order by s) - n0 as below from (
@@ -299,20 +301,15 @@ def _(spark, folder):
     return rounded(calibrate.block_intervals(table), 8)
 
 
-def binned(spark, folder):
-    cal, evals = fitted(spark, folder, bins=BINS)
-    return cal, evals
-
-
 @q("k20_pooled_evidence")
 def _(spark, folder):
-    cal, _ = binned(spark, folder)
+    cal, _ = fitted(spark, folder)
     return calibrate.pooled_evidence(cal.knots)
 
 
 @q("k21_band_confidence")
 def _(spark, folder):
-    cal, evals = binned(spark, folder)
+    cal, evals = fitted(spark, folder)
     rows = cal.predict(evals).withColumn("score", sc.pd_to_score(F.col("pd"))).withColumn("band", sc.band(F.col("score")))
     out = calibrate.evidence(rows, cal)
     return rounded(out.select("id", "band", "n_local", "k_local", "post_mean", "lower05", "upper95", "confidence", "score_lower", "score_upper"))
@@ -334,7 +331,7 @@ def _(spark, folder):
 
 
 def boot(spark, folder):
-    return uncertainty.block_bootstrap(fx.scored(spark, folder), 40)
+    return uncertainty.block_bootstrap(fx.scored(spark, folder), REPLICATES)
 
 
 @q("u02_block_bootstrap", "select replicate, round(gini, 9) as gini from dx_boot")
@@ -345,7 +342,7 @@ def _(spark, folder):
 @q("u03_design_effect")
 def _(spark, folder):
     rows = fx.scored(spark, folder)
-    return uncertainty.design_effect(boot(spark, folder), uncertainty.row_bootstrap(rows, 40))
+    return uncertainty.design_effect(boot(spark, folder), uncertainty.row_bootstrap(rows, REPLICATES))
 
 
 @q("u04_replicate_summary", """
@@ -359,9 +356,9 @@ def _(spark, folder):
 @q("u05_refit_bootstrap")
 def _(spark, folder):
     calib, _ = slices(spark, folder)
-    cal = calibrate.fit(calib, bins=BINS)
+    cal = calibrate.fit(calib)
     refs = [(r["ref_score"], r["raw"]) for r in uncertainty.reference_raw(cal.knots, [480.0, 510.0]).collect()]
-    return uncertainty.refit_bootstrap(calib, refs, 20, BINS)
+    return uncertainty.refit_bootstrap(calib, refs)
 
 
 @q("u06_tail_evidence", """
@@ -468,7 +465,7 @@ def _(spark, folder):
 def _(spark, folder):
     fit, late = fit_and_late(spark, folder)
     model = modeling.LinearModel(fit, SMALL)
-    cal = calibrate.fit(model.predict(fit), bins=200)
+    cal = calibrate.fit(model.predict(fit))
     out = modeling.batch_score(late, model, cal)
     return rounded(out.select("case_id", "raw", "pd", "score", "band"))
 

@@ -50,7 +50,7 @@ select case_id, count(*) as n_rows, round(sum(annuity_853a), 6) as total from dx
 where case_id in (select case_id from dx_base order by case_id limit 200) group by case_id""")
 def _(spark, folder):
     cases = bureau.first_cases(fx.base(spark, folder), 200)
-    rows = bureau.restrict(fx.applprev(spark, folder), cases, 200)
+    rows = bureau.restrict(fx.applprev(spark, folder), cases)
     return rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("annuity_853A"), 6).alias("total"))
 
 

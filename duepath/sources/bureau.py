@@ -68,9 +68,8 @@ def first_cases(base: DataFrame, n: int) -> DataFrame:
     return base.select("case_id").orderBy("case_id").limit(n)
 
 
-def restrict(df: DataFrame, cases: DataFrame, n: int, broadcast_below: int = 1_000_000) -> DataFrame:
-    side = F.broadcast(cases) if n <= broadcast_below else cases
-    return df.join(side, "case_id", "left_semi")
+def restrict(df: DataFrame, cases: DataFrame) -> DataFrame:
+    return df.join(cases, "case_id", "left_semi")
 
 
 def payments_of(df: DataFrame, source: str, cfg: Settings = DEFAULT) -> DataFrame:

@@ -95,6 +95,23 @@ def test_beta_functions():
     assert calibrate._beta_ppf(1.0, 10.0, 0.95) == pytest.approx(1 - 0.05 ** 0.1, abs=1e-8)
 
 
+def test_a_million_scores_give_a_bounded_fit(spark):
+    """No step of the fit or the bootstraps sees more points than bins."""
+    rows = spark.range(1_000_000).select(
+        (F.col("id") / 1e6).alias("raw"), (F.col("id") % 20).cast("int").alias("wk"),
+        (F.rand(3) < 0.05 + 0.4 * F.col("id") / 1e6).cast("int").alias("target"))
+    cal = calibrate.fit(rows)
+    knots = cal.knots.toPandas()
+    assert 1_900 <= len(knots) <= 2_000 and knots.n.sum() == 1_000_000 and knots.n.max() <= 502
+    at = calibrate.fit(rows, bins=50).predict(rows.filter("raw = 0.5")).first()["pd"]
+    assert at == pytest.approx(0.25, abs=0.02)
+    full = metrics.auc(rows).first()["gini"]
+    ginis = [r["gini"] for r in uncertainty.block_bootstrap(rows, 4).collect() + uncertainty.row_bootstrap(rows, 4).collect()]
+    assert len(ginis) == 8 and all(abs(g - full) < 0.02 for g in ginis)
+    with pytest.raises(ValueError):
+        calibrate.fit(rows, bins=0)
+
+
 def test_pooled_evidence(sample):
     cal = calibrate.fit(sample, bins=100)
     k = cal.knots.orderBy("x").toPandas()
