@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 CHUNK, OVERLAP, TRUSTED = 32_768, 1_024, 3
 #: Rows of ids handed over at a time hold about so many ids.
-BATCH_IDS = 1 << 20
+BATCH_IDS = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -48,7 +48,7 @@ def _id_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
     ids, lists, held = [], [], 0
     for doc_id, found in rows:
         ids.append(doc_id)
-        lists.append(found)
+        lists.append(np.asarray(found, dtype=np.int32))
         held += len(found)
         if held >= BATCH_IDS or len(ids) >= 4096:
             yield _batch(ids, lists)
@@ -59,7 +59,7 @@ def _id_rows(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 def _batch(ids: list, lists: list) -> pa.RecordBatch:
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-    flat = np.concatenate([np.asarray(x, dtype=np.int32) for x in lists]) if ends[-1] else np.zeros(0, np.int32)
+    flat = np.concatenate(lists) if ends[-1] else np.zeros(0, np.int32)
     return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "ids"])
 
 
