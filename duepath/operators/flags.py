@@ -47,9 +47,17 @@ def impute(df: DataFrame, values: dict[str, float | None]) -> DataFrame:
     return df.fillna({c: 0.0 if v is None else float(v) for c, v in values.items()})
 
 
-def moments(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+def spreads(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float | None]]:
     row = train.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
-    return {c: (row[f"m_{c}"], row[f"s_{c}"] if row[f"s_{c}"] and row[f"s_{c}"] >= 1e-9 else 1.0) for c in columns}
+    return {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in columns}
+
+
+def varies(sd: float | None) -> bool:
+    return bool(sd) and sd >= 1e-9
+
+
+def moments(train: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    return {c: (m, sd if varies(sd) else 1.0) for c, (m, sd) in spreads(train, columns).items()}
 
 
 def standardise(df: DataFrame, stats: dict[str, tuple[float, float]], columns: Sequence[str]) -> DataFrame:

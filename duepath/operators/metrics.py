@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +112,9 @@ def _per_feature(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
 def _corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     flat = (F.min(F.when(both, x)) == F.max(F.when(both, x))) | (F.min(F.when(both, y)) == F.max(F.when(both, y)))
-    return F.when(~flat, F.corr(x, y))
+    # F.corr divides by zero on flat columns, whatever the condition around it
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.when(~flat, F.try_divide(F.covar_pop(x, y), spread))
 
 
 def fidelity(a: DataFrame, b: DataFrame, columns: Sequence[str], cfg: Settings = DEFAULT) -> DataFrame:
@@ -154,15 +159,38 @@ def parity_breaks(a: DataFrame, b: DataFrame, columns: Sequence[str], cfg: Setti
     return long.filter(~same)
 
 
+def _moments(it: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """Sums over the rows of a task where both of two columns are known: one row per pair of columns."""
+    p = len(columns)
+    sums = np.zeros((6, p, p))
+    for batch in it:
+        ranks = np.stack([np.asarray(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), float) for c in columns], 1)
+        known = (~np.isnan(ranks)).astype(float)
+        x = np.where(known > 0, ranks, 0.0)
+        sums += np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+    i, j = np.triu_indices(p, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+
 def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns, as (x, y, rho) rows."""
+    """Rank correlation of every pair of columns, as (x, y, rho) rows; rows where both are known count.
+
+    The ranks are written as one column per feature, and one pass over them sums the products of all pairs.
+    """
+    columns = list(columns)
     long = cut_lineage(unpivot(df, [key], columns), "long")
     ranked = average_rank(long, ["feature"], "value")
-    wide = ranked.groupBy(key).pivot("feature", list(columns)).agg(F.first("rank"))
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
-    row = wide.agg(F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), _corr(F.col(x), F.col(y)).alias("rho")) for x, y in pairs]).alias("s"))
-    return row.select(F.inline("s"))
+    # about their middle, ranks and their products stay small
+    mid = F.broadcast(long.groupBy("feature").agg(((F.count("value") + 1) / 2).alias("mid")))
+    centred = ranked.join(mid, "feature").withColumn("rank", F.col("rank") - F.col("mid"))
+    wide = cut_lineage(centred.groupBy(key).pivot("feature", columns).agg(F.first("rank")).select(*[F.col(f"`{c}`") for c in columns]), "ranks")
+    parts = wide.mapInArrow(lambda it: _moments(it, columns), "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.greatest(F.col("n"), F.lit(1.0))
+    vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
+    rho = F.when((vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy")), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.select(names[F.col("i")].alias("x"), names[F.col("j")].alias("y"), rho.alias("rho"))
 
 
 def keep_uncorrelated(correlations: DataFrame, strength: DataFrame, limit: float = 0.90) -> list[str]:

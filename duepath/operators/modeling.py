@@ -42,7 +42,9 @@ class Prepared:
         self.columns = list(columns)
         self.fill = flags.medians(train, self.columns)
         self.scale = scale
-        self.stats = flags.moments(flags.impute(train, self.fill), self.columns) if scale else {}
+        found = flags.spreads(flags.impute(train, self.fill), self.columns) if scale else {}
+        self.varied = [c for c, (_, sd) in found.items() if flags.varies(sd)]
+        self.stats = {c: (m, sd if c in self.varied else 1.0) for c, (m, sd) in found.items()}
 
     def apply(self, df: DataFrame) -> DataFrame:
         out = flags.impute(df, self.fill)
@@ -60,10 +62,12 @@ class LinearModel:
         self.prep = Prepared(train, columns)
         self.columns = list(columns)
         lr = LogisticRegression(labelCol=target, regParam=l2, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
-        stages = [VectorAssembler(inputCols=self.columns, outputCol="features"), lr]
+        # Spark divides by the sd of every input, and what rounding leaves of a flat column's stops the search at once.
+        used = self.prep.varied or self.columns
+        stages = [VectorAssembler(inputCols=used, outputCol="features"), lr]
         self.model: PipelineModel = Pipeline(stages=stages).fit(self.prep.apply(train))
         fitted = self.model.stages[-1]
-        self.weights = dict(zip(self.columns, [float(v) for v in fitted.coefficients]))
+        self.weights = dict.fromkeys(self.columns, 0.0) | dict(zip(used, [float(v) for v in fitted.coefficients]))
         self.intercept = float(fitted.intercept)
 
     def predict(self, df: DataFrame, alias: str = "raw") -> DataFrame:

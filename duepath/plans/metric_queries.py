@@ -271,10 +271,27 @@ def _(spark, folder):
     return rounded(metrics.spearman(assembled(spark, folder), "case_id", SP), 8)
 
 
+def parity_matrix(spark, folder):
+    """All parity features of the cases, with the target where it is known."""
+    labels = fx.base(spark, folder).select(F.col("case_id").cast("string").alias("case_id"), "target")
+    return cut_lineage(matrix(spark, folder, list(ft.PARITY_NAMES)).join(labels, "case_id", "left"), "parity")
+
+
+# The queries above keep the columns of their SQL; those named _all take every parity feature.
+@q("m06_univariate_gini_all")
+def _(spark, folder):
+    return rounded(metrics.univariate_gini(parity_matrix(spark, folder), ft.PARITY_NAMES, min_rows=10), 8)
+
+
+@q("m10_rank_correlation_all")
+def _(spark, folder):
+    return rounded(metrics.spearman(parity_matrix(spark, folder), "case_id", ft.PARITY_NAMES), 8)
+
+
 @q("m11_uncorrelated_features")
 def _(spark, folder):
-    rows = assembled(spark, folder)
-    kept = metrics.keep_uncorrelated(metrics.spearman(rows, "case_id", SP), metrics.univariate_gini(rows, SP), 0.5)
+    rows = parity_matrix(spark, folder)
+    kept = metrics.keep_uncorrelated(metrics.spearman(rows, "case_id", ft.PARITY_NAMES), metrics.univariate_gini(rows, ft.PARITY_NAMES))
     return spark.createDataFrame([(k, i) for i, k in enumerate(kept)], "feature string, place int")
 
 
@@ -293,13 +310,25 @@ def rendered(spark, folder, names=ft.PARITY_NAMES):
     return feed, direct
 
 
-ROUND_TRIP = ["num_active_obligations", "total_annuity", "max_dpd_24m", "mean_dpd_24m", "num_dpd_events_24m", "longest_clean_streak_24m"]
+@q("m07_round_trip_fidelity")
+def _(spark, folder):
+    feed, direct = rendered(spark, folder)
+    return rounded(metrics.fidelity(feed, direct, ft.PARITY_NAMES), 6)
 
 
-@q("m07_round_trip_fidelity")
+@q("m08_drift_all")
+def _(spark, folder):
+    return rounded(metrics.drift(*rendered(spark, folder), ft.PARITY_NAMES), 6)
+
+
+@q("m09_parity_breaks_all")
+def _(spark, folder):
+    return rounded(metrics.parity_breaks(*rendered(spark, folder), ft.PARITY_NAMES))
+
+
+@q("m12_gates_all")
 def _(spark, folder):
-    feed, direct = rendered(spark, folder, ROUND_TRIP)
-    return rounded(metrics.fidelity(feed, direct, ROUND_TRIP), 6)
+    return metrics.gates(metrics.drift(*rendered(spark, folder), ft.PARITY_NAMES))
 
 
 # -- A: reports -----------------------------------------------------------------------------------

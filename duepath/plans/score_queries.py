@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from duepath.functions import score as sc
 from duepath.operators import calibrate, flags, modeling, ranking, uncertainty
+from duepath.operators import features as ft
 from duepath.plans.feature_queries import SQL as FEATURE_SQL
+from duepath.plans.feature_queries import matrix
 from duepath.plans.metric_queries import SPLIT
 from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register, rounded
@@ -379,15 +381,21 @@ def _(spark, folder):
 
 # -- T: models ------------------------------------------------------------------------------------------
 
-MODEL_COLS = ["max_dpd", "mean_dpd", "total_overdue", "total_annuity", "monthly_income", "debt_to_income"]
-SMALL = ["mean_dpd", "total_annuity", "monthly_income"]
-FAST = {"maxIter": 3, "maxDepth": 2}
+ASSEMBLED = ["max_dpd", "mean_dpd", "num_dpd_gt0", "num_dpd_ge30", "max_overdue", "total_overdue", "num_bureau_payments", "total_annuity",
+             "max_annuity", "num_prev_apps", "monthly_income", "debt_to_income"]
+# Parity features whose name an assembled column has already are marked.
+PARITY = {c: f"{c}_parity" if c in ASSEMBLED else c for c in ft.PARITY_NAMES}
+MODEL_COLS = ASSEMBLED + list(PARITY.values())
+GRID = [{"maxIter": rounds, "maxDepth": depth, "stepSize": step} for rounds in (20, 40) for depth in (3, 4) for step in (0.05, 0.1)]
 
 
 def labelled(spark, folder):
+    """Labelled cases with all model columns and all parity features."""
     rows = assembled(spark, folder).filter(F.col("target").isNotNull())
+    found = matrix(spark, folder, list(PARITY)).select(F.col("case_id").cast("bigint").alias("case_id"), *[F.col(c).alias(to) for c, to in PARITY.items()])
+    rows = rows.withColumns({"case_id": F.col("case_id").cast("bigint"), "target": F.col("target").cast("double")}).join(found, "case_id", "left")
     # Training reads the rows many times over, so they are built once.
-    return cut_lineage(rows.withColumns({"case_id": F.col("case_id").cast("bigint"), "target": F.col("target").cast("double")}), "labelled")
+    return cut_lineage(rows.select("case_id", "target", "wk", *MODEL_COLS), "labelled")
 
 
 def fit_and_late(spark, folder):
@@ -405,7 +413,7 @@ def _(spark, folder):
 def _(spark, folder):
     fit, late = fit_and_late(spark, folder)
     marked = ranking.two_way_split(fit, "wk", "case_id").withColumn("_val", F.col("slice") == "holdout").drop("slice")
-    model = modeling.BoostedModel(marked, MODEL_COLS, validation="_val", maxIter=10)
+    model = modeling.BoostedModel(marked, MODEL_COLS, validation="_val")
     return model.predict(late).select("case_id", "target", F.round("raw", 6).alias("raw"))
 
 
@@ -424,35 +432,34 @@ def _(spark, folder):
 @q("t04_leave_one_out")
 def _(spark, folder):
     fit, late = fit_and_late(spark, folder)
-    return spark.createDataFrame(modeling.leave_one_out(fit, late, SMALL), "feature string, gini_drop double")
+    return spark.createDataFrame(modeling.leave_one_out(fit, late, MODEL_COLS), "feature string, gini_drop double")
 
 
 @q("t05_permutation_importance")
 def _(spark, folder):
     fit, late = fit_and_late(spark, folder)
-    model = modeling.LinearModel(fit, SMALL)
-    return spark.createDataFrame(modeling.permutation_importance(model, late, SMALL, 1), "feature string, gini_drop double")
+    model = modeling.LinearModel(fit, MODEL_COLS)
+    return spark.createDataFrame(modeling.permutation_importance(model, late, MODEL_COLS), "feature string, gini_drop double")
 
 
 @q("t06_null_importance")
 def _(spark, folder):
     fit, _ = fit_and_late(spark, folder)
-    rows = modeling.null_importance(fit.select("case_id", "wk", "target", *SMALL), SMALL, 2, **FAST)
+    rows = modeling.null_importance(fit, MODEL_COLS)
     return spark.createDataFrame(rows, "feature string, importance double, null_bar double, kept boolean")
 
 
 @q("t07_selection_funnel")
 def _(spark, folder):
     fit, _ = fit_and_late(spark, folder)
-    rows = modeling.select_features(fit.select("case_id", "wk", "target", *SMALL), SMALL, forced=["monthly_income"], null_runs=1, **FAST)
+    rows = modeling.select_features(fit, MODEL_COLS, forced=["monthly_income"])
     return spark.createDataFrame(rows, "feature string, fate string")
 
 
 @q("t08_random_search")
 def _(spark, folder):
     fit, _ = fit_and_late(spark, folder)
-    grid = [{"maxIter": 2, "maxDepth": 2}, {"maxIter": 4, "maxDepth": 2}]
-    return spark.createDataFrame(modeling.random_search(fit.select("case_id", "wk", "target", *SMALL), SMALL, grid), "setting int, stability double")
+    return spark.createDataFrame(modeling.random_search(fit, MODEL_COLS, GRID), "setting int, stability double")
 
 
 @q("t09_logit_blend", f"select id, round(1 / (1 + exp(-(0.25 * {LOGIT.format('(raw / 600)')} + 0.75 * {LOGIT.format('(wk / 300000.0)')}))), 8) as blend from fx_scored")
@@ -464,7 +471,7 @@ def _(spark, folder):
 @q("t10_batch_scores")
 def _(spark, folder):
     fit, late = fit_and_late(spark, folder)
-    model = modeling.LinearModel(fit, SMALL)
+    model = modeling.LinearModel(fit, MODEL_COLS)
     cal = calibrate.fit(model.predict(fit))
     out = modeling.batch_score(late, model, cal)
     return rounded(out.select("case_id", "raw", "pd", "score", "band"))
@@ -486,5 +493,5 @@ def _(spark, folder):
 def _(spark, folder):
     rows = labelled(spark, folder)
     noisy = rows.withColumn("mean_dpd", F.col("mean_dpd") * 0.8).withColumn("monthly_income", F.when(F.col("case_id") % 3 != 0, F.col("monthly_income")))
-    out = modeling.cross_representation({"bureau": rows, "feed": noisy}, SMALL, [("bureau", "bureau"), ("bureau", "feed"), ("feed", "feed")])
+    out = modeling.cross_representation({"bureau": rows, "feed": noisy}, MODEL_COLS, [("bureau", "bureau"), ("bureau", "feed"), ("feed", "feed")])
     return spark.createDataFrame(out, "trained_on string, served_on string, gini double")
