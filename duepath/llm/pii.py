@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and further spans by a linear-chain conditional random field.
 
 The patterns find emails, IP addresses, card numbers and phone numbers (``base_spans``). The field labels the words near
-a digit, an ``@`` or a written (at) by word shapes and neighbours; it is trained from the small table ``LABELLED`` by gradient ascent
+a digit, an ``@`` or a written at or dot (bare or bracketed, any case) by word shapes and neighbours; it is trained from the small table ``LABELLED`` by gradient ascent
 and decoded by Viterbi over batches of word sequences in numpy. It adds what patterns miss, such as ``name (at) host``
 or phone numbers without a plus sign; spans that touch a base span of any kind are left out, base spans always stay.
 
@@ -32,8 +32,12 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|(?<!\S)(?:at|dot)(?!\S)", re.I)
 _DIGIT = re.compile(r"[0-9]")
+# A written address: one local part, an at, one host; with a bare at the host needs a dot.
+_PART = r"[\w%+-]+(?:\.[\w%+-]+)*"
+_DOT = r"(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+|\.)"
+_ADDRESS = re.compile(rf"[<(\"']*{_PART}(?:\s*(?:@|[(\[]at[)\]])\s*[\w-]+(?:{_DOT}[\w-]+)*|\s+at\s+[\w-]+(?:{_DOT}[\w-]+)+)[>)\"'.,;:!?]*", re.I)
 _WORD = re.compile(r"\S+")
 
 
@@ -116,6 +120,12 @@ build 20240115.3 failed twice
 the score was 3-1 and then 4-2
 isbn 978-3-16-148410-0 is a book
 ###152.143.123.131### was there
+reach me via {email:jo at mail dot example dot org} thanks a lot
+ask {email:Max.Lee (AT) firm (DOT) example (DOT) com} about it
+or {email:a [at] b [dot] c [dot] net} for the rest
+they looked at the dot on the wall at noon
+he was born at home and lived at sea
+the last dot at the end of it is red
 """.splitlines()
 
 _MARK = re.compile(r"\{(\w+):([^}]*)\}")
@@ -238,12 +248,13 @@ def fit(lines: list[str], rounds: int = 150, rate: float = 0.5, ridge: float = 0
 def _plausible(kind: int, text: str) -> bool:
     digits = len(_DIGIT.findall(text))
     if kind == 0:
-        return "@" in text or bool(re.search(r"\bat\b", text, re.I))
+        return bool(_ADDRESS.fullmatch(text))
     return (4 <= digits <= 20, 12 <= digits <= 19, 7 <= digits <= 15)[kind - 1]
 
 
-def sequences(text: str, reach: int = 2) -> Iterator[list[tuple[int, int]]]:
-    """Word spans around words with a digit or @, ``reach`` words to each side, within a line."""
+def sequences(text: str, reach: int = 4) -> Iterator[list[tuple[int, int]]]:
+    """Word spans around words with a digit, an @ or a written at or dot, ``reach`` words to each side, within a line.
+    Windows that meet are one, so an address runs on as long as its cue words do."""
     at = 0
     while True:
         hit = _TRIGGER.search(text, at)
@@ -256,7 +267,7 @@ def sequences(text: str, reach: int = 2) -> Iterator[list[tuple[int, int]]]:
         marks = [k for k, (a, b) in enumerate(words) if _TRIGGER.search(text, a, b)]
         run: list[int] = []
         for k in marks:
-            if run and k - run[-1] > 2 * reach:
+            if run and k - run[-1] > 2 * reach + 1:
                 yield words[max(0, run[0] - reach) : run[-1] + reach + 1]
                 run = []
             run.append(k)

@@ -122,6 +122,26 @@ def test_personal_data(documents):
     assert pii.find(documents([])).count() == 0
 
 
+def marked(line):
+    """A labelled line as text, and its marked spans."""
+    text, spans, at = "", [], 0
+    for m in [*pii._MARK.finditer(line), None]:
+        text += line[at : m.start() if m else len(line)]
+        if m:
+            spans.append((len(text), pii.BASE_KINDS.index(m[1]) + 4, len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+    return text, spans
+
+
+def test_labelled_lines_are_found_whole(documents):
+    more = ["please write to {email:Anna.Berg (AT) example (DOT) org} before noon", "{email:a [at] b [dot] c [dot] com}", "they met at the dot at noon", "anna.berg said so"]
+    lines = [marked(line) for line in pii.LABELLED + more]
+    got = {r.doc_id: r.spans for r in pii.find(documents([(k, text) for k, (text, _) in enumerate(lines)])).collect()}
+    for k, (text, spans) in enumerate(lines):
+        base = pii.base_spans(text)
+        assert got[k] == pii.written(base + [x for x in spans if not any(s < x[2] and x[0] < e for s, _, e in base)]), text
+
+
 def test_viterbi_is_the_best_labelling():
     field = pii.fit(pii.LABELLED, rounds=5)
     words = "call 555 12".split()
