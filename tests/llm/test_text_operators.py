@@ -35,6 +35,20 @@ def test_language_awkward_rows(documents):
     assert {r.lang_pred for r in langid.predict(docs, langid.train(documents([]))).collect()} == {"und"}
 
 
+def test_language_margin_is_relative_at_every_length(spark, documents):
+    rng = random.Random(5)
+    words = {"de": "der und die das nicht ist ein haus wald strasse morgen abend kinder schule", "en": "the and of that with house forest street morning evening children school", "fr": "le la les dans une maison foret rue matin soir enfants ecole"}
+    rows = [(k, " ".join(rng.choice(words[lang].split()) for _ in range(80)), lang) for k, lang in enumerate(sorted(words) * 60)]
+    model = langid.train(documents(rows))
+    made = {lang: " ".join(rng.choice(w.split()) for _ in range(600)) for lang, w in words.items()}
+    made["polish"] = " ".join(rng.choice("wszystkie dzieci ida szkoly gdzie ucza czytac pisac potem wracaja domu odrobic lekcje".split()) for _ in range(800))
+    made["junk"] = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(800))
+    found = {name: model.classify(text) for name, text in made.items()}
+    for lang in words:
+        assert found[lang][0] == lang and found[lang][1] >= langid.MIN_SCORE
+    assert found["polish"][1] < langid.MIN_SCORE and found["junk"][1] < langid.MIN_SCORE
+
+
 def best_edits(item, words):
     row = [0] * (len(words) + 1)
     for k, w in enumerate(item):
