@@ -1,9 +1,11 @@
 """Near duplicates by min-max hashing over five-word shingles.
 
 Every permutation (multiplication of a 64-bit shingle hash by an odd number) gives two signature values, the smallest
-and the largest image of the set, so ``BANDS * ROWS / 2`` permutations fill ``BANDS`` bands of ``ROWS`` values. Values
-of one permutation go to different bands. Two sets of similarity s share a band with probability
-1 - (1 - s**4)**40: 0.9999998 at 0.75. Every link is then confirmed on the full sets.
+and the largest image of the set, so ``BANDS * ROWS / 2`` permutations fill ``BANDS`` bands of ``ROWS`` values. Both values
+of one permutation go to different bands, since on small sets they are not independent (3 of 4 shingles: both agree
+with chance 1/2, not 9/16). Two sets of similarity s agree in a band with probability s**4 and, as far as bands are
+independent, share one with probability 1 - (1 - s**4)**40: 0.9999998 at 0.75. On small sets bands that hold the two
+values of one permutation depend on each other, so there this is an approximation. Every link is then confirmed on the full sets.
 
 Documents with equal sets form one class; one row per class is banded. The pairs of a bucket are not listed: members
 are compared with the bucket's hub, and a bucket whose members are then in one component is finished. Texts of the
@@ -30,6 +32,8 @@ from duepath.llm.rows import content_key, only
 from duepath.session import cut_lineage
 
 BANDS, ROWS, WORDS = 40, 4, 5
+#: How far the largest images are moved on against the smallest: no multiple of BANDS.
+SHIFT = 17
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -58,10 +62,10 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: i
     for k, odd in enumerate(_multipliers(half)):
         image = sets * odd
         values[k] = np.minimum.reduceat(image, begin)
-        values[half + k] = np.maximum.reduceat(image, begin)
+        values[half + (k - SHIFT) % half] = np.maximum.reduceat(image, begin)
     for band in range(bands):
         key = np.full(len(full), band + 1, np.uint64)
-        for r in range(rows):  # places of one band are half * 2 / rows apart: never both values of a permutation
+        for r in range(rows):  # the largest images come from other permutations than the smallest
             key = tx.mix(key * tx.BASE + values[band + r * bands])
         out[full, band] = key
     return out
