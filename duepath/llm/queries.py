@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duepath.llm import bpe, html, langid, leaks, minmax, naming, pfor, pii, resample, toxicity
+from duepath.llm import bpe, html, langid, leaks, minmax, naming, periods, pfor, pii, resample, toxicity, trie, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -92,3 +92,64 @@ def op7_patched_blocks(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_text_blocks")
 def op9_text_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
+
+
+def planted_fold(h: int, n: int) -> tuple[int, int] | None:
+    """Every tenth document repeats itself from some word on: 3 to 10 periods."""
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query("op11_internal_patterns")
+def op11_internal_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return periods.report(periods.find(docs, planted_fold, F.crc32(F.col("doc_id").cast("string").cast("binary"))))
+
+
+@query(
+    "op12_truncation_peeling",
+    r"""
+    with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+               from conversations where conv_id is not null),
+    c as (select distinct conv_id, conv_id - conv_id % 20 as base,
+                 xor(list_reduce(flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: [ascii(ch)::bigint, 0, 0, 0, 0, 0, 0, 0])),
+                                 lambda acc, e: xor(xor(acc, e) >> 1, 3988292384::bigint * (xor(acc, e) & 1)), 4294967295::bigint), 4294967295::bigint) % 4 as h
+          from t),
+    r as (select c.conv_id, 0 as part, t.i, t.role, t.text from c join t on t.conv_id = c.base and t.i <= c.h
+          union all select c.conv_id, 1, t.i, t.role, t.text from c join t on t.conv_id = c.conv_id and t.i > c.h),
+    s as (select conv_id, row_number() over (partition by conv_id order by part, i) as d, role, text from r),
+    p as (select conv_id, d, list({'r': role, 'x': text}) over (partition by conv_id order by d) as path, text from s
+          union all select conv_id, 0, [], null from c),
+    f as (select conv_id, max(d) as n from p group by conv_id),
+    k as (select p.d as depth, p.path, min(p.conv_id) as conv_id, count(*) as n_convs, any_value(p.text) as text,
+                 coalesce(string_agg(p.conv_id, ',' order by p.conv_id) filter (where f.n = p.d), '') as ends
+          from p join f using (conv_id) group by p.d, p.path),
+    kid as (select depth - 1 as depth, list_slice(path, 1, depth - 1) as path, count(*) as n_children from k where depth > 0 group by all),
+    u as (select k.*, coalesce(n_children, 0) as n_children,
+                 (n_convs - 1) * len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as own from k left join kid using (depth, path)),
+    e as (select unnest(range(0, depth + 1)) as up, path, own, n_children = 0 as leaf from u),
+    a as (select up as depth, list_slice(path, 1, up) as path, sum(own) as saved_tokens, count(*) filter (where leaf) as n_leaves from e group by all)
+    select u.conv_id, u.depth, o.conv_id as parent_conv_id, u.n_convs, u.n_children, a.n_leaves, cast(a.saved_tokens as bigint) as saved_tokens, sha256(u.ends) as ends_sha256
+    from u join a using (depth, path) left join u o on o.depth = u.depth - 1 and o.path = list_slice(u.path, 1, u.depth - 1)
+    """,
+)
+def op12_truncation_peeling(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.nodes(trie.with_shared_openings(trie.sequences(table(spark, folder, "conversations"))))
+
+
+@query(
+    "op13_sequential_reader",
+    """
+    with p as (select page_id, encode(coalesce(html, '')) as body, coalesce(html, '') as same from pages),
+    r as (select *, octet_length(body) as n, max(page_id) over (partition by same) as best from p)
+    select page_id, n as payload_bytes, sha1(body) as payload_digest,
+           case when n >= 1000 and page_id <> best then 'revisit' else 'response' end as record_type,
+           case when n >= 1000 and page_id <> best then best end as refers_to
+    from r
+    """,
+)
+def op13_sequential_reader(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
