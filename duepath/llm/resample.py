@@ -5,12 +5,13 @@ documents. A document's log weight is the mean log ratio of its n-grams times ``
 of seed, doc_id and text) and taking the k largest draws k documents without replacement in proportion to the weights.
 The k-th key is found by counting in ever finer ranges of keys, without a global sort and without collecting keys.
 
-Counts come from all rows and whole texts: each task adds up its own ``BUCKETS`` counters before the shuffle. The models
-that tasks receive are two arrays of ``BUCKETS`` numbers whatever the size of the corpus.
+Counts come from all rows and whole texts: each task adds up its own ``BUCKETS`` counters before the shuffle. The model
+of all documents takes no join; only texts of good documents, and the few others that a filter lets pass, are shuffled to
+meet their labels. The models that tasks receive are two arrays of ``BUCKETS`` numbers whatever the size of the corpus.
 
 Defined cases: null text counts as empty; documents without words have log weight 0 and take part; without good
-documents every ratio is 0; rows equal in doc_id and text get the same key, and of rows tied at the k-th key all are
-taken; empty tables give no rows; other columns are ignored.
+documents every ratio is 0; of contradicting labels of one doc_id the better one holds; rows equal in doc_id and text get
+the same key, and of rows tied at the k-th key all are taken; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duepath.llm import text as tx
@@ -27,6 +28,8 @@ from duepath.llm.rows import content_key
 from duepath.session import cut_lineage
 
 BUCKETS, STRENGTH, SMOOTH = 1 << 14, 20.0, 1.0
+#: Of the filter in front of the shuffle of good documents: 2 MB of words.
+FILTER_BITS = 1 << 24
 
 
 def ngrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -46,22 +49,40 @@ def ngrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, value[order].astype(np.int64), np.searchsorted(owner[order], np.arange(len(bounds)))
 
 
-def counts(docs: DataFrame, good: Column) -> DataFrame:
-    """(bucket, target, raw) summed over all documents; ``good`` is a boolean column of ``docs``."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(bucket, n) summed over all documents."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in it:
-            wanted = np.array([bool(g.as_py()) for g in batch.column("good")])
-            for first, bucket, to in ngrams(batch.column("text")):
-                total[1] += np.bincount(bucket, minlength=BUCKETS)
-                of = np.repeat(wanted[first : first + len(to) - 1], np.diff(to))
-                total[0] += np.bincount(bucket[of], minlength=BUCKETS)
-        used = np.flatnonzero(total[1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "target", "raw"])
+            for _, bucket, _ in ngrams(batch.column("text")):
+                total += np.bincount(bucket, minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+
+    return docs.select("text").mapInArrow(batches, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
+
 
-    parts = docs.select("text", good.alias("good")).mapInArrow(batches, "bucket bigint, target bigint, raw bigint")
-    return parts.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents whose doc_id is in ``ids`` (doc_id, distinct).
+
+    A filter of ``FILTER_BITS`` bits, which is at most so many 64-bit words whatever the number of ids, drops most of the
+    other documents before their text is shuffled; what it lets through is joined by doc_id.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    place = bit(F.col("doc_id"))
+    words = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))")).alias("bits"))
+    words = cut_lineage(words, "filter")
+    hit = F.expr(f"shiftrightunsigned(bits, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int)) & 1 = 1")
+    likely = docs.select("doc_id", "text").withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word").where(hit)
+    # the same plan at every size: both sides shuffled by id
+    return likely.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi")
+
+
+def models(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(bucket, target, raw): counts over the documents marked good and over all; ``marks`` has doc_id and good, one row an id."""
+    good = counts(among(docs, cut_lineage(marks.where("good").select("doc_id"), "good")))
+    return counts(docs).withColumnRenamed("n", "raw").join(good.withColumnRenamed("n", "target"), "bucket", "left").select("bucket", F.coalesce("target", F.lit(0)).alias("target"), "raw")
 
 
 def log_ratios(table: DataFrame) -> np.ndarray:
@@ -120,14 +141,18 @@ def kth_largest(keys: DataFrame, column: str, k: int, parts: int = 1000) -> floa
     return low
 
 
+def best_marks(labels: DataFrame) -> DataFrame:
+    """doc_id, good: one row an id; of contradicting labels the better one holds."""
+    return labels.select("doc_id", (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
+
+
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 0) -> DataFrame:
     """doc_id, n_ngrams, log_weight, gumbel_key, selected for every document.
 
     ``share`` of the rows are drawn; by default the share of good ones among the labelled.
     """
-    marks = labels.select("doc_id", (F.col("quality") == 1).alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
-    table = docs.select("doc_id", "text").join(marks, "doc_id", "left")
-    ratios = log_ratios(counts(table, F.coalesce("good", F.lit(False))))
+    marks = best_marks(labels)
+    ratios = log_ratios(models(docs, marks))
     keys = cut_lineage(weighted(docs, ratios, seed), "keys")
     if share is None:
         share = marks.agg(F.avg(F.col("good").cast("int"))).first()[0] or 0.0

@@ -12,6 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from duepath.llm import bpe, html, langid, leaks, pfor, pii, queries, resample, toxicity
+from duepath.llm import text as tx
 
 BPE = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id"), (4, "same"), (4, "same"), (5, "ünï çødé 漢字 🙂 '' don't 12's"), (6, "x" * 9000), (7, "a  b \n\n c   \n" * 700), (8, "   wide  " * 300)]
@@ -197,10 +198,52 @@ def test_resampling(spark, documents):
     assert resample.resample(documents([]), labels).count() == 0
 
 
-def test_ngram_counts(documents, spark):
+def _grams(text):
+    """Buckets of the words and word pairs of a text, one word at a time."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    one = []
+    for w in words:
+        raw = np.frombuffer(w, np.uint8)
+        one.append(tx.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+    with np.errstate(over="ignore"):
+        pairs = [tx.mix(np.array([a * tx.BASE + b]))[0] for a, b in zip(one, one[1:])]
+    return [int(g % np.uint64(resample.BUCKETS)) for g in one + pairs]
+
+
+def test_resampling_against_brute_force(spark, documents):
+    """Counts, log weights and the draw; a doc_id with contradicting labels counts as good, copies of an id count each."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["Alpha", "beta", "gamma", "delta", "eps", "zeta"][k % 2 :]) for _ in range(rng.randint(0, 40)))) for k in range(120)]
+    rows += [(7, "beta beta again"), (300, None), (301, ""), (None, "alpha beta"), (302, "long " * 20_000)]
+    marks = [(k, int(k % 5 == 0)) for k in range(60)] + [(7, 0), (7, 1), (8, None), (None, 1), (999, 1), (302, 1)]
+    labels = spark.createDataFrame(marks, "doc_id bigint, quality int")
+    got = resample.resample(documents(rows, "bits"), labels, share=0.25).collect()
+    good = {k for k, q in marks if k is not None and q == 1}
+    target, raw = np.ones(resample.BUCKETS), np.ones(resample.BUCKETS)
+    for doc_id, text in rows:
+        for g in _grams(text):
+            raw[g] += 1
+            target[g] += doc_id in good
+    ratio = np.log((target / target.sum()) / (raw / raw.sum()))
+    expected = sorted((repr(doc_id), len(_grams(text)), round(float(np.mean(ratio[_grams(text)])) * resample.STRENGTH if _grams(text) else 0.0, 9)) for doc_id, text in rows)
+    assert sorted((repr(r.doc_id), r.n_ngrams, round(r.log_weight, 9) + 0.0) for r in got) == expected
+    keys = sorted((r.gumbel_key for r in got), reverse=True)
+    assert all(r.selected == (r.gumbel_key >= keys[round(0.25 * len(rows)) - 1]) for r in got)
+    # the noise is the Gumbel quantile of a hash of the row
+    noise = [r.gumbel_key - r.log_weight for r in got]
+    assert -3 < min(noise) and abs(sum(noise) / len(noise) - 0.5772) < 0.5
+
+
+def test_filter_lets_every_wanted_document_pass(documents, spark, monkeypatch):
+    monkeypatch.setattr(resample, "FILTER_BITS", 64)
+    docs = documents([(k % 50, f"text {k}") for k in range(200)] + [(None, "x")])
+    ids = spark.createDataFrame([(k,) for k in range(0, 50, 3)] + [(-4,)], "doc_id bigint")
+    assert sorted(r.text for r in resample.among(docs, ids).collect()) == sorted(f"text {k}" for k in range(200) if k % 50 % 3 == 0)
+
+
+def test_ngram_counts(documents):
     docs = documents([(1, "a b a"), (2, None), (3, "A")])
-    table = resample.counts(docs, docs["doc_id"] == 1).collect()
-    assert sum(r.raw for r in table) == 6 and sum(r.target for r in table) == 5
+    assert sum(r.n for r in resample.counts(docs).collect()) == 6
 
 
 def test_blocks_of_ids():
