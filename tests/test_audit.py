@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from frame_rows import rows_of
 from duepath.operators import governance as gov
 from duepath.plans.audit_queries import hit_stream, submission_stream
 from duepath.sources import sinks

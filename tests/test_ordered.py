@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from frame_rows import rows_of
 from duepath.operators import ordered as od
 
 
