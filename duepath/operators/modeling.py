@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from typing import Callable, Sequence
+from collections.abc import Callable, Iterator
+from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -14,8 +17,11 @@ from pyspark.sql import functions as F
 from duepath.functions import score as sc
 from duepath.operators import flags
 from duepath.operators import metrics
-from duepath.operators.ordered import Index, Lag, OrderedGroups, RunningSum
+from duepath.operators.asof import numbered
+from duepath.operators.ordered import Lag, OrderedGroups, RunningSum
+from duepath.operators.permute import permuted
 from duepath.operators.ranking import two_way_split
+from duepath.session import cut_lineage
 
 
 def top_reasons(contributions: Column, k: int = 3, increasing: bool = True) -> Column:
@@ -74,6 +80,10 @@ class LinearModel:
         scored = _probability(self.model.transform(self.prep.apply(df)), alias)
         return scored
 
+    def log_odds(self) -> Column:
+        """The log-odds of a row that ``prep`` has filled and scaled."""
+        return sum((F.lit(w) * F.col(c) for c, w in self.weights.items() if w), F.lit(self.intercept))
+
     def contributions(self, df: DataFrame) -> DataFrame:
         """Pushes on the log-odds of each row against the average applicant."""
         filled = self.prep.apply(df)
@@ -121,32 +131,168 @@ def monotone_audit(scored: DataFrame, feature: str, direction: int, pred: str =
     return steps.select(F.lit(feature).alias("feature"), "bin", "n", "x_lo", "x_hi", "mean_pred", against.alias("against"))
 
 
-def leave_one_out(train: DataFrame, test: DataFrame, columns: Sequence[str], fit: Callable = LinearModel) -> list[tuple[str, float]]:
-    """Gini lost when a column is left out of the model."""
-    base = gini_on(fit(train, columns).predict(test))
-    drops = [(c, base - gini_on(fit(train, [x for x in columns if x != c]).predict(test))) for c in columns]
-    return sorted(drops, key=lambda t: -t[1])
+def _sums(rows: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """``part`` of the rows' (x with a leading 1, target), ``size`` numbers, summed over all rows; a task sends one sum."""
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in it:
+            x, y = _matrix(batch)
+            total += part(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "v"])
 
-def shuffled(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
-    """The frame with one column permuted: positions under two seeded hash orders are matched,
-    so the permutation is the same on every run and no task holds the whole column."""
-    def numbered(rows: DataFrame, salt: int, name: str) -> DataFrame:
-        keyed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed * 2 + salt)))
-        return OrderedGroups(keyed, [], ["_h"]).add(**{name: Index()}).done().drop("_h")
+    out = np.zeros(size)
+    for r in rows.mapInArrow(batches, "k bigint, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"]
+    return out
 
-    here = numbered(df.drop(column), 0, "_pos")
-    values = numbered(df.select(key, column), 1, "_pos").select("_pos", column)
-    return here.join(values, "_pos").drop("_pos")
 
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    n = batch.num_rows
+    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+    return np.concatenate([np.ones((n, 1)), x], axis=1), batch.column("y").to_numpy(zero_copy_only=False)
 
-def permutation_importance(model, frame: DataFrame, columns: Sequence[str], repeats: int = 3, seed: int = 42) -> list[tuple[str, float]]:
-    base = gini_on(model.predict(frame))
-    out = []
-    for j, c in enumerate(columns):
-        drops = [base - gini_on(model.predict(shuffled(frame, c, seed + 1000 * j + r))) for r in range(max(1, repeats))]
-        out.append((c, sum(drops) / len(drops)))
-    return out
+
+class LeaveOneOut:
+    """The L2 logistic regression on all columns and on all but one, for every column, fitted together.
+
+    The full model takes Newton steps on its normal matrix, which is added up over the rows. A model without a column
+    starts from that fit, corrected by the matrix's inverse; each further pass adds up the gradients of all models at once
+    and solves each with the same inverse, less the row and column left out. A model whose gradient grows goes on with the
+    matrix of the largest possible weights, with which it always falls. What reaches the driver is a square of the columns.
+    """
+
+    def __init__(self, train: DataFrame, columns: Sequence[str], target: str = "target", l2: float = 1e-2, tol: float = 1e-9, passes: int = 200):
+        self.prep = Prepared(train, columns)
+        self.used = self.prep.varied or list(columns)
+        self.target = target
+        rows = cut_lineage(self._rows(train), "scaled")
+        p = len(self.used) + 1
+        ridge = np.diag([0.0] + [l2] * (p - 1))
+        n = rows.count()
+
+        def newton(beta: np.ndarray):
+            def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                if not len(y):
+                    return np.zeros(2 * p * p + p)
+                q = 1.0 / (1.0 + np.exp(-x @ beta))
+                return np.concatenate([((x * (q * (1 - q))[:, None]).T @ x).ravel(), (x.T @ x).ravel() / 4, x.T @ (q - y)])
+
+            return part
+
+        beta = np.zeros(p)
+        for _ in range(50):
+            sums = _sums(rows, 2 * p * p + p, newton(beta)) / n
+            curve, most = sums[: p * p].reshape(p, p) + ridge, sums[p * p : 2 * p * p].reshape(p, p) + ridge
+            step = np.linalg.solve(curve, sums[2 * p * p :] + ridge @ beta)
+            if np.abs(step).max() < tol:
+                break
+            beta = beta - step
+        self.beta = beta
+        inverse = [np.linalg.inv(curve), np.linalg.inv(most)]
+        out = np.arange(1, p)
+        both = beta[:, None] - inverse[0][:, 1:] * (beta[1:] / np.diag(inverse[0])[1:])
+        bounded, before = np.zeros(p - 1, bool), np.full(p - 1, np.inf)
+        for _ in range(passes):
+            both[out, out - 1] = 0.0
+            tried = both
+
+            def gradients(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                return (x.T @ (1.0 / (1.0 + np.exp(-x @ tried)) - y[:, None])).ravel() if len(y) else np.zeros(p * (p - 1))
+
+            slope = _sums(rows, p * (p - 1), gradients).reshape(p, p - 1) / n + ridge @ both
+            slope[out, out - 1] = 0.0
+            size = np.abs(slope).max(0)
+            bounded |= size > before
+            before = size
+            step = np.zeros_like(both)
+            for kind in (0, 1):
+                m = np.flatnonzero(bounded == bool(kind))
+                u = inverse[kind] @ slope[:, m]
+                step[:, m] = u - inverse[kind][:, m + 1] * (u[m + 1, np.arange(len(m))] / np.diag(inverse[kind])[m + 1])
+            if np.abs(step).max(initial=0.0) < tol * 10:
+                break
+            both = both - step
+        self.without = both
+
+    def _rows(self, df: DataFrame) -> DataFrame:
+        scaled = self.prep.apply(df)
+        return scaled.select(F.array(*[F.col(c).cast("double") for c in self.used]).alias("x"), F.col(self.target).cast("double").alias("y")).where(F.col("y").isNotNull())
+
+    def ginis(self, test: DataFrame) -> dict[str | None, float]:
+        """Gini on ``test`` of the full model (None) and of the one without each column."""
+        weights = np.concatenate([self.beta[:, None], self.without], axis=1)
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for at in range(0, batch.num_rows, 4096):
+                    x, y = _matrix(batch.slice(at, 4096))
+                    z = x @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(z.shape[1], dtype=np.int32), len(y))), pa.array(z.ravel()), pa.array(np.repeat(y, z.shape[1]))], names=["m", "raw", "target"])
+
+        scored = self._rows(test).mapInArrow(batches, "m int, raw double, target double")
+        names = [None, *self.used]
+        return {names[r["m"]]: r["gini"] for r in metrics.auc(scored, ["m"]).collect()}
+
+
+def leave_one_out(train: DataFrame, test: DataFrame, columns: Sequence[str], l2: float = 1e-2) -> list[tuple[str, float]]:
+    """Gini lost when a column is left out of the linear model; a column that doesn't vary loses nothing."""
+    ginis = LeaveOneOut(train, columns, l2=l2).ginis(test)
+    base = ginis[None]
+    return sorted(((c, base - ginis.get(c, base)) for c in columns), key=lambda t: -t[1])
+
+
+def permutation_key(seed: int, *parts: Column) -> Column:
+    return F.concat_ws("/", F.lit(str(seed)), *[p.cast("string") for p in parts])
+
+
+def shuffled(df: DataFrame, column: str, seed: int, key: str = "case_id") -> DataFrame:
+    """The frame with one column permuted: every value moves to the row that a keyed bijection of the rows' numbers names."""
+    rows = numbered(df, [key], "_at")
+    to = permuted(F.col("_at"), rows.count(), permutation_key(seed, F.lit(column)))
+    return rows.drop(column).join(rows.select(to.alias("_at"), column), "_at").drop("_at")
+
+
+def permuted_columns(rows: DataFrame, n: int, columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
+    """_at, repeat and ``got``: for each numbered row what each of ``columns`` has after its own permutation, as an array.
+
+    All columns of all repeats move in one shuffle, a number each.
+    """
+    cells = rows.select("_at", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("j", "x"))
+    cells = cells.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    to = permuted(F.col("_at"), n, permutation_key(seed, F.col("repeat"), F.col("j")))
+    moved = cells.select(to.alias("_at"), "repeat", "j", "x")
+    # one entry for each of the columns
+    return moved.groupBy("_at", "repeat").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("got"))
+
+
+def permutation_importance(model, frame: DataFrame, columns: Sequence[str], repeats: int = 3, seed: int = 42, key: str = "case_id",
+                           target: str = "target") -> list[tuple[str, float]]:
+    """Mean Gini lost when a column is permuted, for every column, from one scoring of all of them.
+
+    A linear model's log-odds move by its weight times the change of the column; other models score a copy of the rows
+    for each column.
+    """
+    columns, repeats = list(columns), max(1, repeats)
+    linear = isinstance(model, LinearModel)
+    scored = model.prep.apply(frame).withColumn("_z", model.log_odds()) if linear else frame
+    rows = numbered(scored, [key], "_at")
+    base = gini_on(rows, "_z", target) if linear else gini_on(model.predict(rows), "raw", target)
+    got = permuted_columns(rows, rows.count(), columns, repeats, seed)
+    own = F.array(*[F.col(c).cast("double") for c in columns])
+    both = rows.withColumn("_own", own).join(got, "_at")
+    if linear:
+        weights = F.array(*[F.lit(model.weights.get(c, 0.0)) for c in columns])
+        change = F.transform(F.arrays_zip(weights.alias("w"), F.col("got").alias("g"), F.col("_own").alias("o")), lambda t: F.col("_z") + t["w"] * (t["g"] - t["o"]))
+        each = both.select(target, "repeat", F.posexplode(change).alias("j", "raw"))
+    else:
+        kinds = dict(frame.dtypes)
+        copies = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("j"))
+        swapped = {c: F.when(F.col("j") == i, F.get("got", F.lit(i)).cast(kinds[c])).otherwise(F.col(c)) for i, c in enumerate(columns)}
+        each = model.predict(copies.withColumns(swapped).drop("got", "_own"))
+    drops = metrics.auc(each, ["j", "repeat"], "raw", target).groupBy("j").agg((F.lit(base) - F.avg("gini")).alias("drop")).collect()
+    found = {columns[r["j"]]: r["drop"] for r in drops}
+    return [(c, found.get(c, 0.0)) for c in columns]
 
 
 def null_importance(train: DataFrame, columns: Sequence[str], runs: int = 5, seed: int = 42, percentile: float = 0.75, **params) -> list[tuple[str, float, float, bool]]:

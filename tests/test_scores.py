@@ -1,5 +1,6 @@
 """Calibration, scorecard, uncertainty and models."""
 
+import hashlib
 import math
 import random
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from duepath.functions import score as sc
-from duepath.operators import calibrate, metrics, modeling, ranking, uncertainty
+from duepath.operators import asof, calibrate, metrics, modeling, permute, pooling, ranking, uncertainty
+from duepath.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -86,25 +88,40 @@ def test_scorecard(spark):
 
 
 def test_beta_functions():
-    # Beta(1, n) and Beta(n, 1) have closed forms.
-    for n in (1.0, 5.0, 200.0):
-        for x in (0.001, 0.3, 0.9):
-            assert calibrate._beta_cdf(1.0, n, x) == pytest.approx(1 - (1 - x) ** n, abs=1e-12)
-            assert calibrate._beta_cdf(n, 1.0, x) == pytest.approx(x**n, abs=1e-12)
-    assert calibrate._beta_cdf(2.0, 3.0, 0.5) == pytest.approx(0.6875, abs=1e-12)
-    assert calibrate._beta_ppf(1.0, 10.0, 0.95) == pytest.approx(1 - 0.05 ** 0.1, abs=1e-8)
-
-
-def test_a_million_scores_give_a_bounded_fit(spark):
-    """No step of the fit or the bootstraps sees more points than bins."""
+    # Beta(1, n) and Beta(n, 1) have closed forms; with whole parameters the function is a binomial sum.
+    n, x = (v.ravel() for v in np.meshgrid([1.0, 5.0, 200.0], [0.001, 0.3, 0.9]))
+    assert np.allclose(calibrate.beta_cdf(1.0, n, x), 1 - (1 - x) ** n, atol=1e-12)
+    assert np.allclose(calibrate.beta_cdf(n, 1.0, x), x**n, atol=1e-12)
+    for a in (1, 2, 20, 150):
+        for b in (1, 3, 60, 400):
+            for at in (0.0, 0.01, 0.2, 0.5, 0.9, 1.0):
+                m = a + b - 1
+                want = sum(math.comb(m, j) * at**j * (1 - at) ** (m - j) for j in range(a, m + 1))
+                assert calibrate.beta_cdf(a, b, at)[0] == pytest.approx(want, abs=1e-10)
+    assert calibrate.beta_ppf(1.0, 10.0, 0.95)[0] == pytest.approx(1 - 0.05**0.1, abs=1e-12)
+    rng = np.random.default_rng(4)
+    a, b, q = 10 ** rng.uniform(-1, 5, 3000), 10 ** rng.uniform(-1, 6, 3000), rng.uniform(0.01, 0.99, 3000)
+    got = calibrate.beta_ppf(a, b, q)
+    assert np.abs(calibrate.beta_cdf(a, b, got) - q)[(got > 1e-6) & (got < 1 - 1e-6)].max() < 1e-8
+
+
+def test_a_million_scores_are_fitted_exactly(spark):
+    """Continuous scores, none equal: the fit of all of them, in ranges, is that of one sequence."""
     rows = spark.range(1_000_000).select(
         (F.col("id") / 1e6).alias("raw"), (F.col("id") % 20).cast("int").alias("wk"),
         (F.rand(3) < 0.05 + 0.4 * F.col("id") / 1e6).cast("int").alias("target"))
+    points = cut_lineage(calibrate.knots(rows))
+    p = points.orderBy("x").toPandas()
+    want = uncertainty.pool_adjacent((p.k / p.n).to_numpy(), p.n.to_numpy())
+    for size in (pooling.RANGE, 60_000):
+        fitted, curve = pooling.isotonic_fit(points, size)
+        got = fitted.orderBy("x").toPandas()
+        assert len(got) == 1_000_000 and (got.x == p.x).all() and np.allclose(got.y, want, atol=1e-12)
+        assert curve.count() < 20_000
     cal = calibrate.fit(rows)
-    knots = cal.knots.toPandas()
-    assert 1_900 <= len(knots) <= 2_000 and knots.n.sum() == 1_000_000 and knots.n.max() <= 502
-    at = calibrate.fit(rows, bins=50).predict(rows.filter("raw = 0.5")).first()["pd"]
-    assert at == pytest.approx(0.25, abs=0.02)
+    at = cal.predict(rows.filter("raw in (0.25, 0.5)")).orderBy("raw").toPandas().pd
+    assert np.allclose(at, want[[250_000, 500_000]])
+    assert calibrate.binned_knots(rows).agg(F.max("n"), F.count("x")).first()[1] <= 2000
     full = metrics.auc(rows).first()["gini"]
     ginis = [r["gini"] for r in uncertainty.block_bootstrap(rows, 4).collect() + uncertainty.row_bootstrap(rows, 4).collect()]
     assert len(ginis) == 8 and all(abs(g - full) < 0.02 for g in ginis)
@@ -112,10 +129,62 @@ def test_a_million_scores_give_a_bounded_fit(spark):
         calibrate.fit(rows, bins=0)
 
 
+@pytest.mark.parametrize("shape", ["falling", "rising", "steps", "noise", "one", "saw"])
+def test_pooling_in_many_ranges(spark, shape):
+    """Violators that reach over many ranges, and sequences in which every knot is a block of its own."""
+    rng = np.random.default_rng(9)
+    m = 1 if shape == "one" else 700
+    n = rng.integers(1, 6, m).astype(float)
+    rate = {"falling": np.linspace(1, 0, m), "rising": np.linspace(0, 1, m), "steps": np.floor(np.linspace(0, 9, m)) / 9, "noise": rng.uniform(0, 1, m), "one": np.array([0.5]),
+            "saw": ((np.arange(m) % 50) / 50 + np.arange(m) / 5000) / 1.2}[shape]
+    k = np.round(rate * n * 64) / 64
+    points = spark.createDataFrame([(float(i), float(a), float(b)) for i, (a, b) in enumerate(zip(n, k))], "x double, n double, k double").repartition(3)
+    fitted, _ = pooling.isotonic_fit(points, 20)
+    assert np.allclose(fitted.orderBy("x").toPandas().y, uncertainty.pool_adjacent(k / n, n), atol=1e-12)
+
+
+def test_neighbours_of_a_million_blocks(spark):
+    """Nearest and containing blocks in a table no task could be sent, against a search in one array."""
+    blocks = spark.range(1_000_000).select(F.col("id").cast("int").alias("block"), (F.col("id") * 3.0).alias("x_lo"), (F.col("id") * 3.0 + 1).alias("x_hi"), (F.col("id") / 1e6).alias("pd"))
+    rows = spark.range(3000).select("id", (F.rand(5) * 3.2e6 - 1e5).alias("raw"), (F.rand(6) * 1.2 - 0.1).alias("pd"))
+    rows = rows.unionByName(spark.createDataFrame([(9001, None, None), (9002, float("nan"), float("nan")), (9003, 2.0, 0.0), (9004, 6.0, 0.5)], "id bigint, raw double, pd double"))
+    by_score = {r.id: (r.raw, r.block) for r in calibrate.block_for_score(rows, blocks).collect()}
+    by_pd = {r.id: (r.pd, r.block) for r in calibrate.block_for_pd(rows, blocks).collect()}
+    assert len(by_score) == len(by_pd) == 3004 and by_score[9001][1] is by_score[9002][1] is by_pd[9001][1] is by_pd[9002][1] is None
+    for raw, block in (v for k, v in by_score.items() if k not in (9001, 9002)):
+        near = [b for b in range(max(0, int(raw // 3) - 1), min(999_999, max(0, int(raw // 3) + 2)) + 1)] or [999_999]
+        away = {b: 0 if 3 * b - 1e-12 <= raw <= 3 * b + 1 + 1e-12 else min(abs(3 * b - raw), abs(3 * b + 1 - raw)) for b in near}
+        assert block == min(away, key=lambda b: (away[b], b))
+    for p, block in (v for k, v in by_pd.items() if k not in (9001, 9002)):
+        near = range(max(0, min(999_999, int(p * 1e6) - 1)), max(0, min(999_999, int(p * 1e6) + 2)) + 1)
+        assert abs(block / 1e6 - p) == min(abs(b / 1e6 - p) for b in near)
+
+
+def test_knots_around_values_in_many_ranges(spark):
+    rng = np.random.default_rng(2)
+    knots, values = np.unique(rng.integers(0, 5000, 60)), rng.integers(-100, 5100, 400) + 0.5 * rng.integers(0, 2, 400)
+    k = spark.createDataFrame([(float(x), float(-x)) for x in knots], "x double, y double")
+    got = asof.neighbours(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double"), k, ["y"], 25).collect()
+    assert len(got) == len(set(values))
+    for r in got:
+        below, above = [v for v in knots if v <= r.x], [v for v in knots if v >= r.x]
+        assert (r.below_x, r.below_y) == ((max(below), -max(below)) if below else (None, None))
+        assert (r.above_x, r.above_y) == ((min(above), -min(above)) if above else (None, None))
+
+
+def test_numbering_in_many_ranges(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 5 else None, i) for i in range(500)] + [(3, 3)] * 100, "a int, b int").repartition(5)
+    got = asof.numbered(rows, ["a"], size=40).orderBy("index").collect()
+    assert [r["index"] for r in got] == list(range(600))
+    assert [r.a for r in got] == sorted((r.a for r in got), key=lambda a: (a is not None, a or 0))
+
+
 def test_pooled_evidence(sample):
     cal = calibrate.fit(sample, bins=100)
     k = cal.knots.orderBy("x").toPandas()
     got = calibrate.pooled_evidence(cal.knots, 200).orderBy("x").toPandas()
+    again = calibrate.pooled_evidence(cal.knots, 200, size=7).orderBy("x").toPandas()
+    assert again.equals(got) and got.knot.tolist() == list(range(len(k)))
     n, d = k.n.to_numpy(), k.k.to_numpy()
     for i in range(len(k)):
         lo = hi = i
@@ -189,6 +258,76 @@ def test_planted_signal(spark):
     assert len(audit) == 10
 
 
+def test_leave_one_out_is_that_of_separate_fits(spark):
+    rows = planted(spark).withColumn("flat", F.lit(2.0)).withColumn("near", F.col("a") + 0.1 * F.col("noise"))
+    parts = ranking.two_way_split(rows, "wk", "case_id")
+    fit, late = parts.filter("slice = 'fit'").cache(), parts.filter("slice = 'holdout'").cache()
+    columns = ["a", "b", "noise", "near", "flat"]
+    together = modeling.LeaveOneOut(fit, columns)
+    ginis = together.ginis(late)
+    base = modeling.LinearModel(fit, columns)
+    assert np.allclose(together.beta, [base.intercept, *[base.weights[c] for c in together.used]], atol=1e-5)
+    assert ginis[None] == pytest.approx(modeling.gini_on(base.predict(late)), abs=1e-4)
+    for i, c in enumerate(together.used):
+        alone = modeling.LinearModel(fit, [x for x in columns if x != c])
+        mine = dict(zip(["", *together.used], together.without[:, i]))
+        assert all(mine[x] == pytest.approx(alone.weights[x], abs=1e-5) for x in together.used if x != c) and mine[c] == 0
+        assert ginis[c] == pytest.approx(modeling.gini_on(alone.predict(late)), abs=1e-4)
+    drops = dict(modeling.leave_one_out(fit, late, columns))
+    assert drops["flat"] == 0.0 and drops["b"] == pytest.approx(ginis[None] - ginis["b"]) and set(drops) == set(columns)
+
+
+def moved(place, n, key):
+    """The permutation again, number by number."""
+    a, b = permute.sides(n)
+    while True:
+        side = [place // b, place % b]
+        for turn in range(permute.ROUNDS):
+            i = turn % 2
+            text = f"{key}:{turn}:{side[1 - i]}"
+            side[i] = (side[i] + int(hashlib.md5(text.encode()).hexdigest()[:12], 16) % (a, b)[i]) % (a, b)[i]
+        place = side[0] * b + side[1]
+        if place < n:
+            return place
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000, 4097])
+def test_permutations(spark, n):
+    got = [r[0] for r in spark.range(n).select(permute.permuted(F.col("id"), n, F.lit("k/3"))).collect()]
+    assert sorted(got) == list(range(n)) and got[:40] == [moved(i, n, "k/3") for i in range(min(n, 40))]
+    if n >= 1000:
+        other = [r[0] for r in spark.range(n).select(permute.permuted(F.col("id"), n, F.lit("k/4"))).collect()]
+        assert sum(x == y for x, y in zip(got, other)) < 20 and sum(x == i for i, x in enumerate(got)) < 20
+        assert abs(np.corrcoef(got, range(n))[0, 1]) < 0.15
+
+
+def test_permutation_importance_against_brute_force(spark):
+    """Both ways of scoring permuted columns against one frame after the other."""
+    rows = planted(spark).filter("case_id % 4 <> 1").select("case_id", "wk", "target", "a", "b", "noise")
+    model = modeling.LinearModel(rows, ["a", "b", "noise"])
+    got = dict(modeling.permutation_importance(model, rows, ["a", "b"], 2, seed=6))
+    pdf = rows.orderBy("case_id").toPandas()
+    n = len(pdf)
+    base = modeling.gini_on(model.predict(rows))
+    for j, c in enumerate(["a", "b"]):
+        drops = []
+        for repeat in range(2):
+            mixed = pdf.copy()
+            mixed[c] = mixed[c].astype(object)
+            for i in range(n):
+                mixed.at[moved(i, n, f"6/{repeat}/{j}"), c] = None if pdf[c][i] != pdf[c][i] else float(pdf[c][i])
+            frame = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in mixed.itertuples(index=False)], rows.schema)
+            drops.append(base - modeling.gini_on(model.predict(frame)))
+        assert got[c] == pytest.approx(np.mean(drops), abs=1e-9)
+
+    class Plain:
+        """The same model without the short way."""
+
+        predict = staticmethod(model.predict)
+
+    assert dict(modeling.permutation_importance(Plain, rows, ["a", "b"], 2, seed=6)) == pytest.approx(got, abs=1e-9)
+
+
 def test_shuffle_keeps_the_values(spark):
     rows = planted(spark)
     mixed = modeling.shuffled(rows, "a", 5)
