@@ -31,18 +31,20 @@ def _knot(prefix: str, columns: Sequence[str]) -> list[str]:
     return [f"{prefix}_{c}" for c in columns]
 
 
-def neighbours(values: DataFrame, knots: DataFrame, columns: Sequence[str] = (), size: int = RANGE) -> DataFrame:
+def neighbours(values: DataFrame, knots: DataFrame, columns: Sequence[str] = (), size: int = RANGE, ready: bool = False) -> DataFrame:
     """Each distinct value (x of ``values``) with the knots around it.
 
     Returns x, below_x, above_x and below_/above_ each of ``columns`` (numbers, as doubles). ``knots`` has one row per x;
     a value that is a knot is its own neighbour on both sides; beyond the ends a side is null. Null and NaN values are
-    left out.
+    left out. ``ready`` says that ``values`` are distinct and, as the knots, read from a table.
     """
     columns = ["x", *columns]
-    known = values.select(F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x")).distinct()
+    known = values.select(F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    known = known if ready else known.distinct()
     asked = known.withColumn("is_knot", F.lit(False)).select("x", "is_knot", *[F.lit(None).cast("double").alias(f"k_{c}") for c in columns])
     given = knots.select(F.col("x").cast("double").alias("x"), F.lit(True).alias("is_knot"), *[F.col(c).cast("double").alias(f"k_{c}") for c in columns])
-    both = cut_lineage(asked.unionByName(given), "values-and-knots")
+    both = asked.unionByName(given)
+    both = both if ready else cut_lineage(both, "values-and-knots")
     parts = parts_for(both.count(), size)
     sides = [*_knot("below", columns), *_knot("above", columns)]
     names = ["part", "is_value", "x", *sides]
@@ -83,8 +85,6 @@ def neighbours(values: DataFrame, knots: DataFrame, columns: Sequence[str] = (),
     carried = filled.where(~F.col("is_value")).select(
         "part", *[F.last(c, ignorenulls=True).over(before).alias(f"c_{c}") for c in _knot("below", columns)], *[F.first(c, ignorenulls=True).over(after).alias(f"c_{c}") for c in _knot("above", columns)]
     )
-    carried = cut_lineage(carried, "carried")
-
     def side(prefix: str) -> list[Column]:
         return [F.when(F.col(f"{prefix}_x").isNull(), F.col(f"c_{c}")).otherwise(F.col(c)).alias(c) for c in _knot(prefix, columns)]
 
@@ -98,7 +98,7 @@ def look_up(df: DataFrame, knots: DataFrame, score: Column, columns: Sequence[st
     """
     # written, so both readings see the same values to the last bit
     rows = cut_lineage(df.withColumn("_x", F.nanvl(score.cast("double"), F.lit(None).cast("double"))), "scored")
-    found = cut_lineage(neighbours(rows.select(F.col("_x").alias("x")), knots, columns, size), "neighbours").withColumnRenamed("x", "_at")
+    found = neighbours(rows.select(F.col("_x").alias("x")), knots, columns, size).withColumnRenamed("x", "_at")
     return rows.join(found, F.col("_x") == F.col("_at"), "left").drop("_x", "_at")
 
 

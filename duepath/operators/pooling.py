@@ -83,11 +83,11 @@ def pooled_blocks(points: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def isotonic_fit(points: DataFrame, size: int = RANGE) -> tuple[DataFrame, DataFrame]:
-    """The points with their fitted rate y, and the curve: the first and last knot (x, y) of every block."""
-    blocks = cut_lineage(pooled_blocks(points, size), "blocks")
+    """The points, read from a table, with their fitted rate y, and the curve: the first and last knot (x, y) of every block."""
+    blocks = pooled_blocks(points, size)
     y = F.least(F.greatest("y", F.lit(0.0)), F.lit(1.0))
     starts = blocks.select("x", y.alias("y"))
-    found = neighbours(points.select("x"), starts, ["y"]).select("x", F.col("below_y").alias("y"))
+    found = neighbours(points.select("x"), starts, ["y"], ready=True).select("x", F.col("below_y").alias("y"))
     fitted = points.select("x", "n", "k").join(found, "x")
     curve = starts.unionByName(blocks.where("x_hi > x").select(F.col("x_hi").alias("x"), y.alias("y")))
-    return cut_lineage(fitted, "fitted"), cut_lineage(curve, "curve")
+    return cut_lineage(fitted, "fitted"), curve

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duepath.functions import score as sc
@@ -52,74 +54,109 @@ def hash_draw(seed: Column, replicate: Column, draw: Column, size: Column) -> Co
 
 def week_draws(spark: SparkSession, weeks: DataFrame, week: str, replicates: int, seed: int = 42, smaller: bool = False) -> DataFrame:
     """(replicate, week, times): whole weeks drawn with replacement. The table has one row per
-    replicate and drawn week, whatever the number of scored rows."""
+    replicate and drawn week at most, whatever the number of scored rows."""
     numbered = cut_lineage(OrderedGroups(weeks.select(week).distinct(), [], [week]).add(_no=Index()).done(), "weeks")
     count = numbered.count()
     draws = max(2, int(round(count ** (2.0 / 3.0)))) if smaller else max(2, count)
     grid = spark.range(replicates * draws).select(
         F.floor(F.col("id") / draws).cast("bigint").alias("replicate"), (F.col("id") % draws).alias("_j"))
-    # One row per replicate and week at most; small enough to send around up to two million.
-    small = replicates * count <= 2_000_000
     picked = grid.withColumn("_no", hash_draw(F.lit(seed), F.col("replicate"), F.col("_j"), F.lit(count)))
     times = picked.groupBy("replicate", "_no").agg(F.count(F.lit(1)).alias("times"))
-    out = times.join(numbered, "_no").select("replicate", week, "times")
-    return F.broadcast(out) if small else out
+    return times.join(numbered, "_no").select("replicate", week, "times")
 
 
-def pooled_scores(counts: DataFrame, keys: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
-    """Counts per keys and score with the score's quantile bin ``b`` (the score itself while there are
-    at most ``bins`` distinct ones), and the counts per keys and bin as s, n0, n1."""
-    points = cut_lineage(counts.groupBy(F.col("s").alias("x")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n")), "score-counts")
-    if points.count() > bins:
-        total = points.agg(F.sum("n")).first()[0]
-        place = calibrate.bin_index(calibrate.quantile_edges(points, bins, total), "right")
-        tagged = counts.withColumn("b", place(F.col("s")).cast("double"))
-    else:
-        tagged = counts.withColumn("b", F.col("s"))
-    return tagged, tagged.groupBy(*keys, F.col("b").alias("s")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+#: Rows of a range that one task holds, and of a piece of it with the counts of all replicates.
+RANGE, PIECE = 200_000, 2048
+#: Weeks whose draws a task is sent, a number per replicate each: nearly two centuries.
+MOST_WEEKS = 10_000
+Weigh = Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+def replicate_ginis(points: DataFrame, replicates: int, weigh: Weigh, size: int = RANGE) -> DataFrame:
+    """Gini of every replicate from counts per score, read from a table of s, n0, n1 and what else ``weigh`` needs.
+
+    ``weigh`` turns rows into their n0 and n1 under all replicates, a row of numbers each. The rows are cut into ranges of
+    scores; a range adds up, for all replicates side by side, its pairs won and its counts, while walking along its
+    scores. What lies below a range comes from the counts of the ranges before it. Nothing is binned, and no row is
+    repeated per replicate.
+    """
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in it if b.num_rows]  # one range
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        columns = {c: table.column(c).to_numpy() for c in table.column_names}
+        order = np.argsort(columns["s"], kind="stable")
+        columns = {c: v[order] for c, v in columns.items()}
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(columns["s"]) != 0]))
+        won, low, high = np.zeros(replicates), np.zeros(replicates), np.zeros(replicates)
+        at = 0
+        while at < len(starts):
+            # whole scores, about PIECE rows
+            to = max(at + 1, int(np.searchsorted(starts, starts[at] + PIECE, "right")) - 1)
+            end = starts[to] if to < len(starts) else len(order)
+            if end == len(order):
+                to = len(starts)
+            n0, n1 = weigh({c: v[starts[at] : end] for c, v in columns.items()})
+            n0, n1 = (np.add.reduceat(n, starts[at:to] - starts[at], axis=0) for n in (n0, n1))
+            below = low + np.cumsum(n0, axis=0) - n0
+            won += (n1 * (below + n0 / 2)).sum(0)
+            low += n0.sum(0)
+            high += n1.sum(0)
+            at = to
+        each = pa.array(np.arange(replicates)), pa.array(won), pa.array(low), pa.array(high)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(replicates, columns["part"][0], np.int32)), *each], names=["part", "replicate", "won", "n0", "n1"])
+
+    parts = calibrate.asof.parts_for(points.count(), size)
+    ranged = points.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id())
+    sums = cut_lineage(ranged.mapInArrow(batches, "part int, replicate bigint, won double, n0 double, n1 double"), "range-sums")
+    # one row per replicate and range
+    before = Window.partitionBy("replicate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("below", F.coalesce(F.sum("n0").over(before), F.lit(0.0)))
+    pos, neg = F.sum("n1"), F.sum("n0")
+    value = F.sum(F.col("won") + F.col("n1") * F.col("below")) / (pos * neg)
+    return placed.groupBy("replicate").agg((2 * F.when((pos > 0) & (neg > 0), value) - 1).alias("gini"))
 
 
 def block_bootstrap(df: DataFrame, replicates: int = 500, week: str = "wk", score: str = "raw", target: str = "target",
-                    seed: int = 42, smaller: bool = False, bins: int = 2000) -> DataFrame:
-    """Gini per replicate. Rows are first counted per week and score, more than ``bins`` distinct scores
-    in quantile bins; a drawn week only multiplies those counts, so a week is at most ``bins`` rows a replicate."""
-    counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
-    _, counts = pooled_scores(counts, [week], bins)
-    counts = cut_lineage(counts, "week-bin-counts")
+                    seed: int = 42, smaller: bool = False, size: int = RANGE) -> DataFrame:
+    """Gini per replicate when whole weeks are drawn with replacement: a draw only multiplies a week's counts."""
+    counts = cut_lineage(score_counts(df, [week], score, target).where(F.col(week).isNotNull()), "week-score-counts")
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
-    # Multiplied counts stay within counts x replicates and combine before the shuffle.
-    drawn = counts.join(draws, week)
-    sums = drawn.groupBy("replicate", "s").agg(
-        F.sum(F.col("n1") * F.col("times")).alias("n1"), F.sum(F.col("n0") * F.col("times")).alias("n0"))
-    return _gini_of_counts(sums)
+    weeks = [r[0] for r in counts.select(week).distinct().limit(MOST_WEEKS + 1).collect()]
+    if len(weeks) > MOST_WEEKS:
+        raise ValueError(f"more than {MOST_WEEKS} weeks to draw from")
+    place = {w: i for i, w in enumerate(weeks)}
+    times = np.zeros((len(weeks), replicates), np.float32)
+    for r in draws.collect():  # at most one row per week and replicate
+        times[place[r[week]], r["replicate"]] = r["times"]
+    names = cut_lineage(df.sparkSession.createDataFrame([(w, i) for i, w in enumerate(weeks)], counts.select(week).schema.add("_no", "integer")), "week-places")
 
+    def weigh(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        drawn = times[rows["_no"]].astype(float)
+        return drawn * rows["n0"][:, None], drawn * rows["n1"][:, None]
 
-def _gini_of_counts(sums: DataFrame) -> DataFrame:
-    pre = prefix_counts(sums, ["replicate"])
-    pos, neg = F.sum("n1"), F.sum("n0")
-    value = F.sum(F.col("n1") * (F.col("below0") + F.col("n0") / 2)) / (pos * neg)
-    return pre.groupBy("replicate").agg((2 * F.when((pos > 0) & (neg > 0), value) - 1).alias("gini"))
+    points = cut_lineage(counts.join(names, week).select("s", "n0", "n1", "_no"), "points")
+    return replicate_ginis(points, replicates, weigh, size)
 
 
 def row_bootstrap(df: DataFrame, replicates: int = 500, score: str = "raw", target: str = "target", seed: int = 42,
-                  bins: int = 2000) -> DataFrame:
+                  size: int = RANGE) -> DataFrame:
     """Gini per replicate of a row-wise bootstrap. A row's Poisson weights add up within equal
-    (score, target) cells, at most ``bins`` scores of two targets, so each cell draws once per replicate."""
-    _, cells = pooled_scores(cut_lineage(score_counts(df, [], score, target), "row-score-counts"), [], bins)
-    cells = cut_lineage(cells, "cells").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "s")
+    (score, target) cells, so a cell draws once per replicate, all from one stream named by seed and score."""
+    points = cut_lineage(score_counts(df, [], score, target).select("s", "n0", "n1"), "row-score-counts")
 
-    @F.pandas_udf("struct<n1 double, n0 double>")
-    def draw(replicate: pd.Series, s: pd.Series, n1: pd.Series, n0: pd.Series) -> pd.DataFrame:
-        out = np.empty((len(s), 2))
-        bits = s.to_numpy(dtype=float).view("uint64")
-        for i, (r, b, a, c) in enumerate(zip(replicate, bits, n1, n0)):
-            rng = np.random.default_rng([seed, int(r), int(b)])
-            out[i] = rng.poisson(a), rng.poisson(c)
-        return pd.DataFrame(out, columns=["n1", "n0"])
+    def weigh(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        n0, n1 = np.empty((len(rows["s"]), replicates)), np.empty((len(rows["s"]), replicates))
+        # -0.0 and 0.0 are one score
+        for i, bits in enumerate((rows["s"].astype(float) + 0.0).view(np.uint64).tolist()):
+            stream = np.random.Generator(np.random.Philox(key=[seed, bits]))
+            n1[i] = stream.poisson(rows["n1"][i], replicates)
+            n0[i] = stream.poisson(rows["n0"][i], replicates)
+        return n0, n1
 
-    grid = cells.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
-    drawn = grid.withColumn("d", draw("replicate", "s", "n1", "n0")).select("replicate", "s", "d.n1", "d.n0")
-    return _gini_of_counts(drawn)
+    return replicate_ginis(points, replicates, weigh, size)
 
 
 def summarise(values: DataFrame, column: str = "gini", keys: Sequence[str] = ()) -> DataFrame:
@@ -168,12 +205,14 @@ def refit_bootstrap(df: DataFrame, refs: Sequence[tuple[float, float]], replicat
                     smaller: bool = False) -> DataFrame:
     """Refit the binned calibrator in every replicate and read it at the reference raw scores.
 
-    More than ``bins`` distinct scores are pooled into quantile bins once, so a replicate is a group
-    of at most ``bins`` rows.
+    The calibrator is the one on quantile bins of the scores, which are cut once, so a replicate is a
+    group of at most ``bins`` rows.
     """
     counts = cut_lineage(score_counts(df, [week], score, target), "week-score-counts")
-    binned, _ = pooled_scores(counts, [week], bins)
-    cells = binned.groupBy(week, "b").agg(
+    points = cut_lineage(counts.groupBy(F.col("s").alias("x")).agg(F.sum(F.col("n0") + F.col("n1")).alias("n")), "score-counts")
+    edges = calibrate.quantile_edges(points, bins, points.agg(F.sum("n")).first()[0] or 0)
+    place = calibrate.bin_index(edges, "right")
+    cells = counts.withColumn("b", place(F.col("s"))).groupBy(week, "b").agg(
         F.sum(F.col("n0") + F.col("n1")).alias("n"), F.sum("n1").alias("k"), F.sum(F.col("s") * (F.col("n0") + F.col("n1"))).alias("xs"))
     draws = week_draws(df.sparkSession, counts, week, replicates, seed, smaller)
     drawn = cells.join(draws, week).groupBy("replicate", "b").agg(

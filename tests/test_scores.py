@@ -216,6 +216,36 @@ def test_bootstrap_is_reproducible(sample):
     assert s["n"] == 12 and abs(s["mean"] - metrics.auc(sample).first()["gini"]) < 4 * s["sd"]
 
 
+def gini_of(s, n1, n0):
+    order = np.argsort(s, kind="stable")
+    s, n1, n0 = s[order], n1[order], n0[order]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(s) != 0]))
+    n1, n0 = np.add.reduceat(n1, starts), np.add.reduceat(n0, starts)
+    return 2 * (n1 * (np.cumsum(n0) - n0 / 2)).sum() / (n1.sum() * n0.sum()) - 1
+
+
+def test_replicates_of_continuous_scores(spark):
+    """100,000 distinct scores: every replicate is the Gini of the drawn rows, in one range or many."""
+    rows = spark.range(100_000).select("id", F.hash("id").cast("double").alias("raw"), (F.xxhash64("id") % 23).cast("int").alias("wk"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) == 0).cast("int").alias("target"))
+    pdf = rows.toPandas()
+    assert pdf.raw.nunique() > 99_000
+    draws = uncertainty.week_draws(spark, rows, "wk", 5).toPandas()
+    for size in (uncertainty.RANGE, 9000):
+        got = {r["replicate"]: r["gini"] for r in uncertainty.block_bootstrap(rows, 5, size=size).collect()}
+        for rep in range(5):
+            times = pdf.wk.map(draws[draws.replicate == rep].set_index("wk").times).fillna(0).to_numpy()
+            assert got[rep] == pytest.approx(gini_of(pdf.raw.to_numpy(), times * pdf.target, times * (1 - pdf.target)), abs=1e-9)
+    a = {r["replicate"]: r["gini"] for r in uncertainty.row_bootstrap(rows, 3).collect()}
+    b = {r["replicate"]: r["gini"] for r in uncertainty.row_bootstrap(rows.repartition(5), 3, size=9000).collect()}
+    assert a == pytest.approx(b, abs=1e-9)
+    cells = pdf.groupby("raw").target.agg(["size", "sum"]).reset_index()
+    n1, n0 = np.empty((len(cells), 3)), np.empty((len(cells), 3))
+    for i, (s, n, k) in enumerate(zip(cells.raw, cells["size"], cells["sum"])):
+        stream = np.random.Generator(np.random.Philox(key=[42, int(np.float64(s).view(np.uint64))]))
+        n1[i], n0[i] = stream.poisson(k, 3), stream.poisson(n - k, 3)
+    assert all(a[r] == pytest.approx(gini_of(cells.raw.to_numpy(), n1[:, r], n0[:, r]), abs=1e-9) for r in range(3))
+
+
 def test_refit_bootstrap(sample):
     cal = calibrate.fit(sample, bins=100)
     refs = [(r["ref_score"], r["raw"]) for r in uncertainty.reference_raw(cal.knots, [500.0, 540.0]).collect()]
