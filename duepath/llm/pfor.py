@@ -13,7 +13,8 @@ A task writes under a name of its own attempt and hands over that name with its
 attempts are never read; the manifest of names is written before files are read.
 
 The words of a text are encoded by the tokenizers library once each and remembered: its normaliser and pre-tokeniser
-never join what white space separates; tests hold it against whole texts.
+never join what white space or the string of a special token separates, and such a string is its token, as in the library;
+tests hold it against whole texts.
 
 Defined cases: null text counts as empty and gives the end id alone; null doc_ids come first; repeated ids keep a row
 each; empty tables give no rows; other columns are ignored.
@@ -21,6 +22,7 @@ each; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,13 +30,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from duepath.llm import text as tx
+from duepath.llm.files import locate
 from duepath.session import cut_lineage, fresh_path
 
 BLOCK, PERCENTILE, VERSION = 256, 95, 1
@@ -159,10 +161,25 @@ def read_file(raw: bytes) -> tuple[pa.Array, Iterator[np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> Tokenizer:
+def _tokenizer(path: str) -> tuple[Tokenizer, list[int], re.Pattern | None]:
+    """The library's tokenizer for the words between special tokens; ids and strings of the latter, longest first."""
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+    special = sorted(made.get_added_tokens_decoder().items(), key=lambda t: (-len(t[1].content), t[0]))
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in special):
+        raise ValueError("only added tokens that match as they stand are known here")
+    made.encode_special_tokens = True  # a word that reads like one when lower-cased is none
+    found = re.compile(b"|".join(b"(%s)" % re.escape(t.content.encode()) for _, t in special)) if special else None
+    return made, [i for i, _ in special], found
+
+
+def _specials(raw: np.ndarray, offsets: np.ndarray, found: re.Pattern | None) -> np.ndarray:
+    """Rows of start, end and place in the list of special tokens, for each of their strings in the texts."""
+    out = []
+    flat = raw.tobytes()
+    if found is not None and found.search(flat):
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            out += [(m.start(), m.end(), m.lastindex - 1) for m in found.finditer(flat, a, b)]
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 _memory: dict[str, dict[bytes, bytes]] = {}
@@ -193,28 +210,37 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """Ids of each text, in order."""
-    made = _tokenizer(path)
+    made, special_ids, special_strings = _tokenizer(path)
     kind = np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
     known = _memory.setdefault(path, {})
     for _, raw, offsets in tx.slices(column):
         body = tx.lower_ascii(raw)
+        special = _specials(raw, offsets, special_strings)
+        for a, b in special[:, :2].tolist():
+            body[a:b] = 32  # they part words as blanks do
         starts, ends, bounds = _pieces(body, offsets)
+        names = np.full(len(starts), -1)
+        if len(special):
+            order = np.argsort(np.concatenate([starts, special[:, 0]]), kind="stable")
+            starts, ends, names = (np.concatenate(v)[order] for v in ((starts, special[:, 0]), (ends, special[:, 1]), (names, special[:, 2])))
+            bounds = np.searchsorted(starts, offsets, "left")
         if not len(starts):
             for _ in range(len(offsets) - 1):
                 yield np.zeros(0, np.uint32)
             continue
-        hashes = tx.word_hashes(body, starts, ends)
+        hashes = np.where(names < 0, tx.word_hashes(body, starts, ends), names.astype(np.uint64))
         _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         flat = body.tobytes()
         words = [flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(known) > REMEMBERED:
             known.clear()
-        fresh = [w for w in words if w not in known]
+        one = names[first].tolist()
+        fresh = [w for w, name in zip(words, one) if name < 0 and w not in known]
         for at in range(0, len(fresh), 8192):
             group = fresh[at : at + 8192]
             for word, found in zip(group, made.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)):
                 known[word] = np.array(found.ids, kind).tobytes()
-        lists = [known[w] for w in words]
+        lists = [known[w] if name < 0 else np.array([special_ids[name]], kind).tobytes() for w, name in zip(words, one)]
         size = np.array(list(map(len, lists))) // kind.itemsize
         joined = np.frombuffer(b"".join(lists), kind).astype(np.uint32)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -225,13 +251,6 @@ def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
             yield ids[a:b]
 
 
-def _open(path: str):
-    """A file system and the path in it, for any scheme pyarrow knows."""
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the files and returns the manifest, a written table of number, file, n_ids and n_documents."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
@@ -244,7 +263,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1) -> Data
         for batch in it:
             for k, ids in enumerate(encode(batch.column("text"), tokenizer)):
                 if writer is None:
-                    system, path = _open(folder)
+                    system, path = locate(folder)
                     system.create_dir(path, recursive=True)
                     stream = system.open_output_stream(f"{path}/{name.rpartition('/')[2]}")
                     writer = Writer(stream)
@@ -265,7 +284,7 @@ def read(manifest: DataFrame, doc_kind: str = "bigint") -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for k in range(batch.num_rows):
-                system, path = _open(batch.column("file")[k].as_py())
+                system, path = locate(batch.column("file")[k].as_py())
                 with system.open_input_stream(path) as stream:
                     names, documents = read_file(stream.read())
                 counts, sums = [], []
