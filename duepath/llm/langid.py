@@ -1,9 +1,10 @@
 """Language identification by compression: the dictionary that shortens a text most names its language.
 
 One zstandard raw-content dictionary per language is cut from a bounded sample: of each learned language the
-``SAMPLE_DOCS`` documents with the smallest hash of doc_id, ``SAMPLE_CHARS`` characters of each, ``DICT_BYTES`` in all.
-Texts are lower-cased, everything but letters becomes one blank, and the whole text is encoded in frames of ``PIECE``
-bytes with every dictionary. Short texts are encoded again from each word on, since one frame has few bytes to tell by.
+``SAMPLE_DOCS`` documents with the smallest hash of doc_id, ``SAMPLE_PIECES`` pieces of ``SAMPLE_CHARS`` characters spread
+over each of them, ``DICT_BYTES`` in all. Texts are lower-cased, everything but letters becomes one blank, and the whole
+text is encoded with every dictionary: its first ``HEAD`` bytes from each of their words on, of which the mean size counts,
+since a single frame of so few bytes tells little; what follows in frames of ``PIECE`` bytes.
 
 Defined cases: null text and text without a letter give ``und`` and score 0; equal sizes go to the language with more
 learned rows, then by name; without any learned row everything is ``und``; empty tables give no rows; a document
@@ -18,11 +19,13 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 250, 400, 32_768
-PIECE, SHORT, LEVEL = 1024, 256, 9
+from duepath.llm.rows import few_of_each
+
+SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_CHARS, DICT_BYTES = 250, 4, 100, 32_768
+PIECE, HEAD, LEVEL = 1024, 256, 9
 #: Below this score (the share of the second-best size that the best dictionary saves) a text is rejected. Nearly all
 #: texts of over 256 bytes in a learned language save 0.07 and more, texts in no learned one, mixed ones and junk at most 0.01.
 MIN_SCORE = 0.02
@@ -57,13 +60,12 @@ class Classifier:
                 cut = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 cut.precompute_compress(compression_params=params)
                 self._compressors.append(zstandard.ZstdCompressor(dict_data=cut, compression_params=params))
-        if len(body) > SHORT:
-            return [sum(len(c.compress(body[k : k + PIECE])) for k in range(0, len(body), PIECE)) for c in self._compressors]
-        parts, at = [body], body.find(b" ")
+        head, rest = body[:HEAD], range(HEAD, len(body), PIECE)
+        parts, at = [head], head.find(b" ")
         while at >= 0:
-            parts.append(body[at + 1 :])
-            at = body.find(b" ", at + 1)
-        return [sum(len(c.compress(p)) for p in parts) / len(parts) for c in self._compressors]
+            parts.append(head[at + 1 :])
+            at = head.find(b" ", at + 1)
+        return [sum(len(c.compress(p)) for p in parts) / len(parts) + sum(len(c.compress(body[k : k + PIECE])) for k in rest) for c in self._compressors]
 
     def classify(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages or not has_letter(text):
@@ -83,15 +85,15 @@ def learned(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame) -> Classifier:
     """Dictionaries from a bounded sample; counts (for ties) from all learned rows."""
     rows = learned(docs)
-    # the operator's limit on rows per language is applied before the shuffle
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = rows.withColumn("text", F.substring("text", 1, SAMPLE_CHARS)).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
+    sample, counts = few_of_each(rows, "lang", SAMPLE_DOCS)
+    spread = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) / (SAMPLE_PIECES - 1)
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring(F.col("text"), F.floor(i * spread).cast("int") + 1, F.lit(SAMPLE_CHARS)))
+    sample = sample.select("lang", "place", F.array_join(F.array_distinct(pieces), " ").alias("text"))
     buffers: dict[str, bytearray] = {}
     for row in sample.orderBy("lang", "place").collect():
         body = letters(row["text"])
         if body:
             buffers.setdefault(row["lang"], bytearray()).extend(body + b" ")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(buffers, key=lambda lang: (-counts.get(lang, 0), lang))
     return Classifier(languages, [bytes(buffers[lang][:DICT_BYTES]) for lang in languages])
 
