@@ -9,7 +9,7 @@ The model is fitted on a bounded sample of labelled rows: of either label the ``
 doc_id among texts of at most ``SAMPLE_CHARS`` characters, whole. Every text is scored whole.
 
 Defined cases: null text, empty text and text without words get the score of a window without evidence; without rows of
-both labels every score is 0; empty tables give no rows; repeated rows are scored alike; other columns are ignored.
+both labels every score is 0; of contradicting labels of one doc_id toxic holds; empty tables give no rows; repeated rows are scored alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duepath.llm import text as tx
+from duepath.llm.rows import few_of_each
+from duepath.session import cut_lineage
 
 SAMPLE_DOCS, SAMPLE_CHARS = 1_000, 3_000
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
@@ -183,10 +185,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Model:
     """A model from a bounded sample of the rows whose doc_id satisfies ``may_learn``."""
-    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(may_learn & F.col("toxic").isNotNull()).dropDuplicates(["doc_id"])
+    marks = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(may_learn & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", "text").where(may_learn & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS)).join(marks, "doc_id")
-    place = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = sorted(rows.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).collect(), key=lambda r: (r["toxic"], r["place"]))
+    sample, _ = few_of_each(cut_lineage(rows, "labelled"), "toxic", SAMPLE_DOCS)
+    sample = sorted(sample.collect(), key=lambda r: (r["toxic"], r["place"]))
     return fit([r["text"] for r in sample], [int(r["toxic"] == 1) for r in sample])
 
 

@@ -9,10 +9,12 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from duepath.llm import bpe, html, langid, leaks, pfor, pii, queries, resample, toxicity
 from duepath.llm import text as tx
+from duepath.llm.rows import few_of_each
 
 BPE = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "no id"), (4, "same"), (4, "same"), (5, "ünï çødé 漢字 🙂 '' don't 12's"), (6, "x" * 9000), (7, "a  b \n\n c   \n" * 700), (8, "   wide  " * 300)]
@@ -185,6 +187,26 @@ def test_toxicity_held_out_and_misspelt(spark, documents):
     assert all(r.score == 0 or r.score < 1e-9 for r in toxicity.predict(docs, toxicity.fit([], [])).collect())
 
 
+def test_contradicting_labels_are_toxic(spark, documents):
+    """The model doesn't depend on the order of label rows; a doc_id marked both ways counts as toxic."""
+    rows = [(k, f"you {'idiot' if k % 2 else 'friend'} number {k}") for k in range(60)]
+    marks = [(k, k % 2) for k in range(60)]
+    made = [toxicity.train(documents(rows), spark.createDataFrame(m, "doc_id bigint, toxic int"), queries.crc_rest(3) != 1) for m in (marks + [(1, 0), (3, 0)], [(3, 0), (1, 0)] + marks[::-1])]
+    texts = pa.array([t for _, t in rows])
+    assert (made[0].scores(texts) == made[1].scores(texts)).all() and (made[0].scores(texts) == toxicity.train(documents(rows), spark.createDataFrame(marks, "doc_id bigint, toxic int"), queries.crc_rest(3) != 1).scores(texts)).all()
+
+
+def test_few_of_each(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 10 == 0, "rare").when(F.col("id") < 4990, "most").alias("kind"))
+    few, counts = few_of_each(rows, "kind", 40)
+    assert counts == {"rare": 500, "most": 4491, None: 9}
+    want = rows.withColumn("h", F.xxhash64("doc_id")).toPandas().sort_values("h")
+    for kind, n in (("rare", 40), ("most", 40), (None, 9)):
+        got = [r.doc_id for r in few.where(F.col("kind").eqNullSafe(F.lit(kind))).orderBy("place").collect()]
+        own = want[want.kind.isna()] if kind is None else want[want.kind == kind]
+        assert got == own.doc_id.head(n).tolist() and len(got) == n
+
+
 def test_resampling(spark, documents):
     rows = [(k, ("good clean words here " if k % 2 else "### zz %% junk ") * 8) for k in range(200)] + [(500, None), (501, ""), (None, "x"), (1, "good clean words here " * 8)]
     labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, quality int")
@@ -263,7 +285,7 @@ def test_id_files(documents):
     rows = ODD + [(200 - k, "".join(rng.choice(["Word", "Ünï", " ", "  ", "\n", "don't", "!'s", "12a", "!?x", "é", "<|endoftext|>"]) for _ in range(rng.randrange(200)))) for k in range(60)]
     got = sorted(pfor.round_trip(documents(rows, "start"), path).collect(), key=lambda r: r.start)
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("x <|endoftext|> y", add_special_tokens=False).ids == [343, 49407, 344]
     want, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
