@@ -143,44 +143,63 @@ def pair_hash(a: Column, b: Column) -> Column:
     return F.sha2(F.unhex(F.concat(F.least(a, b), F.greatest(a, b))), 256)
 
 
-def merkle_roots(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str = "leaf") -> DataFrame:
-    """Root hash of each batch. Every level halves the rows; an odd last node moves up as it
-    is. A huge batch is spread over its nodes at every level but the last few."""
-    numbered = OrderedGroups(leaves.select(*batch, F.col(leaf).alias("h"), order), list(batch), [order]).add(pos=Index()).done()
-    level = numbered.select(*batch, "pos", "h")
-    largest = level.groupBy(*batch).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    depth = 0
-    while largest > 1:
-        level = level.groupBy(*batch, F.floor(F.col("pos") / 2).alias("pos")).agg(
-            F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"), F.count(F.lit(1)).alias("c"))
-        level = level.select(*batch, "pos", F.when(F.col("c") == 2, pair_hash(F.col("a"), F.col("b"))).otherwise(F.col("a")).alias("h"))
-        largest, depth = (largest + 1) // 2, depth + 1
-        if depth % 8 == 0:
-            level = cut_lineage(level, "merkle")
-    return level.select(*batch, F.col("h").alias("root"))
-
-
-def merkle_proofs(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str = "leaf") -> DataFrame:
-    """Every leaf with the sibling hashes on its way to the root. The join keys are node
-    numbers, so a big batch is spread out."""
+#: Levels of the tree that are folded inside one row; a block has 2 ** BLOCK_LEVELS nodes.
+BLOCK_LEVELS = 10
+
+
+def _levels(nodes: Column, count: int) -> Column:
+    """The nodes of a block, their parents, and so on for ``count`` levels, as an array of arrays; an odd last node moves up as it is."""
+
+    def parents(below: Column) -> Column:
+        n = F.size(below)
+        pair = lambda j: F.when(2 * j + 1 < n, pair_hash(F.get(below, 2 * j), F.get(below, 2 * j + 1))).otherwise(F.get(below, 2 * j))
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int")), pair)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count)), F.array(nodes), lambda levels, _: F.concat(levels, F.array(parents(F.element_at(levels, -1)))))
+
+
+def _folded(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str, levels: int) -> list[DataFrame]:
+    """Blocks of leaves, blocks of those blocks' roots, and so on up to one block a batch: (batch, block, first, levels, root).
+
+    A batch with nearly all leaves is spread over its blocks; each step divides its rows by the size of a block.
+    """
     numbered = OrderedGroups(leaves.select(*batch, F.col(leaf).alias("h"), order), list(batch), [order]).add(pos=Index()).done()
-    start = numbered.select(*batch, F.col("pos").alias("leaf_no"), F.col("h").alias("leaf"))
-    level = numbered.select(*batch, "pos", "h")
-    largest = level.groupBy(*batch).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 1
-    path = start.withColumn("proof", F.array().cast("array<string>"))
-    depth = 0
-    while largest > 1:
-        step = F.floor(F.col("leaf_no") / F.lit(2**depth)).cast("bigint")
-        sibling = F.when(step % 2 == 0, step + 1).otherwise(step - 1)
-        near = level.select(*batch, F.col("pos").alias("_sib"), F.col("h").alias("_h"))
-        path = path.withColumn("_sib", sibling).join(near, [*batch, "_sib"], "left")
-        path = path.withColumn("proof", F.when(F.col("_h").isNotNull(), F.array_append("proof", F.col("_h"))).otherwise(F.col("proof"))).drop("_sib", "_h")
-        level = level.groupBy(*batch, F.floor(F.col("pos") / 2).alias("pos")).agg(
-            F.min_by("h", "pos").alias("a"), F.max_by("h", "pos").alias("b"), F.count(F.lit(1)).alias("c"))
-        level = level.select(*batch, "pos", F.when(F.col("c") == 2, pair_hash(F.col("a"), F.col("b"))).otherwise(F.col("a")).alias("h"))
-        largest, depth = (largest + 1) // 2, depth + 1
-    roots = level.select(*batch, F.col("h").alias("root"))
-    return path.join(roots, list(batch))
+    rows = numbered.select(*batch, "pos", "h")
+    largest = (rows.agg(F.max("pos")).first()[0] or 0) + 1
+    out = []
+    while not out or largest > 1:
+        deep = max(1, min(levels, (largest - 1).bit_length()))
+        block = F.shiftright("pos", deep)
+        nodes = F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda n: n["h"])  # at most 2 ** levels
+        blocks = rows.groupBy(*batch, block.alias("block")).agg(nodes.alias("nodes"))
+        folded = blocks.select(*batch, "block", F.shiftleft("block", deep).alias("first"), _levels(F.col("nodes"), deep).alias("levels"))
+        folded = cut_lineage(folded.withColumn("root", F.get(F.element_at("levels", -1), F.lit(0))), "merkle")
+        out.append(folded)
+        rows = folded.select(*batch, F.col("block").alias("pos"), F.col("root").alias("h"))
+        largest = -(-largest // (1 << deep))
+    return out
+
+
+def merkle_roots(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str = "leaf", levels: int = BLOCK_LEVELS) -> DataFrame:
+    """Root hash of each batch, folded in blocks of 2 ** ``levels`` nodes; an odd last node of a level moves up as it is."""
+    return _folded(leaves, batch, order, leaf, levels)[-1].select(*batch, "root")
+
+
+def merkle_proofs(leaves: DataFrame, batch: Sequence[str], order: str, leaf: str = "leaf", levels: int = BLOCK_LEVELS) -> DataFrame:
+    """Every leaf with the sibling hashes on its way to the root: those inside its block, then those of the block, which
+    one join for each step of blocks hands down, block by block."""
+    above = None
+    siblings = "filter(transform(sequence(0, size(levels) - 2), k -> get(get(levels, k), shiftright(i, k) ^ 1)), s -> s is not null)"
+    for blocks in reversed(_folded(leaves, batch, order, leaf, levels)):
+        if above is None:
+            blocks = blocks.withColumn("rest", F.array().cast("array<string>"))
+        else:
+            # the root of a batch goes down with the proofs, so the batch is never joined as a whole
+            handed = above.select(*batch, F.col("pos").alias("block"), "root", F.col("proof").alias("rest"))
+            blocks = blocks.drop("root").join(handed, [*batch, "block"])
+        nodes = F.expr(f"transform(levels[0], (h, i) -> struct(first + i as pos, h as h, concat({siblings}, rest) as proof))")
+        above = blocks.select(*batch, "root", F.inline(nodes))
+    return above.select(*batch, F.col("pos").alias("leaf_no"), F.col("h").alias("leaf"), "proof", "root")
 
 
 def proof_holds(proof: Column, root: Column, leaf: Column) -> Column:

@@ -46,6 +46,20 @@ def test_merkle(spark, size):
     assert proofs.count() == size
 
 
+@pytest.mark.parametrize("levels", [1, 2, 3, 10])
+def test_merkle_in_blocks(spark, levels):
+    """One batch with 90 % of the leaves and many small ones: the roots and proofs of one tree each, whatever the blocks."""
+    sizes = {"huge": 450, **{f"b{k}": k % 9 + 1 for k in range(10)}}
+    leaves = {b: [hashlib.sha256(f"{b}{i}".encode()).hexdigest() for i in range(n)] for b, n in sizes.items()}
+    df = spark.createDataFrame([(b, i, h) for b, hs in leaves.items() for i, h in enumerate(hs)], "batch string, seq bigint, leaf string").repartition(5)
+    assert {r["batch"]: r["root"] for r in gov.merkle_roots(df, ["batch"], "seq", levels=levels).collect()} == {b: python_root(hs) for b, hs in leaves.items()}
+    proofs = gov.merkle_proofs(df, ["batch"], "seq", levels=levels)
+    held = proofs.withColumn("holds", gov.proof_holds(F.col("proof"), F.col("root"), F.col("leaf"))).collect()
+    assert len(held) == sum(sizes.values()) and all(r["holds"] and r["leaf"] == leaves[r["batch"]][r["leaf_no"]] and r["root"] == python_root(leaves[r["batch"]]) for r in held)
+    forged = proofs.withColumn("holds", gov.proof_holds(F.col("proof"), F.col("root"), F.sha2(F.col("leaf"), 256)))
+    assert forged.filter("holds").count() == 0
+
+
 def test_log_rules(spark):
     day = dt.datetime(2024, 1, 1)
     rows = [(1, day, "i", "u", "h1", 202401), (2, day + dt.timedelta(days=10), "i", "u", "h2", 202402), (3, day + dt.timedelta(days=40), "i", "u", "h1", 202402)]
