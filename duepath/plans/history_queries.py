@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from duepath.config import DEFAULT
@@ -12,11 +10,11 @@ from duepath.operators import streams
 from duepath.plans.feature_queries import SQL as FEATURE_SQL
 from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register, rounded
+from duepath.plans.source_queries import KIND
 from duepath.sources import openbanking
 from duepath.sources import tables as fx
 
-# The shared orders are larger and rarer than bank debits, so two limits are widened here.
-CFG = replace(DEFAULT, amount_round_dp=-6, income_period_max_days=400, income_amount_cv_max=0.5)
+CFG = DEFAULT
 
 
 def q(name, sql=None, dates=()):
@@ -24,7 +22,7 @@ def q(name, sql=None, dates=()):
 
 
 def transactions(spark, folder):
-    t = fx.transactions(spark, folder)
+    t = fx.feed(spark, folder)
     return t.select(
         "case_id", "txn_id", F.col("ts").cast("date").alias("tdate"), (-F.col("amount")).alias("amount"),
         F.coalesce(F.nullif(clean.payee(F.col("merchant"), F.col("description"), F.col("category")), F.lit("")), F.lit("unknown")).alias("payee"),
@@ -42,11 +40,11 @@ def detected(spark, folder):
 
 def bank_lines(spark, folder):
     found, paid = detected(spark, folder)
-    lines, seeded = streams.seed_mandates(fx.mandates(spark, folder), found, transactions(spark, folder))
+    lines, seeded = streams.seed_mandates(fx.feed_mandates(spark, folder), found, transactions(spark, folder))
     return found, lines, paid.unionByName(seeded)
 
 
-@q("c06_recurring_streams", "select case_id, payee, cast(bucket as double) as bucket, n, period, round(cv, 6) as cv, opened, 'loan' as kind from dx_streams", ("opened",))
+@q("c06_recurring_streams", "select case_id, payee, cast(bucket as double) as bucket, n, period, round(cv, 6) as cv, opened, " + KIND.format("payee") + " as kind from dx_streams", ("opened",))
 def _(spark, folder):
     found, _ = detected(spark, folder)
     return rounded(found.select("case_id", "payee", F.col("bucket").cast("double").alias("bucket"), "n", "period", "cv", "opened", "kind"))
@@ -64,11 +62,11 @@ def _(spark, folder):
 
 
 @q("c08_feed_instalments", """
-select case_id, round(amount, 6) as amount from fx_mandates
-union all select case_id, round(quantile_cont(amount, 0.5), 6) from dx_lines_pay where case_id not in (select case_id from fx_mandates) group by case_id, line_id""")
+select case_id, round(amount, 6) as amount from fx_feed_mandates
+union all select case_id, round(quantile_cont(amount, 0.5), 6) from dx_lines_pay where case_id not in (select case_id from fx_feed_mandates) group by case_id, line_id""")
 def _(spark, folder):
     _, _, paid = bank_lines(spark, folder)
-    return rounded(streams.instalments(fx.mandates(spark, folder), paid))
+    return rounded(streams.instalments(fx.feed_mandates(spark, folder), paid))
 
 
 @q("c09_scheduled_instalment", "select case_id, line_id, round(quantile_cont(amount, 0.5), 6) as instalment from fx_payments where amount > 0 group by case_id, line_id")
@@ -144,8 +142,7 @@ CYCLE_COLS = "case_id, line_id, i, n, due, round(instalment, 6) as instalment, r
 
 
 def cycles(spark, folder):
-    # Six digits instead of two: the amounts then never sit on a rounding tie.
-    return streams.to_cycles(fx.payments(spark, folder), fx.applicants(spark, folder), fx.instalments(spark, folder), digits=6)
+    return streams.to_cycles(fx.payments(spark, folder), fx.applicants(spark, folder), fx.instalments(spark, folder))
 
 
 @q("c19_history_to_cycles", f"select {CYCLE_COLS} from dx_cycles", ("due",))

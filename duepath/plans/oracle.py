@@ -40,6 +40,16 @@ from orders""",
     "fx_mandates": """
 select cast(o_custkey as varchar) as case_id, concat('loan ', lower(substr(o_orderpriority, 3))) as payee,
   o_totalprice / 120 as amount from orders where o_orderkey % 4 = 1""",
+    "fx_feed": """
+select cast(user_id as varchar) as case_id, event_id as txn_id, date '2023-01-01' + cast(floor((epoch(ts) - 1704067200) / 10800) as int) as tdate,
+  case when event_type in ('signup', 'purchase') then 1500 + value when event_type = 'error' then -value * 10
+    else -([cast(12.99 as double), 49.5, 250.0][event_id % 3 + 1] + value / 1000) end as amount,
+  case when event_type = 'signup' and user_id % 2 = 0 then 'acme salary' when event_type in ('signup', 'purchase') then 'transfer' when event_type = 'error' then 'rent llc'
+    when event_type = 'view' then 'loan one' else 'card club' end as payee
+from events""",
+    "fx_feed_mandates": """
+select cast(user_id as varchar) as case_id, case when event_id % 2 = 0 then 'rent llc' when event_type = 'view' then 'gym plan' else 'card club' end as payee, value + 5 as amount
+from events where event_id % 25 = 1 and user_id % 3 <> 0""",
     "fx_scored": """
 select cast(o_orderkey as varchar) as id, year(o_orderdate) * 100 + month(o_orderdate) as wk,
   case when o_orderstatus = 'F' then 1 else 0 end as target, floor(o_totalprice / 1000) as raw from orders""",

@@ -64,13 +64,10 @@ select b.case_id, b.target, b.wk, coalesce(max_dpd, 0) as max_dpd, coalesce(mean
   case when monthly_income > 0 then coalesce(total_annuity, 0) / monthly_income end as debt_to_income
 from dx_base b left join dx_bureau_case using (case_id) left join dx_appl_case using (case_id) left join dx_income_max using (case_id)""",
     # transactions with a normalised payee, money out positive
-    "dx_txn": """
-select case_id, txn_id, cast(ts as date) as tdate, -amount as amount,
-  trim(regexp_replace(regexp_replace(regexp_replace(lower(merchant), '[0-9]+', '', 'g'), '[^a-z ]', ' ', 'g'), ' +', ' ', 'g')) as payee
-from fx_transactions""",
+    "dx_txn": "select case_id, txn_id, tdate, -amount as amount, payee from fx_feed",
     "dx_gap": """
-select *, round_even(amount, -6) as bucket,
-  date_diff('day', lag(tdate) over (partition by case_id, payee, round_even(amount, -6) order by tdate, txn_id), tdate) as gap
+select *, round_even(amount, 0) as bucket,
+  date_diff('day', lag(tdate) over (partition by case_id, payee, round_even(amount, 0) order by tdate, txn_id), tdate) as gap
 from dx_txn where amount > 0""",
     "dx_streams": """
 select case_id, payee, bucket, count(*) as n, quantile_cont(gap, 0.5) as period, stddev_pop(amount) / abs(avg(amount)) as cv, min(tdate) as opened
@@ -78,7 +75,7 @@ from dx_gap group by case_id, payee, bucket
 having count(*) >= 3 and quantile_cont(gap, 0.5) between 20 and 400 and stddev_pop(amount) / abs(avg(amount)) <= 0.35""",
     "dx_unseen": """
 select m.*, row_number() over (partition by case_id, payee order by amount) - 1 as no
-from fx_mandates m where (case_id, payee) not in (select (case_id, payee) from dx_streams)""",
+from fx_feed_mandates m where (case_id, payee) not in (select (case_id, payee) from dx_streams)""",
     "dx_lines_pay": """
 select g.case_id, concat('stream::', g.payee, '#', cast(cast(g.bucket as bigint) as varchar)) as line_id, g.tdate as pdate, g.txn_id as tie, g.amount
 from dx_gap g join dx_streams s on g.case_id = s.case_id and g.payee = s.payee and g.bucket = s.bucket
@@ -125,15 +122,19 @@ select *, case when period between 26 and 35 then typical else typical * (30.44
   regexp_matches(payee, '\\b(salary|salaries|payroll|wages?|hmrc|net\\s*pay|paye)\\b') as salary_named from (
   select case_id, payee, count(*) as n, count(gap) as n_gaps, quantile_cont(gap, 0.5) as period, quantile_cont(amount, 0.5) as typical,
     stddev_pop(amount) / abs(avg(amount)) as cv from dx_credit group by case_id, payee)
-where n >= 3 and n_gaps >= 2 and period between 5 and 400 and cv <= 0.5
+where n >= 3 and n_gaps >= 2 and period between 5 and 40 and cv <= 0.35
   and case when period between 26 and 35 then typical else typical * (30.44 / period) end >= 100""",
     "dx_cycles0": """
 select p.*, row_number() over (partition by case_id, line_id order by pdate desc, tie desc) as back,
   count(*) over (partition by case_id, line_id) as n_all from fx_payments p""",
     "dx_typical": "select case_id, quantile_cont(amount, 0.5) as typical from fx_instalments where amount > 0 group by case_id",
+    # two digits, halves to the even one, of the number as it is written
+    "dx_pence": """
+select case_id, cast((floor(d * 100) + case when d * 100 - floor(d * 100) > 0.5 then 1 when d * 100 - floor(d * 100) = 0.5 then floor(d * 100) % 2 else 0 end) as double) / 100 as pence
+from (select case_id, cast(cast(typical as varchar) as decimal(30, 15)) as d from dx_typical)""",
     "dx_cycles": """
 select c.case_id, line_id, as_of, cast(least(n_all, 22) - back as int) as i, cast(least(n_all, 22) as int) as n,
   as_of + cast(30 * (least(n_all, 22) - back) - 30 * least(n_all, 22) as int) as due,
-  round_even(coalesce(typical, 100.0), 6) as instalment, least(greatest(coalesce(dpd, 0), 0), 90) as dpd, greatest(coalesce(overdue, 0), 0) as overdue
-from dx_cycles0 c join fx_applicants a on a.case_id = c.case_id left join dx_typical t on t.case_id = c.case_id where back <= 22""",
+  coalesce(pence, 100.0) as instalment, least(greatest(coalesce(dpd, 0), 0), 90) as dpd, greatest(coalesce(overdue, 0), 0) as overdue
+from dx_cycles0 c join fx_applicants a on a.case_id = c.case_id left join dx_pence t on t.case_id = c.case_id where back <= 22""",
 }

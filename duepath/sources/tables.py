@@ -115,6 +115,30 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def feed(spark: SparkSession, folder: str) -> DataFrame:
+    """Bank lines with recurring amounts from the events: three plan prices a payee, a few pence apart from month to
+    month; rents of any amount; wages. Three hours of the events are one day of the feed."""
+    e = table(spark, folder, "events")
+    kind, value = F.col("event_type"), F.col("value")
+    plan = F.element_at(F.array(F.lit(12.99), F.lit(49.5), F.lit(250.0)), (F.col("event_id") % 3 + 1).cast("int")) + value / 1000
+    paid_in = kind.isin("signup", "purchase")
+    days = F.floor((F.col("ts").cast("timestamp").cast("double") - 1704067200) / 10800).cast("int")
+    return e.select(
+        _text("user_id").alias("case_id"), F.col("event_id").alias("txn_id"), F.date_add(F.lit("2023-01-01").cast("date"), days).cast("timestamp").alias("ts"),
+        F.when(paid_in, 1500 + value).when(kind == "error", -value * 10).otherwise(-plan).alias("amount"),
+        F.when((kind == "signup") & (F.col("user_id") % 2 == 0), "ACME SALARY 42").when(paid_in, "Transfer-7").when(kind == "error", "Rent 5 LLC")
+        .when(kind == "view", "Loan One-7").otherwise("Card Club 12").alias("merchant"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("category"),
+    )
+
+
+def feed_mandates(spark: SparkSession, folder: str) -> DataFrame:
+    """Standing orders of two users in three: some for payees that the feed shows as streams, some for others."""
+    e = table(spark, folder, "events").filter("event_id % 25 = 1 and user_id % 3 <> 0")
+    payee = F.when(F.col("event_id") % 2 == 0, "rent llc").when(F.col("event_type") == "view", "gym plan").otherwise("card club")
+    return e.select(_text("user_id").alias("case_id"), payee.alias("payee"), (F.col("value") + 5).alias("amount"))
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return e.select(
