@@ -22,6 +22,7 @@ each; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -69,9 +70,11 @@ def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(len(which), BLOCK, 4), axis=2, bitorder="little")
         packed = np.packbits(bits[:, :, : int(w)].reshape(len(which), -1), axis=1, bitorder="little")
         high = values >> np.uint32(w) if w < 32 else np.zeros_like(values)
-        for k, b in enumerate(which):
-            at = np.flatnonzero(high[k, : size[b]])
-            parts[b] = BLOCK_HEAD.pack(int(low[b]), int(size[b]), int(w), 0, len(at)) + packed[k].tobytes() + at.astype("<u2").tobytes() + high[k, at].astype("<u4").tobytes()
+        high[np.arange(BLOCK) >= size[which][:, None]] = 0
+        row, at = np.nonzero(high)
+        odd, at, to = high[row, at].astype("<u4"), at.astype("<u2"), np.searchsorted(row, np.arange(len(which) + 1))
+        for k, (b, one, end) in enumerate(zip(which.tolist(), to[:-1].tolist(), to[1:].tolist())):
+            parts[b] = BLOCK_HEAD.pack(int(low[b]), int(size[b]), int(w), 0, end - one) + packed[k].tobytes() + at[one:end].tobytes() + odd[one:end].tobytes()
     place = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]]).astype(np.uint64)
     return b"".join(parts), place
 
@@ -161,24 +164,24 @@ def read_file(raw: bytes) -> tuple[pa.Array, Iterator[np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[Tokenizer, list[int], re.Pattern | None]:
-    """The library's tokenizer for the words between special tokens; ids and strings of the latter, longest first."""
+def _tokenizer(path: str) -> tuple[Tokenizer, list[int], bytes, re.Pattern]:
+    """The library's tokenizer for the words between special tokens; of the latter the ids, what their strings begin with,
+    and a pattern of the strings, longest first."""
     made = Tokenizer.from_file(path)
     special = sorted(made.get_added_tokens_decoder().items(), key=lambda t: (-len(t[1].content), t[0]))
     if any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in special):
         raise ValueError("only added tokens that match as they stand are known here")
     made.encode_special_tokens = True  # a word that reads like one when lower-cased is none
-    found = re.compile(b"|".join(b"(%s)" % re.escape(t.content.encode()) for _, t in special)) if special else None
-    return made, [i for i, _ in special], found
+    strings = [t.content.encode() for _, t in special]
+    return made, [i for i, _ in special], os.path.commonprefix(strings), re.compile(b"|".join(b"(%s)" % re.escape(t) for t in strings))
 
 
-def _specials(raw: np.ndarray, offsets: np.ndarray, found: re.Pattern | None) -> np.ndarray:
+def _specials(raw: np.ndarray, offsets: np.ndarray, begin: bytes, strings: re.Pattern) -> np.ndarray:
     """Rows of start, end and place in the list of special tokens, for each of their strings in the texts."""
-    out = []
-    flat = raw.tobytes()
-    if found is not None and found.search(flat):
+    out, flat = [], raw.tobytes()
+    if strings.groups and begin in flat:
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            out += [(m.start(), m.end(), m.lastindex - 1) for m in found.finditer(flat, a, b)]
+            out += [(m.start(), m.end(), m.lastindex - 1) for m in strings.finditer(flat, a, b)]
     return np.array(out, np.int64).reshape(-1, 3)
 
 
@@ -210,17 +213,17 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """Ids of each text, in order."""
-    made, special_ids, special_strings = _tokenizer(path)
+    made, special_ids, begin, strings = _tokenizer(path)
     kind = np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
     known = _memory.setdefault(path, {})
     for _, raw, offsets in tx.slices(column):
         body = tx.lower_ascii(raw)
-        special = _specials(raw, offsets, special_strings)
+        special = _specials(raw, offsets, begin, strings)
         for a, b in special[:, :2].tolist():
             body[a:b] = 32  # they part words as blanks do
         starts, ends, bounds = _pieces(body, offsets)
-        names = np.full(len(starts), -1)
         if len(special):
+            names = np.full(len(starts), -1)
             order = np.argsort(np.concatenate([starts, special[:, 0]]), kind="stable")
             starts, ends, names = (np.concatenate(v)[order] for v in ((starts, special[:, 0]), (ends, special[:, 1]), (names, special[:, 2])))
             bounds = np.searchsorted(starts, offsets, "left")
@@ -228,19 +231,21 @@ def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
             for _ in range(len(offsets) - 1):
                 yield np.zeros(0, np.uint32)
             continue
-        hashes = np.where(names < 0, tx.word_hashes(body, starts, ends), names.astype(np.uint64))
+        hashes = tx.word_hashes(body, starts, ends)
+        if len(special):
+            hashes[names >= 0] = names[names >= 0]
         _, first, place = np.unique(hashes, return_index=True, return_inverse=True)
         flat = body.tobytes()
         words = [flat[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(known) > REMEMBERED:
             known.clear()
-        one = names[first].tolist()
-        fresh = [w for w, name in zip(words, one) if name < 0 and w not in known]
+        own = {at: special_ids[names[k]] for at, k in enumerate(first.tolist()) if names[k] >= 0} if len(special) else {}
+        fresh = [w for at, w in enumerate(words) if w not in known and at not in own] if own else [w for w in words if w not in known]
         for at in range(0, len(fresh), 8192):
             group = fresh[at : at + 8192]
             for word, found in zip(group, made.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)):
                 known[word] = np.array(found.ids, kind).tobytes()
-        lists = [known[w] if name < 0 else np.array([special_ids[name]], kind).tobytes() for w, name in zip(words, one)]
+        lists = [known[w] if at not in own else np.array([own[at]], kind).tobytes() for at, w in enumerate(words)] if own else [known[w] for w in words]
         size = np.array(list(map(len, lists))) // kind.itemsize
         joined = np.frombuffer(b"".join(lists), kind).astype(np.uint32)
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
