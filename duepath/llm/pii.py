@@ -34,10 +34,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]|(?<!\S)(?:at|dot)(?!\S)", re.I)
 _DIGIT = re.compile(r"[0-9]")
-# A written address: one local part, an at, one host; with a bare at the host needs a dot.
-_PART = r"[\w%+-]+(?:\.[\w%+-]+)*"
-_DOT = r"(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+|\.)"
-_ADDRESS = re.compile(rf"[<(\"']*{_PART}(?:\s*(?:@|[(\[]at[)\]])\s*[\w-]+(?:{_DOT}[\w-]+)*|\s+at\s+[\w-]+(?:{_DOT}[\w-]+)+)[>)\"'.,;:!?]*", re.I)
 _WORD = re.compile(r"\S+")
 
 
@@ -126,11 +122,63 @@ or {email:a [at] b [dot] c [dot] net} for the rest
 they looked at the dot on the wall at noon
 he was born at home and lived at sea
 the last dot at the end of it is red
+put a dot on the map at the corner
+we met at noon and at night again
+the dot com boom was over by then
+he looked at dot and she looked at him
+a red dot at the top and a blue dot below
+good at maths and bad at chess
+at work or at home
+at first it was at rest
+point at the dot and click
+dinner at eight at the dot cafe
+AT LAST THEY CAME BACK AT DAWN
+the connect the dots game at the fair
+sold at cost or at a loss in the north
 """.splitlines()
 
+# Written addresses of the table: frames, local parts, and hosts, combined by turns.
+_FRAMES = ("write to {email:%s} today", "%s is not it but {email:%s} is", "{email:%s}", "you can reach me at {email:%s} or call", "mail {email:%s} about the house", "i am {email:%s}", "contact: {email:%s} for more", "ask her, {email:%s} or him")
+_LOCALS = ("anna", "tom dot smith", "j.doe", "kim-lee", "sales DOT north", "Max", "info", "a dot b dot c", "lena_k", "otto [dot] berg", "bob77", "Eva (dot) Lind")
+_HOSTS = ("example dot org", "firm dot co dot uk", "mail.example.com", "acme DOT net", "shop [dot] example [dot] de", "big-house dot com", "Uni (dot) edu", "web dot info", "corp.example", "north dot example dot io")
+_ATS = ("at", "AT", "(at)", "at", "[at]", "At", "at", "[AT]")
+
+
+def written_lines(n: int = 200) -> list[str]:
+    """``n`` lines with a written address, every choice in turn; a bare at stands only before hosts with a written dot."""
+    out = []
+    for k in range(n):
+        at = _ATS[k % len(_ATS)]
+        host = _HOSTS[(k + k // 6) % len(_HOSTS)]
+        if at.lower() == "at" and " " not in host:
+            at = "(at)"
+        address = f"{_LOCALS[(5 * k + k // 7) % len(_LOCALS)]} {at} {host}"
+        frame = _FRAMES[(k + k // 3) % len(_FRAMES)]
+        out.append(frame % (("this", address) if frame.count("%s") == 2 else address))
+    return out
+
+
+# Prose with the same cues and nothing to find: an at without a dot, a dot without an at, sentences that begin with one.
+_PROSE = ("%s %s at %s %s.", "%s. At %s, %s %s at %s.", "%s at %s and %s. At %s %s", "at %s. %s at at %s", "%s %s, at %s. %s %s dot %s", "At %s %s %s at %s, at %s", "%s the dot %s at %s. %s", "%s at %s dot, %s %s", "%s-%s at %s (%s). At %s.", "at At %s At %s. At %s at. At %s", "%s at the dot %s", "nobody at %s knows dot %s %s")
+_PLAIN = "ea onhe shndtion thble When ouha nden, eres ingly Rean stes orhan. la und wolke Berg maths once river, printers old Tower blue esre thonwh es de it us".split()
+
+
+def plain_lines(n: int = 100) -> list[str]:
+    out = []
+    for k in range(n):
+        frame = _PROSE[k % len(_PROSE)]
+        out.append(frame % tuple(_PLAIN[(7 * k + 3 * j) % len(_PLAIN)] for j in range(frame.count("%s"))))
+    return out
+
+
+LABELLED += written_lines() + plain_lines()
+
 _MARK = re.compile(r"\{(\w+):([^}]*)\}")
 _CUES = {"at": "AT", "(at)": "AT", "[at]": "AT", "dot": "DOT", "[dot]": "DOT", "(dot)": "DOT", "@": "@", "call": "TEL", "phone": "TEL", "tel:": "TEL", "tel.": "TEL", "tel": "TEL", "mobile": "TEL", "fax": "TEL", "card": "CARD", "visa": "CARD", "mail": "MAIL", "email": "MAIL", "host": "HOST", "server": "HOST", "ping": "HOST"}
+_CUES |= dict.fromkeys("the a an of on in and we he she it is was to for or by my me him her they this that with from no not noon home night work first last end all once".split(), "STOP")
+_CUES |= dict.fromkeys("com org net edu gov info io uk de fr es it co us eu".split(), "TLD") | {"it": "STOP"}
 _CLASS = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+_HOSTLIKE = re.compile(r"[^\W\d_]\.[^\W\d_]")
 _RUN = re.compile(r"([aA0])\1+")
 
 
@@ -144,8 +192,9 @@ def shape(word: str) -> str:
 def _own(word: str) -> tuple[str, ...]:
     digits = sum(c.isdigit() for c in word[:64])
     plain = word.lower()[:16]
+    cue = _CUES.get(plain) or _CUES.get(plain.rstrip(".,;:!?")) or ("HOST." if _HOSTLIKE.search(word) else "-")
     signs = "".join(sorted({c for c in word[:64] if c in ".:/-()[]@$#%&*=+_,"}))
-    return (f"s={shape(word)}", f"d={min(digits, 20)}", f"p={signs}", f"w={_CUES.get(plain, '-')}", f"n={min(shape(word).count('0'), 6)}", f"l={min(len(word), 24) // 4}")
+    return (f"s={shape(word)}", f"d={min(digits, 20)}", f"p={signs}", f"w={cue}", f"n={min(shape(word).count('0'), 6)}", f"l={min(len(word), 24) // 4}")
 
 
 def features(words: list[str]) -> list[list[str]]:
@@ -153,9 +202,15 @@ def features(words: list[str]) -> list[list[str]]:
     out = []
     for k, mine in enumerate(own):
         row = ["bias", *mine]
-        for d in (-2, -1, 1, 2):
+        seen = {}
+        for d in (-3, -2, -1, 1, 2, 3):
             there = own[k + d] if 0 <= k + d < len(words) else ("s=.", "d=.", "", "w=.")
-            row += [f"{d}{there[3]}", f"{d}{there[1]}"] + ([f"{d}{there[0]}"] if abs(d) == 1 else [])
+            seen[d] = there[3][2:]
+            row += [f"{d}{there[3]}"] + ([f"{d}{there[1]}"] if abs(d) <= 2 else []) + ([f"{d}{there[0]}"] if abs(d) == 1 else [])
+        near = {d: [own[j][3][2:] for j in range(k + 1, min(k + 6, len(words)))] if d > 0 else [own[j][3][2:] for j in range(max(0, k - 6), k)] for d in (-1, 1)}
+        row += [f"{side}{cue}{cue in near[d]},{mine[3][2:]}" for d, side in ((-1, "<"), (1, ">")) for cue in ("AT", "DOT", "HOST.")]
+        # the cues around the word, in order: an at and a dot only together make an address
+        row += [f"<{seen[-2]},{seen[-1]},{mine[3][2:]}", f"{mine[3][2:]},{seen[1]},{seen[2]}>", f"<{seen[-1]},{mine[3][2:]},{seen[1]}>", f"{mine[3][2:]},{seen[2]},{seen[3]}>>", f"<<{seen[-3]},{seen[-2]},{mine[3][2:]}"]
         out.append(row)
     return out
 
@@ -211,44 +266,63 @@ def parse(line: str) -> tuple[list[str], list[int]]:
     return words, labels
 
 
-def fit(lines: list[str], rounds: int = 150, rate: float = 0.5, ridge: float = 0.02) -> Field:
+@lru_cache(maxsize=1)
+def production_field() -> "Field":
+    return fit(LABELLED)
+
+
+def fit(lines: list[str], rounds: int = 200, rate: float = 0.5, ridge: float = 0.02) -> Field:
     """Weights that maximise the penalised likelihood, by forward-backward and Adagrad."""
     data = [parse(line) for line in lines if line.strip()]
     rows = [features(words) for words, _ in data]
     index = {f: k for k, f in enumerate(sorted({f for row in rows for fs in row for f in fs}))}
-    coded = [[np.array([index[f] for f in fs]) for fs in row] for row in rows]
-    labels = len(BASE_KINDS) + 1
-    unary, pair = np.zeros((len(index), labels)), np.zeros((labels, labels))
+    labels, none = len(BASE_KINDS) + 1, len(index)
+    size = np.array([len(row) for row in rows])
+    steps, most = int(size.max()), max(len(fs) for row in rows for fs in row)
+    # all sequences side by side; the place ``none`` and what lies beyond an end count for nothing
+    coded = np.full((len(rows), steps, most), none)
+    gold = np.zeros((len(rows), steps), int)
+    for i, (row, (_, marks)) in enumerate(zip(rows, data)):
+        gold[i, : len(marks)] = marks
+        for t, fs in enumerate(row):
+            coded[i, t, : len(fs)] = [index[f] for f in fs]
+    real = (np.arange(steps) < size[:, None]).astype(float)
+    both = real[:, 1:] * real[:, :-1]
+    hits = np.zeros((len(rows), steps, labels))
+    hits[np.arange(len(rows))[:, None], np.arange(steps), gold] = 1
+    hits *= real[:, :, None]
+    pairs = np.einsum("sta,stb,st->ab", hits[:, :-1], hits[:, 1:], both)
+    unary, pair = np.zeros((none + 1, labels)), np.zeros((labels, labels))
     sums = [np.full_like(unary, 1e-6), np.full_like(pair, 1e-6)]
     for _ in range(rounds):
-        g_unary, g_pair = -ridge * unary, -ridge * pair
-        for row, (_, gold) in zip(coded, data):
-            emit = np.stack([unary[fs].sum(0) for fs in row])
-            n = len(row)
-            ahead, behind = np.zeros((n, labels)), np.zeros((n, labels))
-            ahead[0] = emit[0]
-            for t in range(1, n):
-                ahead[t] = emit[t] + np.logaddexp.reduce(ahead[t - 1][:, None] + pair, 0)
-            for t in range(n - 2, -1, -1):
-                behind[t] = np.logaddexp.reduce(pair + emit[t + 1] + behind[t + 1], 1)
-            total = np.logaddexp.reduce(ahead[-1])
-            expected = np.exp(ahead + behind - total)
-            for t, fs in enumerate(row):
-                g_unary[fs] -= expected[t]
-                g_unary[fs, gold[t]] += 1
-                if t:
-                    g_pair -= np.exp(ahead[t - 1][:, None] + pair + emit[t] + behind[t] - total)
-                    g_pair[gold[t - 1], gold[t]] += 1
+        unary[none] = 0
+        emit = unary[coded].sum(2)
+        ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
+        ahead[:, 0] = emit[:, 0]
+        for t in range(1, steps):
+            step = emit[:, t] + np.logaddexp.reduce(ahead[:, t - 1, :, None] + pair, 1)
+            ahead[:, t] = np.where(real[:, t, None] > 0, step, ahead[:, t - 1])
+        for t in range(steps - 2, -1, -1):
+            step = np.logaddexp.reduce(pair + (emit[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+            behind[:, t] = np.where(real[:, t + 1, None] > 0, step, 0.0)
+        total = np.logaddexp.reduce(ahead[:, -1], 1)
+        expected = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
+        g_unary = -ridge * unary
+        np.add.at(g_unary, coded, (hits - expected)[:, :, None, :])
+        joint = np.exp(ahead[:, :-1, :, None] + pair + (emit + behind)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
+        g_pair = -ridge * pair + pairs - joint.sum((0, 1))
         for value, g, s in ((unary, g_unary, sums[0]), (pair, g_pair, sums[1])):
             s += g * g
             value += rate * g / np.sqrt(s)
+    unary = unary[:none]
     return Field(index, unary, pair)
 
 
 def _plausible(kind: int, text: str) -> bool:
+    """Whether a span has what its label can't do without: an at inside, or so many digits."""
     digits = len(_DIGIT.findall(text))
     if kind == 0:
-        return bool(_ADDRESS.fullmatch(text))
+        return "@" in text or any(_CUES.get(w.lower()) == "AT" for w in text.split()[1:-1])
     return (4 <= digits <= 20, 12 <= digits <= 19, 7 <= digits <= 15)[kind - 1]
 
 
@@ -292,6 +366,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], field:
                 t += 1
                 if kind:
                     start, end = words[begin][0], words[t - 1][1]
+                    end -= len(texts[k][start:end]) - len(texts[k][start:end].rstrip(".,;:!?"))
                     if _plausible(kind - 1, texts[k][start:end]) and not any(s < end and start < e for s, _, e in base[k]):
                         out[k].append((start, kind + 3, end))
     return out
@@ -304,7 +379,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    model = field or fit(LABELLED)
+    model = field or production_field()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

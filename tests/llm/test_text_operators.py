@@ -133,7 +133,7 @@ def test_personal_data(documents):
         assert set(filter(None, pii.written(spans).split(","))) <= set(got[key].spans.split(","))
     added = next(r for r in got.values() if r.doc_id == 901)
     assert "crf_email" in added.spans and "crf_phone" in added.spans and added.n_email == 0
-    field = pii.fit(pii.LABELLED)
+    field = pii.production_field()
     for words, labels in map(pii.parse, pii.LABELLED):
         assert field.decode([words])[0].tolist() == labels
     assert pii.find(documents([])).count() == 0
@@ -159,6 +159,29 @@ def test_labelled_lines_are_found_whole(documents):
         assert got[k] == pii.written(base + [x for x in spans if not any(s < x[2] and x[0] < e for s, _, e in base)]), text
 
 
+UNSEEN = """{email:tom dot smith at acme dot co dot uk}
+{email:maria at bigfirm dot com} about
+{email:bob AT corp DOT net}
+my mail is {email:sue dot ann at house dot org} thanks
+reach {email:peter (at) green-energy (dot) eu} now
+{email:hans.meier [at] beispiel.de} bitte
+write {email:ada at lovelace dot example dot com}, please
+{email:lisa at web dot de}
+we were at school on the dot that day
+she stood at the window and saw a dot far away
+nobody at home knows dot matrix printers
+look at this dot""".splitlines()
+
+
+def test_written_addresses_outside_the_table(documents):
+    table = {text for text, _ in map(marked, pii.LABELLED)}
+    lines = [marked(line) for line in UNSEEN]
+    assert not table & {text for text, _ in lines}
+    got = {r.doc_id: (r.spans, r.n_added) for r in pii.find(documents([(k, f"first line\n{text}\nlast line") for k, (text, _) in enumerate(lines)])).collect()}
+    for k, (text, spans) in enumerate(lines):
+        assert got[k] == (pii.written([(a + 11, kind, b + 11) for a, kind, b in spans]), len(spans)), text
+
+
 def test_viterbi_is_the_best_labelling():
     field = pii.fit(pii.LABELLED, rounds=5)
     words = "call 555 12".split()
