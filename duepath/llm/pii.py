@@ -139,8 +139,8 @@ sold at cost or at a loss in the north
 
 # Written addresses of the table: frames, local parts, and hosts, combined by turns.
 _FRAMES = ("write to {email:%s} today", "%s is not it but {email:%s} is", "{email:%s}", "you can reach me at {email:%s} or call", "mail {email:%s} about the house", "i am {email:%s}", "contact: {email:%s} for more", "ask her, {email:%s} or him")
-_LOCALS = ("anna", "tom dot smith", "j.doe", "kim-lee", "sales DOT north", "Max", "info", "a dot b dot c", "lena_k", "otto [dot] berg", "bob77", "Eva (dot) Lind")
-_HOSTS = ("example dot org", "firm dot co dot uk", "mail.example.com", "acme DOT net", "shop [dot] example [dot] de", "big-house dot com", "Uni (dot) edu", "web dot info", "corp.example", "north dot example dot io")
+_LOCALS = ("anna", "tom dot smith", "j.doe", "kim-lee", "sales DOT north", "Max", "info", "a dot b dot c", "lena_k", "otto [dot] berg", "bob77", "Eva (dot) Lind", "a")
+_HOSTS = ("example dot org", "firm dot co dot uk", "mail.example.com", "acme DOT net", "shop [dot] example [dot] de", "big-house dot com", "Uni (dot) edu", "web dot info", "corp.example", "north dot example dot io", "b [dot] x [dot] net", "y (dot) z (dot) com", "q dot org")
 _ATS = ("at", "AT", "(at)", "at", "[at]", "At", "at", "[AT]")
 
 
@@ -178,6 +178,7 @@ _CUES = {"at": "AT", "(at)": "AT", "[at]": "AT", "dot": "DOT", "[dot]": "DOT", "
 _CUES |= dict.fromkeys("the a an of on in and we he she it is was to for or by my me him her they this that with from no not noon home night work first last end all once".split(), "STOP")
 _CUES |= dict.fromkeys("com org net edu gov info io uk de fr es it co us eu".split(), "TLD") | {"it": "STOP"}
 _CLASS = str.maketrans("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 26 + "A" * 26 + "0" * 10)
+_AT = re.compile(r"@|\S\s*[(\[]at[)\]]\s*\S|\sat\s", re.I)
 _HOSTLIKE = re.compile(r"[^\W\d_]\.[^\W\d_]")
 _RUN = re.compile(r"([aA0])\1+")
 
@@ -322,7 +323,7 @@ def _plausible(kind: int, text: str) -> bool:
     """Whether a span has what its label can't do without: an at inside, or so many digits."""
     digits = len(_DIGIT.findall(text))
     if kind == 0:
-        return "@" in text or any(_CUES.get(w.lower()) == "AT" for w in text.split()[1:-1])
+        return bool(_AT.search(text))
     return (4 <= digits <= 20, 12 <= digits <= 19, 7 <= digits <= 15)[kind - 1]
 
 
