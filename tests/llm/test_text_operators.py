@@ -1,6 +1,7 @@
 """Language, leaks, tokens, personal data, toxicity, resampling, id files and main text."""
 
 import hashlib
+import html as entities
 import random
 import re
 import zlib
@@ -338,6 +339,36 @@ def test_main_text(spark):
     assert (tree.apply(html.labelled_table()[0]) == (html.labelled_table()[1] == 1)).all()
 
 
+def prose(n, word="word"):
+    return " ".join(f"{word}{k}" for k in range(n))
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f"<div><h1>Head line</h1><p>{prose(40)}.</p><p>{prose(25)}</p></div><div><article>Teaser one</article><article>Teaser two</article></div>", ["Head line", prose(40) + ".", prose(25)]),
+        (f"<nav><a>Home</a></nav><article><div class='reader-content'><h1>Title</h1><p>{prose(30)}</p></div></article><footer>Foot of it</footer>", ["Title", prose(30)]),
+        (f"<main><section class='social-history'><p>{prose(30)}</p><p>{prose(8)}</p></section></main>", [prose(30), prose(8)]),
+        (f"<nav><a>x</a></nav><article><h1>Head</h1><p>One.</p><p>{prose(45)}</p><ul><li><a>{prose(4, 'more')}</a></li><li><a>{prose(5, 'more')}</a></li></ul></article><footer>f</footer>", ["Head", "One.", prose(45)]),
+        (f"<article><h1>Head</h1><p>{prose(80)}</p></article><section id=comments><article><p>{prose(30, 'reader')}</p></article></section>", ["Head", prose(80)]),
+        (f"<div class=ad>{prose(12, 'buy')}</div><article><h1>Short</h1><p>Two words.</p></article><footer>{prose(9, 'foot')}</footer>", ["Short", "Two words."]),
+        ("<p>just one short line</p>", ["just one short line"]),
+        (f"<ul><li><a>{prose(2)}</a><li><a>{prose(1)}</a></ul><div hidden><p>{prose(50)}</p></div>", []),
+    ],
+)
+def test_main_text_of_page_shapes(page, kept):
+    assert html.main_text(page, html.train()) == "\n".join(kept)
+
+
+def test_every_given_page_gives_its_article(spark, sf):
+    """The given pages have one article of headings and paragraphs; its text is found again by plain regular expressions."""
+    for row, page in zip(sorted(queries.QUERIES["op9_text_blocks"](spark, sf).collect(), key=lambda r: r.page_id), sorted(queries.table(spark, sf, "pages").collect(), key=lambda r: r.page_id)):
+        body = re.search(r"<article>(.*)</article>", page.html, re.S)[1]
+        body = re.sub(r"<br>", " ", re.sub(r"</?b>", "", body))
+        parts = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", body)]
+        assert row.text == "\n".join(p for p in parts if p)
+
+
 def test_slices_join_to_the_column():
     from duepath.llm import text as tx
 
