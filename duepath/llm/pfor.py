@@ -22,6 +22,7 @@ each; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -164,16 +165,21 @@ def read_file(raw: bytes) -> tuple[pa.Array, Iterator[np.ndarray]]:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str) -> tuple[Tokenizer, list[int], bytes, re.Pattern]:
+def _tokenizer(path: str) -> tuple[Tokenizer, list[int], bytes, re.Pattern, np.ndarray | None]:
     """The library's tokenizer for the words between special tokens; of the latter the ids, what their strings begin with,
-    and a pattern of the strings, longest first."""
+    and a pattern of the strings, longest first; and which ids end a word, if the vocabulary marks them."""
     made = Tokenizer.from_file(path)
     special = sorted(made.get_added_tokens_decoder().items(), key=lambda t: (-len(t[1].content), t[0]))
     if any(t.single_word or t.lstrip or t.rstrip or t.normalized for _, t in special):
         raise ValueError("only added tokens that match as they stand are known here")
     made.encode_special_tokens = True  # a word that reads like one when lower-cased is none
     strings = [t.content.encode() for _, t in special]
-    return made, [i for i, _ in special], os.path.commonprefix(strings), re.compile(b"|".join(b"(%s)" % re.escape(t) for t in strings))
+    suffix = json.loads(made.to_str())["model"].get("end_of_word_suffix")
+    last = None
+    if suffix:
+        last = np.zeros(max(made.get_vocab().values()) + 1, bool)
+        last[[i for t, i in made.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+    return made, [i for i, _ in special], os.path.commonprefix(strings), re.compile(b"|".join(b"(%s)" % re.escape(t) for t in strings)), last
 
 
 def _specials(raw: np.ndarray, offsets: np.ndarray, begin: bytes, strings: re.Pattern) -> np.ndarray:
@@ -211,9 +217,28 @@ def _pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return all_starts, all_ends, np.searchsorted(all_starts, offsets, "left")
 
 
+def _learn(words: list[bytes], made: Tokenizer, last_of_word: np.ndarray | None, kind: np.dtype, known: dict[bytes, bytes]) -> None:
+    """Adds the ids of new words to ``known``.
+
+    A word of ASCII letters is one word to the tokenizer too. So such words are encoded as lines of one text, and its ids
+    parted where a token ends a word; the others are encoded one by one.
+    """
+    plain = [w for w in words if w.isalpha()] if last_of_word is not None else []  # of bytes: ASCII letters only
+    if plain:
+        ids = np.array(made.encode_batch_fast([b"\n".join(plain).decode()], add_special_tokens=False)[0].ids, kind)
+        ends = np.flatnonzero(last_of_word[ids]) + 1
+        if len(ends) == len(plain) and ends[-1] == len(ids):
+            flat = ids.tobytes()
+            places = (np.concatenate([[0], ends]) * kind.itemsize).tolist()
+            known.update(zip(plain, (flat[a:b] for a, b in zip(places, places[1:]))))
+            words = [w for w in words if not w.isalpha()]
+    for word, found in zip(words, made.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
+        known[word] = np.array(found.ids, kind).tobytes()
+
+
 def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
     """Ids of each text, in order."""
-    made, special_ids, begin, strings = _tokenizer(path)
+    made, special_ids, begin, strings, last_of_word = _tokenizer(path)
     kind = np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4")
     known = _memory.setdefault(path, {})
     for _, raw, offsets in tx.slices(column):
@@ -242,9 +267,7 @@ def encode(column: pa.Array, path: str) -> Iterator[np.ndarray]:
         own = {at: special_ids[names[k]] for at, k in enumerate(first.tolist()) if names[k] >= 0} if len(special) else {}
         fresh = [w for at, w in enumerate(words) if w not in known and at not in own] if own else [w for w in words if w not in known]
         for at in range(0, len(fresh), 8192):
-            group = fresh[at : at + 8192]
-            for word, found in zip(group, made.encode_batch_fast([w.decode() for w in group], add_special_tokens=False)):
-                known[word] = np.array(found.ids, kind).tobytes()
+            _learn(fresh[at : at + 8192], made, last_of_word, kind, known)
         lists = [known[w] if at not in own else np.array([own[at]], kind).tobytes() for at, w in enumerate(words)] if own else [known[w] for w in words]
         size = np.array(list(map(len, lists))) // kind.itemsize
         joined = np.frombuffer(b"".join(lists), kind).astype(np.uint32)
