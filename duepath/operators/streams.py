@@ -256,6 +256,24 @@ def monthly_income(transactions: DataFrame, cfg: Settings = DEFAULT) -> DataFram
     )
 
 
+# -- a whole feed --------------------------------------------------------------------------------------
+
+
+def feed_history(transactions: DataFrame, mandates: DataFrame, cfg: Settings = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(payments, instalments, income) of a bank feed: recurring debits and the mandates they don't show become lines,
+    lateness and missed cycles are inferred from their schedules, and steady credits are the income.
+
+    transactions: case_id, txn_id, tdate, payee, hint, amount (money out > 0); mandates: case_id, payee, amount. The lines'
+    payments are written once, since schedules, missed cycles and instalments all read them.
+    """
+    found, paid = detect(transactions, cfg)
+    found = cut_lineage(found, "streams")
+    _, seeded = seed_mandates(mandates, found, transactions)
+    lines = cut_lineage(paid.unionByName(seeded), "feed-lines")
+    credits = transactions.withColumn("amount", -F.col("amount"))
+    return complete_history(lines, cfg), instalments(mandates, lines), monthly_income(credits, cfg)
+
+
 # -- between the two sources ------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
 
@@ -167,6 +168,25 @@ def balance_proxy(debitcard: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Canonical:
+    """What the feature job reads, whatever it was made from."""
+
+    payments: DataFrame
+    applicants: DataFrame
+    instalments: DataFrame
+    balances: DataFrame
+
+
+def canonical(payment_tables: Mapping[str, DataFrame], base: DataFrame, static_0: DataFrame | None, static_cb_0: DataFrame | None,
+              applprev: DataFrame, person: DataFrame, debitcard: DataFrame, cfg: Settings = DEFAULT) -> Canonical:
+    """All bureau tables as one canonical history: one pass over each, one left join per side of a case."""
+    payments = union_payments(payment_tables, cfg)
+    cases = case_universe(base, payments)
+    sides = cases.join(income(static_0, static_cb_0), "case_id", "left").join(declared(person), "case_id", "left")
+    return Canonical(payments, sides, instalments(applprev), balance_proxy(debitcard, cases))
+
+
 # -- direct aggregates: the relational short cut to a linear model --------------------------------
 
 

@@ -139,6 +139,16 @@ def feed_mandates(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(_text("user_id").alias("case_id"), payee.alias("payee"), (F.col("value") + 5).alias("amount"))
 
 
+def feed_balances(spark: SparkSession, folder: str) -> DataFrame:
+    """Balances around the purchases of the feed."""
+    e = table(spark, folder, "events").filter("event_type = 'purchase'")
+    days = F.floor((F.col("ts").cast("timestamp").cast("double") - 1704067200) / 10800).cast("int")
+    return e.select(
+        _text("user_id").alias("case_id"), F.concat(F.lit("acc"), (F.col("event_id") % 3).cast("string")).alias("account_id"),
+        F.when(F.col("event_id") % 3 == 0, "savings").when(F.col("event_id") % 3 == 1, "current").otherwise("card").alias("acct_type"),
+        F.date_add(F.lit("2023-01-01").cast("date"), days).alias("bdate"), (F.col("value") * 20 - 300).alias("balance"))
+
+
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return e.select(
