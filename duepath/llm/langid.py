@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from duepath.llm.rows import few_of_each
 
 SAMPLE_DOCS, SAMPLE_PIECES, SAMPLE_CHARS, DICT_BYTES = 250, 4, 100, 32_768
-PIECE, HEAD, LEVEL = 1024, 256, 9
+PIECE, HEAD, LEVEL = 1024, 160, 9
 #: Below this score (the share of the second-best size that the best dictionary saves) a text is rejected. Nearly all
 #: texts of over 256 bytes in a learned language save 0.07 and more, texts in no learned one, mixed ones and junk at most 0.01.
 MIN_SCORE = 0.02
