@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,6 +164,22 @@ class Calibrator:
         known = s.isNotNull() & ~F.isnan(s)
         return rows.withColumns({alias: F.when(known, out), f"{alias}_extrapolated": F.when(known, F.col("_r"))}).drop("_within", "_v", "_r")
 
+    # -- storage ----------------------------------------------------------------
+    def save(self, path: str) -> None:
+        """The curve and the counted knots as tables, and one row of numbers beside them."""
+        spark = self.knots.sparkSession
+        line = self.backbone or Backbone(float("nan"), float("nan"))
+        row = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("knots", "curve", "backbone")} | {"intercept": line.intercept, "slope": line.slope}
+        self.knots.write.parquet(f"{path}/knots")
+        self.curve.write.parquet(f"{path}/curve")
+        spark.createDataFrame([row]).write.parquet(f"{path}/params")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Calibrator":
+        row = spark.read.parquet(f"{path}/params").first().asDict()
+        line = Backbone(row.pop("intercept"), row.pop("slope"))
+        return cls(knots=spark.read.parquet(f"{path}/knots"), curve=spark.read.parquet(f"{path}/curve"), backbone=None if math.isnan(line.slope) else line, **row)
+
     # -- anchoring --------------------------------------------------------------
     def anchored_at(self, df: DataFrame, target: float, score: str = "raw", tol: float = 1e-9) -> "Calibrator":
         """The same curve shifted in log-odds so that the mean rate is ``target``. Rates are
@@ -384,6 +400,12 @@ def block_intervals(table: DataFrame) -> DataFrame:
         sc.band_range(F.col("_lo"), F.col("_hi")).alias("band_range"), "upper_is_policy")
 
 
+def row_intervals(df: DataFrame, table: DataFrame, pd_col: str = "pd") -> DataFrame:
+    """Rows with the interval of the block their rate is nearest to: score, its bounds, width and the range of bands."""
+    sides = block_intervals(table).select("block", F.col("score").alias("block_score"), "score_lo", "score_hi", "width", "band_range", "upper_is_policy")
+    return block_for_pd(df, table, pd_col).join(sides, "block", "left")
+
+
 def block_for_pd(df: DataFrame, table: DataFrame, pd_col: str = "pd") -> DataFrame:
     """Each row with the block whose rate is nearest (the lower one if two are equally near)."""
     rates = table.groupBy(F.col("pd").alias("x")).agg(F.min("block").alias("block"))

@@ -191,6 +191,19 @@ def _(spark, folder):
     return gov.tampered(anchors(spark, folder), event_text()).select("seq", "untouched")
 
 
+def _people(spark, folder):
+    """Customers with a name as written and in plain letters, an e-mail and a score; and the spelling each is registered under."""
+    c = fx.table(spark, folder, "customer")
+    k = F.col("c_custkey")
+    people = _names(spark, folder).join(c.select("c_custkey", "c_acctbal"), "c_custkey").select(
+        "c_custkey", "raw", clean.plain_name(F.col("raw")).alias("name"), F.concat(F.lit("p"), k.cast("string"), F.lit("@example.com")).alias("email"),
+        F.round(F.col("c_acctbal") / 20 + 300, 0).alias("r_score"))
+    words = F.split("name", " ")
+    known = F.when(k % 3 == 0, F.col("name")).when(k % 3 == 1, F.concat_ws(" ", words[0], F.element_at(words, -1))).otherwise(
+        F.concat_ws(" ", F.substring("name", 1, 1), F.element_at(words, -1)))
+    return people, known
+
+
 @q("j06_claim_verification", """
 with dx_claim as (select seq as claim_id, sha256(cast(case when seq % 11 = 0 then -1 else seq end as varchar)) as tx_hash,
   case when seq % 5 <> 0 then sha256(concat('user-', case when seq % 13 = 0 then '0x' else substr(user_id, 6) end, ':a-salt-of-sixteen-or-more')) end as who,
@@ -210,6 +223,35 @@ def _(spark, folder):
     return gov.verify_claims(claims, a, registry, event_text()).select("claim_id", "verdict")
 
 
+@q("j06_claims_by_name", f"""
+with dx_own as (select a.seq, a.tx_hash, a.anchored_hash, a.body, a.event_score, p.c_custkey, p.email, p.name, string_split(p.name, ' ') as w,
+    sha256(concat(email, '|', case p.c_custkey % 3 when 0 then name when 1 then concat(string_split(name, ' ')[1], ' ', string_split(name, ' ')[-1])
+      else concat(name[1:1], ' ', string_split(name, ' ')[-1]) end, ':{SALT}')) as user_hash
+  from dx_anchor a join orders o on o.o_orderkey = a.seq join dx_people p on p.c_custkey = o.o_custkey),
+dx_last as (select user_hash, arg_max(anchored_hash, seq) as latest_hash from dx_own group by user_hash),
+dx_claim as (select seq as claim_id, sha256(cast(case when seq % 11 = 0 then -1 else seq end as varchar)) as tx_hash,
+  case when c_custkey % 10 = 4 then 'x' else email end as said, case when seq % 5 <> 0 then list_filter([name, case when len(w) > 2 then concat(w[1], ' ', w[-1]) end,
+    case when len(w) >= 2 then concat(w[1][1:1], ' ', w[-1]) end], lambda v: v is not null) end as names,
+  case when seq % 7 <> 0 then event_score + case when seq % 19 = 0 then 3 else 0 end end as claimed from dx_own)
+select claim_id, case when a.tx_hash is null then 'NO MATCH' when sha256(a.body) <> a.anchored_hash then 'TAMPERED' when r.latest_hash <> a.anchored_hash then 'NOT CONFIRMED'
+  when not list_contains(list_transform(names, lambda v: sha256(concat(said, '|', v, ':{SALT}'))), a.user_hash) then 'WRONG IDENTITY'
+  when abs(a.event_score - claimed) >= 0.5 then 'WRONG SCORE' when names is null or claimed is null then 'FOUND' else 'VERIFIED' end as verdict
+from dx_claim c left join dx_own a on a.tx_hash = c.tx_hash left join dx_last r on r.user_hash = a.user_hash""")
+def _(spark, folder):
+    i, k = F.col("seq"), F.col("c_custkey")
+    people, known = _people(spark, folder)
+    owner = fx.table(spark, folder, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("c_custkey"))
+    named = owner.join(people.select("c_custkey", "raw", "email", gov.identity_hash(F.col("email"), known, SALT).alias("person_hash")), "c_custkey")
+    own = anchors(spark, folder).drop("user_hash").join(named.withColumnRenamed("person_hash", "user_hash"), "seq")
+    registry = own.groupBy("user_hash").agg(F.max_by("anchored_hash", "seq").alias("latest_hash"))
+    said = F.when(k % 10 == 4, "x").otherwise(F.col("email"))
+    claims = own.select(
+        i.alias("claim_id"), F.sha2(F.when(i % 11 == 0, F.lit(-1)).otherwise(i).cast("string"), 256).alias("tx_hash"),
+        gov.identity_candidates(said, F.when(i % 5 != 0, F.col("raw")), SALT).alias("claimed_user_hashes"),
+        F.when(i % 7 != 0, F.col("event_score") + F.when(i % 19 == 0, 3).otherwise(0)).alias("claimed_score"))
+    return gov.verify_claims(claims, own, registry, event_text()).select("claim_id", "verdict")
+
+
 @q("j07_identity_verification", f"""
 with dx_reg as (select sha256(concat(email, '|', case c_custkey % 3 when 0 then name when 1 then concat(string_split(name, ' ')[1], ' ', string_split(name, ' ')[-1])
     else concat(name[1:1], ' ', string_split(name, ' ')[-1]) end, ':{SALT}')) as user_hash, r_score, {BAND.format('r_score')} as r_band from dx_people),
@@ -221,14 +263,8 @@ select p.c_custkey as claim_id, spelling, case when spelling is null then 'NO MA
   when got_band <> case when p.c_custkey % 9 = 0 then 'Z' else {BAND.format('p.r_score')} end then 'WRONG BAND' else 'VERIFIED' end as verdict
 from dx_people p left join dx_hit h on h.c_custkey = p.c_custkey""")
 def _(spark, folder):
-    c = fx.table(spark, folder, "customer")
     k = F.col("c_custkey")
-    people = _names(spark, folder).join(c.select("c_custkey", "c_acctbal"), "c_custkey").select(
-        "c_custkey", "raw", clean.plain_name(F.col("raw")).alias("name"), F.concat(F.lit("p"), k.cast("string"), F.lit("@example.com")).alias("email"),
-        F.round(F.col("c_acctbal") / 20 + 300, 0).alias("r_score"))
-    words = F.split("name", " ")
-    known = F.when(k % 3 == 0, F.col("name")).when(k % 3 == 1, F.concat_ws(" ", words[0], F.element_at(words, -1))).otherwise(
-        F.concat_ws(" ", F.substring("name", 1, 1), F.element_at(words, -1)))
+    people, known = _people(spark, folder)
     registry = people.select(gov.identity_hash(F.col("email"), known, SALT).alias("user_hash"), F.col("r_score").alias("score"), sc.band(F.col("r_score")).alias("band"))
     claims = people.select(
         k.alias("claim_id"), F.col("raw").alias("name"), F.when(k % 10 == 4, "x").otherwise(F.col("email")).alias("email"),
@@ -332,7 +368,13 @@ def _(spark, folder):
     return gov.rate_flags(fx.requests(spark, folder), 2).select("seq", "req_key", "over_limit")
 
 
-@q("x05_rate_limit")
+@q("x05_rate_limit", """
+with recursive dx_o as (select *, epoch_us(ts) as us, row_number() over (partition by req_key order by ts, seq) as rn from fx_requests),
+dx_walk as (select req_key, seq, rn, true as allowed, cast(null as bigint) as before, us as latest from dx_o where rn = 1
+  union all select req_key, seq, rn, allowed, case when allowed then latest else before end, case when allowed then us else latest end from (
+    select o.req_key, o.seq, o.rn, o.us, w.before, w.latest, coalesce((o.us - w.before < 3600000000)::int, 0) + (o.us - w.latest < 3600000000)::int < 2 as allowed
+    from dx_walk w join dx_o o on o.req_key = w.req_key and o.rn = w.rn + 1))
+select seq, req_key, allowed from dx_walk""")
 def _(spark, folder):
     return jobs.drain(jobs.rate_limit(hit_stream(spark, folder), 2), "rate-limit").select("seq", "req_key", "allowed")
 

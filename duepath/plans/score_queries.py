@@ -13,7 +13,7 @@ from duepath.plans.metric_queries import SPLIT
 from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register, rounded
 from duepath.plans.source_queries import assembled
-from duepath.session import cut_lineage
+from duepath.session import cut_lineage, fresh_path
 from duepath.sources import tables as fx
 
 
@@ -303,7 +303,36 @@ def _(spark, folder):
     return rounded(calibrate.block_intervals(table), 8)
 
 
-@q("k20_pooled_evidence")
+@q("k19_row_intervals", f"""
+with dx_i as (select *, greatest({WILSON.format(sign='-')}, 0) as pd_lo, least({WILSON.format(sign='+')}, 1) as pd_hi, (select {SCORE_OF.format('min(pd)')} from dx_floored) as ceiling from dx_floored),
+dx_j as (select *, pd_lo <= 0 as none, {SCORE_OF.format('pd_lo')} as raw_hi, least({SCORE_OF.format('least(greatest(pd_hi, 1e-9), 0.5)')}, ceiling) as lo, least({SCORE_OF.format('pd')}, ceiling) as pt from dx_i),
+dx_h as (select *, case when none then ceiling else least(raw_hi, ceiling) end as hi from dx_j),
+dx_near as (select id, arg_min(block, abs(b.pd - p.pd) * 1e6 + block / 1e6) as block from dx_hybrid p, dx_floored b group by id)
+select id, round(pt, 1) as block_score, round(lo, 1) as score_lo, round(hi, 1) as score_hi, round(hi - lo, 1) as width,
+  case when {BAND.format('lo')} = {BAND.format('hi')} then {BAND.format('lo')} else concat({BAND.format('lo')}, '-', {BAND.format('hi')}) end as band_range
+from dx_near join dx_h using (block)""")
+def _(spark, folder):
+    cal, evals = fitted(spark, folder)
+    table = calibrate.blocks(cal.knots, pd_floor=0.2, tol=1e-12)
+    rows = calibrate.row_intervals(cal.predict(evals), table)
+    return rounded(rows.select("id", "block_score", "score_lo", "score_hi", "width", "band_range"), 8)
+
+
+@q("k06_reloaded_rate", "select id, round(pd, 8) as pd, extrapolated from dx_hybrid")
+def _(spark, folder):
+    cal, evals = fitted(spark, folder)
+    path = fresh_path(spark, "calibrator")
+    cal.save(path)
+    return calibrate.Calibrator.load(spark, path).predict(evals).select("id", F.round("pd", 8).alias("pd"), F.col("pd_extrapolated").alias("extrapolated"))
+
+
+@q("k20_pooled_evidence", """
+with recursive dx_lists as (select list(cn order by i) as cn, list(ck order by i) as ck, list(n order by i) as n, list(k order by i) as k, count(*) as m from dx_points),
+dx_wide as (select i, i as l, i as r, 0 as step from dx_points
+  union all select i, l2, case when s.cn[r] - s.cn[l2] + s.n[l2] < 200 and r < m then r + 1 else r end, step + 1 from (
+    select w.*, case when l > 1 then l - 1 else l end as l2 from dx_wide w, dx_lists s where s.cn[r] - s.cn[l] + s.n[l] < 200 and (l > 1 or r < m)) q, dx_lists s)
+select cast(i - 1 as bigint) as knot, p.x, s.cn[r] - s.cn[l] + s.n[l] as n_local, s.ck[r] - s.ck[l] + s.k[l] as k_local, cast(r - l + 1 as int) as knots_used
+from (select i, arg_max(l, step) as l, arg_max(r, step) as r from dx_wide group by i) e join dx_points p using (i), dx_lists s""")
 def _(spark, folder):
     cal, _ = fitted(spark, folder)
     return calibrate.pooled_evidence(cal.knots)
@@ -442,6 +471,24 @@ def _(spark, folder):
     return spark.createDataFrame(modeling.permutation_importance(model, late, MODEL_COLS), "feature string, gini_drop double")
 
 
+DRAW = "cast(('0x' || md5(concat('5/mean_dpd:', {0}, ':', {1}))[1:12]) as bigint) % {2}"
+
+
+@q("t05_permuted_column", f"""
+with recursive dx_rows as (select case_id, mean_dpd, row_number() over (order by case_id) - 1 as place from dx_assembled),
+dx_box as (select count(*) as n, cast(floor(sqrt(count(*))) as bigint) as a, cast(ceil(count(*) / floor(sqrt(count(*)))) as bigint) as b from dx_rows),
+dx_walk as (select place as own, place, 0 as turn from dx_rows
+  union all select own, l2 * b + (r1 + {DRAW.format(3, 'l2', 'b')}) % b, turn + 1 from (
+    select *, (l1 + {DRAW.format(2, 'r1', 'a')}) % a as l2 from (
+      select *, (r0 + {DRAW.format(1, 'l1', 'b')}) % b as r1 from (
+        select own, turn, a, b, place % b as r0, (place // b + {DRAW.format(0, 'place % b', 'a')}) % a as l1 from dx_walk, dx_box where turn = 0 or place >= n))))
+select t.case_id, round(f.mean_dpd, 6) as mean_dpd from (select own, arg_max(place, turn) as place from dx_walk group by own) m
+join dx_rows f on f.place = m.own join dx_rows t on t.place = m.place""")
+def _(spark, folder):
+    rows = assembled(spark, folder).select(F.col("case_id").cast("bigint").alias("case_id"), F.col("mean_dpd").cast("double").alias("mean_dpd"))
+    return rounded(modeling.shuffled(rows, "mean_dpd", 5))
+
+
 @q("t06_null_importance")
 def _(spark, folder):
     fit, _ = fit_and_late(spark, folder)
