@@ -8,7 +8,7 @@ from duepath.functions import score as sc
 from duepath.operators import metrics, ranking, reports, streams
 from duepath.operators import features as ft
 from duepath.plans.feature_queries import SQL as FEATURE_SQL
-from duepath.plans.feature_queries import matrix
+from duepath.plans.feature_queries import column_sql, matrix, shown
 from duepath.plans.history_queries import cycles
 from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register, rounded
@@ -272,18 +272,35 @@ def _(spark, folder):
 
 
 def parity_matrix(spark, folder):
-    """All parity features of the cases, with the target where it is known."""
+    """All parity features of the cases, to the six digits they are shown with, and the target where it is known."""
     labels = fx.base(spark, folder).select(F.col("case_id").cast("string").alias("case_id"), "target")
-    return cut_lineage(matrix(spark, folder, list(ft.PARITY_NAMES)).join(labels, "case_id", "left"), "parity")
+    return cut_lineage(shown(matrix(spark, folder, list(ft.PARITY_NAMES))).join(labels, "case_id", "left"), "parity")
+
+
+NAMED = ", ".join(f"'{n}'" for n in ft.PARITY_NAMES)
+SPLIT["dx_parity"] = f"""
+select f.*, target from (select case_id, {", ".join(column_sql(n) for n in ft.PARITY_NAMES)} from dx_features) f
+left join (select cast(case_id as varchar) as case_id, target from dx_base) b on b.case_id = f.case_id"""
+SPLIT["dx_parity_long"] = f"select case_id, target, feature, value from (unpivot dx_parity on {', '.join(ft.PARITY_NAMES)} into name feature value value)"
+SPLIT["dx_parity_ranks"] = """
+select case_id, feature, list_position(names, feature) as no, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0 as r
+from dx_parity_long, (select [""" + NAMED + """] as names)"""
 
 
 # The queries above keep the columns of their SQL; those named _all take every parity feature.
-@q("m06_univariate_gini_all")
+@q("m06_univariate_gini_all", f"""
+select feature, cast(n as bigint) as n, round(abs(2 * coalesce(auc, 0.5) - 1), 8) as abs_gini
+from ({auc_sql('(select * from dx_parity_long where target is not null)', 'feature', 'value')}) where n >= 10""")
 def _(spark, folder):
     return rounded(metrics.univariate_gini(parity_matrix(spark, folder), ft.PARITY_NAMES, min_rows=10), 8)
 
 
-@q("m10_rank_correlation_all")
+@q("m10_rank_correlation_all", f"""
+with dx_pairs as (select a.name as x, b.name as y, a.no as i, b.no as j from (select unnest([{NAMED}]) as name, unnest(range(1, {len(ft.PARITY_NAMES) + 1})) as no) a
+  join (select unnest([{NAMED}]) as name, unnest(range(1, {len(ft.PARITY_NAMES) + 1})) as no) b on a.no < b.no),
+dx_rho as (select a.no as i, b.no as j, case when stddev_pop(a.r) > 0 and stddev_pop(b.r) > 0 then corr(a.r, b.r) end as rho
+  from dx_parity_ranks a join dx_parity_ranks b on a.case_id = b.case_id and a.no < b.no group by a.no, b.no)
+select x, y, round(rho, 8) as rho from dx_pairs left join dx_rho using (i, j)""")
 def _(spark, folder):
     return rounded(metrics.spearman(parity_matrix(spark, folder), "case_id", ft.PARITY_NAMES), 8)
 
