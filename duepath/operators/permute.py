@@ -20,7 +20,7 @@ def walks(n: int) -> int:
     """How often a place outside 0..n-1 has to be moved on: as often as there are spare cells, or until one in 1e30 is left."""
     a, b = sides(n)
     spare = a * b - n
-    return 0 if not spare else min(spare, math.ceil(30 * math.log(10) / math.log(a * b / spare)))
+    return 0 if not spare or n < 1 else min(spare, math.ceil(30 * math.log(10) / math.log(a * b / spare)))
 
 
 def _draw(key: Column, turn: Column, value: Column, size: int) -> Column:

@@ -321,6 +321,21 @@ def moved(place, n, key):
             return place
 
 
+def test_stored_calibrator(sample, tmp_path):
+    for k, rows in enumerate((sample, sample.filter("raw < 0.003"))):  # the second has no rising line
+        cal = calibrate.fit(rows, moc_logodds=0.1)
+        cal.save(str(tmp_path / str(k)))
+        back = calibrate.Calibrator.load(sample.sparkSession, str(tmp_path / str(k)))
+        assert back.backbone == cal.backbone and (back.n_knots, back.lead, back.trail, back.tail, back.moc_logodds) == (cal.n_knots, cal.lead, cal.trail, cal.tail, cal.moc_logodds)
+        a, b = (c.predict(sample.limit(50)).orderBy("id").toPandas() for c in (cal, back))
+        assert np.array_equal(a.pd, b.pd)
+
+
+def test_permutation_of_nothing(spark):
+    empty = planted(spark).limit(0)
+    assert modeling.shuffled(empty, "a", 1).count() == 0 and permute.walks(0) == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000, 4097])
 def test_permutations(spark, n):
     got = [r[0] for r in spark.range(n).select(permute.permuted(F.col("id"), n, F.lit("k/3"))).collect()]
