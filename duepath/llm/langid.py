@@ -29,7 +29,7 @@ PIECE, HEAD, LEVEL = 1024, 160, 9
 #: Below this score (the share of the second-best size that the best dictionary saves) a text is rejected. Nearly all
 #: texts of over 256 bytes in a learned language save 0.07 and more, texts in no learned one, mixed ones and junk at most 0.01.
 MIN_SCORE = 0.02
-UNKNOWN = "und"
+UNKNOWN, PART = "und", 512
 
 _LETTERS = bytes(b if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -118,8 +118,10 @@ def keep_identified(docs: DataFrame, model: Classifier) -> DataFrame:
     """The documents, all columns, whose language is told with a clear margin."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            found = [model.classify(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array([n != UNKNOWN and s >= MIN_SCORE for n, s in found], pa.bool_()))
+        for whole in it:
+            # in parts, so that a task holds a copy of few texts beside the batch
+            for batch in (whole.slice(at, PART) for at in range(0, whole.num_rows, PART)):
+                found = [model.classify(t.as_py()) for t in batch.column("text")]
+                yield batch.filter(pa.array([n != UNKNOWN and s >= MIN_SCORE for n, s in found], pa.bool_()))
 
     return docs.mapInArrow(batches, docs.schema)
