@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
 import numpy as np
@@ -13,17 +14,22 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from duepath.functions import score as sc
 from duepath.operators import flags
 from duepath.operators import metrics
-from duepath.operators.asof import numbered
+from duepath.operators.asof import numbered, parts_for
 from duepath.operators.ordered import Lag, OrderedGroups, RunningSum
-from duepath.operators.permute import permuted
+from duepath.operators.permute import draws, moved, permuted
 from duepath.operators.ranking import two_way_split
 from duepath.session import cut_lineage
 
 
+# Numbers that a task of a permutation holds at once.
+CELLS = 2_000_000
+
+
 def top_reasons(contributions: Column, k: int = 3, increasing: bool = True) -> Column:
     """The k largest pushes in one direction from an array of (contribution, feature)."""
     if increasing:
@@ -96,8 +102,8 @@ class BoostedModel:
     has no monotone constraints; ``monotone_audit`` reports where the model goes against one."""
 
     def __init__(self, train: DataFrame, columns: Sequence[str], target: str = "target", validation: str | None = None,
-                 seed: int = 42, **params):
-        self.prep = Prepared(train, columns, scale=False)
+                 seed: int = 42, prep: Prepared | None = None, **params):
+        self.prep = prep or Prepared(train, columns, scale=False)
         self.columns = list(columns)
         counts = train.agg(F.count_if(F.col(target) == 1).alias("p"), F.count_if(F.col(target) == 0).alias("n")).first()
         weight = counts["n"] / max(1, counts["p"])
@@ -253,17 +259,63 @@ def shuffled(df: DataFrame, column: str, seed: int, key: str = "case_id") -> Dat
     return rows.drop(column).join(rows.select(to.alias("_at"), column), "_at").drop("_at")
 
 
-def permuted_columns(rows: DataFrame, n: int, columns: Sequence[str], repeats: int, seed: int) -> DataFrame:
-    """_at, repeat and ``got``: for each numbered row what each of ``columns`` has after its own permutation, as an array.
+def permuted_columns(rows: DataFrame, n: int, columns: Sequence[str], repeats: int, seed: int, cells: int = CELLS) -> DataFrame:
+    """_at, repeat and ``got``: for each numbered row what each of ``columns`` has after its own permutation, as an array."""
+    columns, repeats = list(columns), max(1, repeats)
+    keys = ["/".join(map(str, (seed, r, j))) for r in range(repeats) for j in range(len(columns))]
+    return _moved_cells(rows, n, columns, keys, len(columns), cells)
+
+
+def _moved_cells(rows: DataFrame, n: int, columns: Sequence[str], keys: Sequence[str], length: int, cells: int = CELLS) -> DataFrame:
+    """The columns, over and over, each moved by the permutation of the next of ``keys``; _at, repeat and ``got``, arrays of ``length``.
 
-    All columns of all repeats move in one shuffle, a number each.
+    All of them move in one shuffle: what a few rows send to a block of neighbouring rows is one record of arrays, and a
+    block holds at most about ``cells`` numbers.
     """
-    cells = rows.select("_at", F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("j", "x"))
-    cells = cells.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    to = permuted(F.col("_at"), n, permutation_key(seed, F.col("repeat"), F.col("j")))
-    moved = cells.select(to.alias("_at"), "repeat", "j", "x")
-    # one entry for each of the columns
-    return moved.groupBy("_at", "repeat").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda c: c["x"]).alias("got"))
+    width, copies = len(keys), len(keys) // len(columns)
+    lists = width // length
+    block = max(1, cells // width)
+
+    def scatter(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn: list[list[np.ndarray]] = []
+        for batch in it:
+            drawn = drawn or [draws(n, k) for k in keys]
+            few = max(1, cells // 4 // width)
+            for start in range(0, batch.num_rows, few):
+                part = batch.slice(start, few)
+                at = part.column("_at").to_numpy()
+                flat = part.column("x").flatten()
+                x, unknown = (np.asarray(v).reshape(len(at), -1) for v in (flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)))
+                to = np.stack([moved(at, n, d) for d in drawn], 1)
+                home = (to // block).ravel()
+                order = np.argsort(home, kind="stable")
+                cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+                # the place inside the block, row by row; a null is marked by a negative one
+                place = ((to % block) * width + np.arange(width)).ravel()
+                place = np.where(np.tile(unknown, copies).ravel(), -1 - place, place)[order].astype(np.int64)
+                value = np.tile(x, copies).ravel()[order].astype(np.float64)
+                ends = [*cuts[1:], len(order)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(home[order][cuts], pa.int64()), pa.array([place[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
+                    pa.array([value[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["block", "place", "value"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        first = table.column("block")[0].as_py() * block
+        here = min(block, n - first)
+        place = np.concatenate([np.frombuffer(b, np.int64) for b in table.column("place").to_pylist()])
+        value = np.concatenate([np.frombuffer(b, np.float64) for b in table.column("value").to_pylist()])
+        unknown = place < 0
+        place = np.where(unknown, -1 - place, place)
+        got, null = np.zeros(here * width), np.ones(here * width, bool)
+        got[place], null[place] = value, unknown
+        arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, here * width + 1, length), pa.int32()), pa.array(got, mask=null))
+        return pa.table({"_at": pa.array(np.repeat(first + np.arange(here), lists)), "repeat": pa.array(np.tile(np.arange(lists, dtype=np.int32), here)), "got": arrays})
+
+    values = rows.select("_at", F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    # a range of numbered rows is too many cells for one task
+    dealt = values.repartition(parts_for(n * width, 2 * cells), "_at")
+    sent = dealt.mapInArrow(scatter, "block bigint, place binary, value binary")
+    return sent.groupBy("block").applyInArrow(gather, "_at bigint, repeat int, got array<double>")
 
 
 def permutation_importance(model, frame: DataFrame, columns: Sequence[str], repeats: int = 3, seed: int = 42, key: str = "case_id",
@@ -282,9 +334,20 @@ def permutation_importance(model, frame: DataFrame, columns: Sequence[str], repe
     own = F.array(*[F.col(c).cast("double") for c in columns])
     both = rows.withColumn("_own", own).join(got, "_at")
     if linear:
-        weights = F.array(*[F.lit(model.weights.get(c, 0.0)) for c in columns])
-        change = F.transform(F.arrays_zip(weights.alias("w"), F.col("got").alias("g"), F.col("_own").alias("o")), lambda t: F.col("_z") + t["w"] * (t["g"] - t["o"]))
-        each = both.select(target, "repeat", F.posexplode(change).alias("j", "raw"))
+        weights = np.array([model.weights.get(c, 0.0) for c in columns])
+
+        def changes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                for start in range(0, batch.num_rows, 4096):
+                    part = batch.slice(start, 4096)
+                    y, repeat, z = (part.column(c) for c in ("y", "repeat", "_z"))
+                    got, own = (part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1) for c in ("got", "_own"))
+                    raw = z.to_numpy(zero_copy_only=False)[:, None] + weights * (got - own)
+                    row = np.repeat(np.arange(len(y)), len(columns))
+                    yield pa.RecordBatch.from_arrays([y.take(pa.array(row)), repeat.take(pa.array(row)), pa.array(np.tile(np.arange(len(columns), dtype=np.int32), len(y))), pa.array(raw.ravel())], names=["y", "repeat", "j", "raw"])
+
+        each = both.select(F.col(target).cast("double").alias("y"), "repeat", "_z", "_own", "got").mapInArrow(changes, "y double, repeat int, j int, raw double")
+        each = each.withColumnRenamed("y", target)
     else:
         kinds = dict(frame.dtypes)
         copies = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("j"))
@@ -295,10 +358,30 @@ def permutation_importance(model, frame: DataFrame, columns: Sequence[str], repe
     return [(c, found.get(c, 0.0)) for c in columns]
 
 
+def _at_once(df: DataFrame, fit: Callable, items: Sequence, most: int = 4) -> list:
+    """``fit`` of each item, a few at a time: a boosted model is many short jobs, one after the other."""
+    with ThreadPool(most) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(fit), items)
+
+
 def null_importance(train: DataFrame, columns: Sequence[str], runs: int = 5, seed: int = 42, percentile: float = 0.75, **params) -> list[tuple[str, float, float, bool]]:
-    """(feature, importance, its value at a percentile of shuffled-target runs, kept)."""
-    real = BoostedModel(train, columns, seed=seed, **params).importance
-    nulls = [BoostedModel(shuffled(train, "target", seed + r), columns, seed=seed, **params).importance for r in range(runs)]
+    """(feature, importance, its value at a percentile of shuffled-target runs, kept).
+
+    The targets of all runs move in one shuffle and are written beside the filled columns, which all fits read.
+    """
+    columns = list(columns)
+    prep = Prepared(train, columns, scale=False)
+    rows = numbered(train.select("case_id", *columns, "target"), ["case_id"], "_at")
+    n = rows.count()
+    drawn = _moved_cells(rows, n, ["target"], ["/".join(map(str, (seed + r, "target"))) for r in range(runs)], runs).select("_at", "got") if runs else rows.select("_at", F.array().cast("array<double>").alias("got"))
+    filled = prep.apply(rows).join(drawn, "_at").select(*columns, "target", "got").repartition(parts_for(n * len(columns), CELLS))
+    filled = cut_lineage(filled, "null-targets")
+
+    def fitted(run: int) -> dict[str, float]:
+        given = filled if run < 0 else filled.withColumn("target", F.get("got", F.lit(run)).cast(filled.schema["target"].dataType))
+        return BoostedModel(given, columns, seed=seed, prep=prep, **params).importance
+
+    real, *nulls = _at_once(filled, fitted, range(-1, runs))
     out = []
     for c in columns:
         ranked = sorted(n[c] for n in nulls)
@@ -337,13 +420,17 @@ def select_features(train: DataFrame, columns: Sequence[str], forced: Sequence[s
 
 def random_search(train: DataFrame, columns: Sequence[str], grid: Sequence[dict], order: str = "case_id") -> list[tuple[int, float]]:
     """(position in the grid, stability on the later slice) of every setting, best first."""
+    columns = list(columns)
     parts = two_way_split(train, "wk", order)
-    fit, late = parts.filter(F.col("slice") == "fit"), parts.filter(F.col("slice") == "holdout")
-    out = []
-    for i, params in enumerate(grid):
-        scored = BoostedModel(fit, columns, **params).predict(late)
-        out.append((i, metrics.gini_stability(scored).first()["stability"]))
-    return sorted(out, key=lambda t: -t[1])
+    prep = Prepared(parts.filter(F.col("slice") == "fit"), columns, scale=False)
+    filled = cut_lineage(prep.apply(parts).select(*columns, "target", "wk", "slice"), "filled")
+    fit, late = filled.filter(F.col("slice") == "fit"), filled.filter(F.col("slice") == "holdout")
+
+    def stability(params: dict) -> float:
+        scored = BoostedModel(fit, columns, prep=prep, **params).predict(late)
+        return metrics.gini_stability(scored).first()["stability"]
+
+    return sorted(enumerate(_at_once(filled, stability, grid)), key=lambda t: -t[1])
 
 
 def cross_representation(matrices: dict[str, DataFrame], columns: Sequence[str], pairs: Sequence[tuple[str, str]], order: str = "case_id") -> list[tuple[str, str, float]]:

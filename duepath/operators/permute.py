@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,3 +54,35 @@ def permuted(index: Column, n: int, key: Column) -> Column:
     if not more:
         return first
     return F.aggregate(F.sequence(F.lit(1), F.lit(more)), first, lambda s, _: F.when(s < n, s).otherwise(once(s)))
+
+
+def draws(n: int, key: str) -> list[np.ndarray]:
+    """What the rounds of ``permuted`` add under ``key``: a number for each value of the coordinate that is hashed."""
+    a, b = sides(n)
+
+    def one(turn: int, value: int, size: int) -> int:
+        return int(hashlib.md5(f"{key}:{turn}:{value}".encode()).hexdigest()[:12], 16) % size
+
+    return [np.fromiter((one(turn, v, size) for v in range(values)), np.int64, values) for turn in range(ROUNDS) for size, values in [(a, b) if turn % 2 == 0 else (b, a)]]
+
+
+def moved(index: np.ndarray, n: int, drawn: list[np.ndarray]) -> np.ndarray:
+    """``permuted`` of a whole array, with the ``draws`` of its key: about 2 sqrt(n) hashes a round, however long the array."""
+    a, b = sides(n)
+
+    def once(place: np.ndarray) -> np.ndarray:
+        left, right = np.divmod(place, b)
+        for turn, add in enumerate(drawn):
+            if turn % 2 == 0:
+                left = (left + add[right]) % a
+            else:
+                right = (right + add[left]) % b
+        return left * b + right
+
+    place = once(np.asarray(index, np.int64))
+    for _ in range(walks(n)):
+        out = np.flatnonzero(place >= n)
+        if not len(out):
+            break
+        place[out] = once(place[out])
+    return place

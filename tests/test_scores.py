@@ -379,3 +379,39 @@ def test_shuffle_keeps_the_values(spark):
     assert sorted(r[0] for r in rows.select("a").collect()) == sorted(r[0] for r in mixed.select("a").collect())
     same = rows.select("case_id", "a").join(mixed.select("case_id", F.col("a").alias("z")), "case_id").filter("a = z").count()
     assert same < 30
+
+
+def test_moved_arrays_are_the_permutation(spark):
+    from duepath.operators import permute
+
+    for n in (1, 2, 7, 150):
+        rows = spark.range(n).select("id", permute.permuted(F.col("id"), n, F.lit("5/x")).alias("to")).orderBy("id").collect()
+        assert permute.moved(np.arange(n), n, permute.draws(n, "5/x")).tolist() == [r["to"] for r in rows]
+
+
+def test_permuted_columns_in_small_blocks(spark):
+    rows = spark.createDataFrame([(i, float(i), None if i % 3 else 2.0 * i) for i in range(50)], "_at bigint, a double, b double").coalesce(1)
+    got = {(r["_at"], r["repeat"]): r["got"] for r in modeling.permuted_columns(rows, 50, ["a", "b"], 2, 6, cells=40).collect()}
+    assert len(got) == 100
+    for j, own in enumerate(([float(i) for i in range(50)], [None if i % 3 else 2.0 * i for i in range(50)])):
+        for r in range(2):
+            to = [x["to"] for x in spark.range(50).select("id", modeling.permuted(F.col("id"), 50, F.lit(f"6/{r}/{j}")).alias("to")).orderBy("id").collect()]
+            assert [got[to[i], r][j] for i in range(50)] == own
+
+
+def test_null_targets_move_in_one_pass(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 2)) for i in range(40)], "case_id bigint, a double, target double")
+    seen, passes = [], []
+
+    class Seen:
+        def __init__(self, train, columns, **_):
+            seen.append(sorted((r["a"], r["target"]) for r in train.collect()))
+            self.importance = dict.fromkeys(columns, 0.0)
+
+    numbered = modeling.numbered
+    monkeypatch.setattr(modeling, "BoostedModel", Seen)
+    monkeypatch.setattr(modeling, "numbered", lambda *a: passes.append(1) or numbered(*a))
+    modeling.null_importance(rows, ["a"], 3, seed=8)
+    assert len(passes) == 1
+    expected = [rows, *[modeling.shuffled(rows, "target", 8 + r) for r in range(3)]]
+    assert sorted(seen) == sorted(sorted((r["a"], r["target"]) for r in e.collect()) for e in expected)
