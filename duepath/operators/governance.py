@@ -293,20 +293,21 @@ def verify_claims(claims: DataFrame, anchors: DataFrame, registry: DataFrame, ev
     claims: claim_id, tx_hash, claimed_score and either claimed_user_hash or claimed_user_hashes, the
     ``identity_candidates`` of the person, of which any may match; anchors: tx_hash, user_hash,
     anchored_hash, event columns, event_score; registry: user_hash, latest_hash."""
-    a = anchors.withColumn("recomputed", commit(event_text)).select(
-        "tx_hash", F.col("user_hash").alias("a_user"), "anchored_hash", "recomputed", "event_score")
+    c = F.col
+    a = anchors.withColumn("recomputed", commit(event_text)).withColumn("integrity_ok", F.coalesce(c("recomputed") == F.lower("anchored_hash"), F.lit(False)))
+    a = a.select("tx_hash", F.col("user_hash").alias("a_user"), "anchored_hash", "recomputed", "event_score", "integrity_ok")
     r = registry.select(F.col("user_hash").alias("a_user"), "latest_hash")
     rows = join_one_row(claims, a, ["tx_hash"], hot_groups(claims, ["tx_hash"]), "left")
-    rows = join_one_row(rows, r, ["a_user"], hot_groups(rows, ["a_user"]), "left")
-    c = F.col
     several = "claimed_user_hashes" in claims.columns
+    # Checks that need no registry come before its join, so that their long columns stay behind where nobody asks for them.
     rows = rows.withColumns({
         "found": c("anchored_hash").isNotNull(),
-        "integrity_ok": F.coalesce(c("recomputed") == F.lower("anchored_hash"), F.lit(False)),
-        "on_registry": F.coalesce(F.lower("latest_hash") == F.lower("anchored_hash"), F.lit(False)),
+        "integrity_ok": F.coalesce(c("integrity_ok"), F.lit(False)),
         "identity_match": F.array_contains("claimed_user_hashes", c("a_user")) if several else c("claimed_user_hash") == c("a_user"),
         "score_match": F.abs(c("event_score") - c("claimed_score")) < 0.5,
     })
+    rows = join_one_row(rows, r, ["a_user"], hot_groups(rows, ["a_user"]), "left")
+    rows = rows.withColumn("on_registry", F.coalesce(F.lower("latest_hash") == F.lower("anchored_hash"), F.lit(False)))
     verdict = (
         F.when(~c("found"), "NO MATCH")
         .when(~c("integrity_ok"), "TAMPERED")

@@ -13,6 +13,7 @@ from duepath.plans.raw_oracle import RAW
 from duepath.plans.registry import register
 from duepath.plans.score_queries import BAND
 from duepath.plans.source_queries import NAME_SQL, _names
+from duepath.session import cut_lineage
 from duepath.sources import tables as fx
 from duepath.streaming import jobs
 
@@ -242,7 +243,9 @@ def _(spark, folder):
     people, known = _people(spark, folder)
     owner = fx.table(spark, folder, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("c_custkey"))
     named = owner.join(people.select("c_custkey", "raw", "email", gov.identity_hash(F.col("email"), known, SALT).alias("person_hash")), "c_custkey")
-    own = anchors(spark, folder).drop("user_hash").join(named.withColumnRenamed("person_hash", "user_hash"), "seq")
+    own = anchors(spark, folder).drop("user_hash", "event_hash", "model_hash", "tx_hash").join(named.withColumnRenamed("person_hash", "user_hash"), "seq")
+    # Read by the registry, the claims and their look-up; the transaction's hash is made again from its number.
+    own = cut_lineage(own, "owned-anchors").withColumn("tx_hash", F.sha2(i.cast("string"), 256))
     registry = own.groupBy("user_hash").agg(F.max_by("anchored_hash", "seq").alias("latest_hash"))
     said = F.when(k % 10 == 4, "x").otherwise(F.col("email"))
     claims = own.select(
