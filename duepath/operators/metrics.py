@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duepath.config import DEFAULT, Settings
+from duepath.operators.asof import parts_for
 from duepath.operators.ordered import Index, OrderedGroups, Total
 from duepath.operators.ranking import average_rank, prefix_counts, score_counts
 from duepath.operators.reports import unpivot
@@ -172,6 +173,9 @@ def _moments(it: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
 
 
+RANKS = 2_000_000
+
+
 def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rank correlation of every pair of columns, as (x, y, rho) rows; rows where both are known count.
 
@@ -183,7 +187,9 @@ def spearman(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     # about their middle, ranks and their products stay small
     mid = F.broadcast(long.groupBy("feature").agg(((F.count("value") + 1) / 2).alias("mid")))
     centred = ranked.join(mid, "feature").withColumn("rank", F.col("rank") - F.col("mid"))
-    wide = cut_lineage(centred.groupBy(key).pivot("feature", columns).agg(F.first("rank")).select(*[F.col(f"`{c}`") for c in columns]), "ranks")
+    # tasks of a fixed number of ranks, however many rows there are
+    dealt = centred.repartition(parts_for(long.count(), RANKS), key)
+    wide = cut_lineage(dealt.groupBy(key).pivot("feature", columns).agg(F.first("rank")).select(*[F.col(f"`{c}`") for c in columns]), "ranks")
     parts = wide.mapInArrow(lambda it: _moments(it, columns), "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double")
     s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.greatest(F.col("n"), F.lit(1.0))
