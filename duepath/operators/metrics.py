@@ -105,9 +105,12 @@ def _pairs(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     return left.join(right, "case_id")
 
 
-def _per_feature(df: DataFrame, columns: Sequence[str], fields) -> DataFrame:
-    rows = df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), *fields(c)) for c in columns]).alias("s"))
-    return rows.select(F.inline("s"))
+def _per_feature(pairs: DataFrame, columns: Sequence[str], fields: list[Column]) -> DataFrame:
+    """Aggregates of x and y of every feature, as one row each; grouped rows, since one row of all features' aggregates is
+    more than Spark compiles."""
+    long = pairs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a_{c}").alias("x"), F.col(f"b_{c}").alias("y")) for c in columns])))
+    names = pairs.sparkSession.createDataFrame([(c,) for c in columns], "feature string")
+    return names.join(long.groupBy("feature").agg(*fields), "feature", "left")
 
 
 def _corr(x: Column, y: Column) -> Column:
@@ -120,26 +123,22 @@ def _corr(x: Column, y: Column) -> Column:
 
 def fidelity(a: DataFrame, b: DataFrame, columns: Sequence[str], cfg: Settings = DEFAULT) -> DataFrame:
     """How well matrix ``a`` reproduces ``b``, feature by feature, on shared cases."""
-    def fields(c: str):
-        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        diff = F.abs(x - y)
-        close = F.coalesce(diff <= cfg.parity_abs_tol + cfg.parity_rel_tol * F.greatest(F.abs(y), F.lit(1.0)), F.lit(False))
-        match = close | (x.isNull() & y.isNull())
-        return [F.avg(match.cast("double")).alias("match_rate"), F.avg(diff).alias("mean_abs_diff"),
-                F.when(F.count(x) > 2, _corr(x, y)).alias("corr")]
-
-    return _per_feature(_pairs(a, b, columns), columns, fields)
+    x, y = F.col("x"), F.col("y")
+    diff = F.abs(x - y)
+    close = F.coalesce(diff <= cfg.parity_abs_tol + cfg.parity_rel_tol * F.greatest(F.abs(y), F.lit(1.0)), F.lit(False))
+    match = close | (x.isNull() & y.isNull())
+    return _per_feature(_pairs(a, b, columns), columns, [
+        F.avg(match.cast("double")).alias("match_rate"), F.avg(diff).alias("mean_abs_diff"),
+        F.when(F.count(x) > 2, _corr(x, y)).alias("corr")])
 
 
 def drift(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean shift in units of the sd of ``a``, and the correlation, per feature."""
-    def fields(c: str):
-        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
-        sd = F.stddev_pop(x)
-        return [F.avg(x).alias("mean_a"), F.avg(y).alias("mean_b"),
-                F.when(sd > 0, F.abs(F.avg(x) - F.avg(y)) / sd).alias("std_shift"), _corr(x, y).alias("corr")]
-
-    return _per_feature(_pairs(a, b, columns), columns, fields)
+    x, y = F.col("x"), F.col("y")
+    sd = F.stddev_pop(x)
+    return _per_feature(_pairs(a, b, columns), columns, [
+        F.avg(x).alias("mean_a"), F.avg(y).alias("mean_b"),
+        F.when(sd > 0, F.abs(F.avg(x) - F.avg(y)) / sd).alias("std_shift"), _corr(x, y).alias("corr")])
 
 
 def gates(report: DataFrame, drift_max: float = 3.0, min_corr: float = 0.30) -> DataFrame:
