@@ -444,7 +444,7 @@ def pooled_evidence(fitted: DataFrame, min_obs: float = 200.0, size: int = asof.
     reach = int(math.ceil(min_obs))
     placed = asof.numbered(fitted.select("x", "n", "k"), ["x"], "knot", size)
     knot = F.col("knot")
-    near = F.array_distinct(F.transform(F.array(knot - reach, knot, knot + reach), lambda i: F.floor(i / size).cast("bigint")))
+    near = F.sequence(F.floor((knot - reach) / size).cast("bigint"), F.floor((knot + reach) / size).cast("bigint"))
 
     def widen(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("knot")
