@@ -63,48 +63,71 @@ def first_use(submissions: DataFrame, column: str = "event_hash", watermark: str
     return submissions.withWatermark(time, watermark).dropDuplicatesWithinWatermark([column])
 
 
-ACCEPT_OUT = "user_hash string, seq bigint, ts timestamp, period int, accepted boolean"
-ACCEPT_STATE = "period int, ts bigint"
+ACCEPT_OUT = "user_hash string, seq bigint, no_seq boolean, ts timestamp, period int, accepted boolean"
+ACCEPT_STATE = "users array<string>, periods array<int>, times array<bigint>"
+PLACES = 4096
 
 
-def _in_time_order(frames: Iterator[pd.DataFrame], names: Sequence[str]) -> list[np.ndarray]:
-    """The numeric columns of a group as arrays in (ts, seq) order; ts in microseconds."""
-    parts: list[list[np.ndarray]] = [[] for _ in names]
+def _dealt(rows: DataFrame, key: str, places: int, *others: str) -> DataFrame:
+    """Rows by a hash of the key, for ``_in_key_order``. A missing seq sorts last and is marked, as one of them would turn
+    the numbers of a whole place into doubles."""
+    place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(places)).alias("place")
+    seq = F.coalesce(F.col("seq").cast("bigint"), F.lit(2**63 - 1)).alias("seq")
+    return rows.select(place, F.col(key).cast("string").alias(key), seq, F.col("seq").isNull().alias("no_seq"), "ts", *others)
+
+
+def _seq_back(df: DataFrame) -> DataFrame:
+    return df.withColumn("seq", F.when(~F.col("no_seq"), F.col("seq"))).drop("no_seq")
+
+
+def _in_key_order(frames: Iterator[pd.DataFrame], key: str, names: Sequence[str]) -> tuple[list, np.ndarray, dict[str, np.ndarray]]:
+    """Keys, each row's key number, and the columns of a place, in (key, ts, seq) order; ts in microseconds."""
+    parts: dict[str, list[np.ndarray]] = {name: [] for name in names}
+    texts: list[np.ndarray] = []
     for frame in frames:
-        for i, name in enumerate(names):
+        texts.append(frame[key].to_numpy())
+        for name in names:
             values = frame[name].to_numpy()
-            parts[i].append(values.astype("datetime64[us]").astype("int64") if name == "ts" else values)
-    columns = [np.concatenate(p) for p in parts]
-    place = np.lexsort((columns[names.index("seq")], columns[names.index("ts")]))
-    return [c[place] for c in columns]
+            parts[name].append(values.astype("datetime64[us]").astype("int64") if name == "ts" else values)
+    columns = {name: np.concatenate(p) for name, p in parts.items()}
+    codes, found = pd.factorize(np.concatenate(texts))
+    order = np.lexsort((columns["seq"], columns["ts"], codes))
+    # a row without a key has the number -1, the last in the list
+    return [*found.tolist(), None], codes[order], {name: c[order] for name, c in columns.items()}
 
 
-def _pieces(rows: dict, size: int = 100_000) -> Iterator[pd.DataFrame]:
+def _pieces(rows: dict[str, np.ndarray], size: int = 100_000) -> Iterator[pd.DataFrame]:
     """A long result in frames of bounded size."""
     n = len(rows["seq"])
     for a in range(0, n, size):
-        yield pd.DataFrame({k: v[a:a + size] if isinstance(v, np.ndarray) else v for k, v in rows.items()})
+        yield pd.DataFrame({k: v[a:a + size] for k, v in rows.items()})
 
 
 def _accept(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last_period, last_ts = state.get if state.exists else (-1, -(2**62))
-    seq, ts, period = _in_time_order(frames, ["seq", "ts", "period"])
-    verdicts = np.zeros(len(seq), dtype=bool)
-    for i in range(len(seq)):
-        if last_period < 0 or (period[i] > last_period and ts[i] >= last_ts + COOLDOWN_MICROS):
+    users, codes, rows = _in_key_order(frames, "user_hash", ["seq", "no_seq", "ts", "period"])
+    last = {u: (p, t) for u, p, t in zip(*state.get, strict=True)} if state.exists else {}
+    verdicts = np.zeros(len(codes), dtype=bool)
+    for i, (code, now, ts) in enumerate(zip(codes.tolist(), rows["period"].tolist(), rows["ts"].tolist(), strict=True)):
+        period, before = last.get(users[code], (-1, -(2**62)))
+        if period < 0 or (now > period and ts >= before + COOLDOWN_MICROS):
             verdicts[i] = True
-            last_period, last_ts = int(period[i]), int(ts[i])
+            last[users[code]] = (int(now), ts)
     if verdicts.any():
-        state.update((last_period, last_ts))
-    yield from _pieces({"user_hash": key[0], "seq": seq, "ts": ts.astype("datetime64[us]"), "period": period, "accepted": verdicts})
+        state.update((list(last), [p for p, _ in last.values()], [t for _, t in last.values()]))
+    yield from _pieces({"user_hash": np.array(users, dtype=object)[codes], "seq": rows["seq"], "no_seq": rows["no_seq"],
+                        "ts": rows["ts"].astype("datetime64[us]"), "period": rows["period"], "accepted": verdicts})
 
 
-def accept_per_user(submissions: DataFrame) -> DataFrame:
+def accept_per_user(submissions: DataFrame, places: int = PLACES) -> DataFrame:
     """Accept a submission if its period is newer than, and its time 28 days after, the last
-    accepted one of the user. A rejected submission changes nothing. The group a task sees is
-    one user's rows of one micro-batch; limit the trigger (files or bytes) to bound it."""
-    rows = submissions.select("user_hash", "seq", "ts", F.col("period").cast("int").alias("period"))
-    return rows.groupBy("user_hash").applyInPandasWithState(_accept, ACCEPT_OUT, ACCEPT_STATE, "append", GroupStateTimeout.NoTimeout)
+    accepted one of the user. A rejected submission changes nothing.
+
+    Users are dealt over ``places`` by a hash, and one call and one state serve all users of a place: a call each costs more
+    than their rows. The group a task sees is a place's rows of one micro-batch, and the state of a place that gets rows is
+    written anew; limit the trigger (files or bytes) or raise ``places`` to bound it. A checkpoint keeps its ``places``.
+    """
+    rows = _dealt(submissions, "user_hash", places, F.col("period").cast("int").alias("period"))
+    return _seq_back(rows.groupBy("place").applyInPandasWithState(_accept, ACCEPT_OUT, ACCEPT_STATE, "append", GroupStateTimeout.NoTimeout))
 
 
 def daily_usage(submissions: DataFrame, late: str | None = None) -> DataFrame:
@@ -133,26 +156,28 @@ def drain_updates(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return saved.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
 
 
-RATE_OUT = "req_key string, seq bigint, ts timestamp, allowed boolean"
-RATE_STATE = "hits array<bigint>"
+RATE_OUT = "req_key string, seq bigint, no_seq boolean, ts timestamp, allowed boolean"
+RATE_STATE = "req_keys array<string>, hits array<array<bigint>>"
 
 
-def rate_limit(hits: DataFrame, limit: int = 20, window_seconds: int = 3600) -> DataFrame:
+def rate_limit(hits: DataFrame, limit: int = 20, window_seconds: int = 3600, places: int = PLACES) -> DataFrame:
     """Allow at most ``limit`` hits per key and rolling window. Refused hits do not count, so
-    the state is the last ``limit`` allowed times and no more."""
+    the state is the last ``limit`` allowed times of a key and no more. Keys are dealt over ``places``, as in ``accept_per_user``."""
     width = window_seconds * 1_000_000
 
     def check(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
-        seq, ts = _in_time_order(frames, ["seq", "ts"])
-        allowed = np.zeros(len(seq), dtype=bool)
-        for i, now in enumerate(ts.tolist()):
-            kept = [t for t in kept if now - t < width]
+        names, codes, rows = _in_key_order(frames, "req_key", ["seq", "no_seq", "ts"])
+        last = {k: list(h) for k, h in zip(*state.get, strict=True)} if state.exists else {}
+        allowed = np.zeros(len(codes), dtype=bool)
+        for i, (code, now) in enumerate(zip(codes.tolist(), rows["ts"].tolist(), strict=True)):
+            kept = [t for t in last.get(names[code], ()) if now - t < width]
             if len(kept) < limit:
                 kept.append(now)
                 allowed[i] = True
-        state.update((kept,))
-        yield from _pieces({"req_key": key[0], "seq": seq, "ts": ts.astype("datetime64[us]"), "allowed": allowed})
+            last[names[code]] = kept
+        state.update((list(last), list(last.values())))
+        yield from _pieces({"req_key": np.array(names, dtype=object)[codes], "seq": rows["seq"], "no_seq": rows["no_seq"],
+                            "ts": rows["ts"].astype("datetime64[us]"), "allowed": allowed})
 
-    rows = hits.select("req_key", "seq", "ts")
-    return rows.groupBy("req_key").applyInPandasWithState(check, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = _dealt(hits, "req_key", places)
+    return _seq_back(rows.groupBy("place").applyInPandasWithState(check, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.NoTimeout))

@@ -169,3 +169,32 @@ def test_canonical_text_escapes_every_control_character(spark):
     text = "".join(map(chr, range(32))) + 'a"b\\c/\u00e9\u007f'
     got = spark.createDataFrame([(text,)], "t string").select(governance._json_text(F.col("t"))).first()[0]
     assert got == json.dumps(text, ensure_ascii=False)
+
+
+def test_stateful_rules_keep_one_state_for_many_keys(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i if i % 17 else None, start + dt.timedelta(days=i * 7 % 400, minutes=i), f"u{i % 40}" if i % 40 else None, 2024 * 12 + i * 7 % 400 // 30) for i in range(1, 800)]
+    # the second batch must go on from the state of the first
+    batches = sorted(rows, key=lambda r: r[1])[:400], sorted(rows, key=lambda r: r[1])[400:]
+    schema = "seq bigint, ts timestamp, user_hash string, period int"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    accepted, allowed, last, hits = [], [], {}, {}
+    for seq, ts, user, period in sorted(rows, key=lambda r: r[1]):
+        before = last.get(user)
+        ok = before is None or (period > before[0] and ts >= before[1] + dt.timedelta(days=28))
+        accepted.append((seq, user, ts, period, ok))
+        if ok:
+            last[user] = (period, ts)
+        kept = [t for t in hits.get(user, []) if ts - t < dt.timedelta(days=60)]
+        allowed.append((seq, user, ts, len(kept) < 2))
+        hits[user] = kept + [ts] * (len(kept) < 2)
+    limited = jobs.rate_limit(stream.withColumnRenamed("user_hash", "req_key"), 2, 60 * 24 * 3600, places=3)
+    for name, job, columns, want in (("accept", jobs.accept_per_user(stream, places=3), ["seq", "user_hash", "ts", "period", "accepted"], accepted),
+                                     ("limit", limited, ["seq", "req_key", "ts", "allowed"], allowed)):
+        query = jobs.append_to(job, str(tmp_path / name), str(tmp_path / f"{name}-checkpoint"))
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 3 and query.lastProgress["batchId"] == 1
+        got = spark.read.parquet(str(tmp_path / name)).select(columns).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
