@@ -151,12 +151,16 @@ def gates(report: DataFrame, drift_max: float = 3.0, min_corr: float = 0.30) ->
 def parity_breaks(a: DataFrame, b: DataFrame, columns: Sequence[str], cfg: Settings = DEFAULT) -> DataFrame:
     """(case_id, feature, a, b) wherever two matrices differ beyond the parity tolerance."""
     pairs = _pairs(a, b, columns)
-    long = pairs.select("case_id", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"a_{c}").alias("a"), F.col(f"b_{c}").alias("b")) for c in columns])).alias("p")).select("case_id", "p.*")
-    x, y = F.col("a"), F.col("b")
-    limit = F.greatest(F.lit(cfg.parity_abs_tol), cfg.parity_rel_tol * F.greatest(F.abs(x), F.abs(y)))
-    same = (x.isNull() & y.isNull()) | F.coalesce(F.abs(x - y) <= limit, F.lit(False))
-    return long.filter(~same)
+
+    def broken(c: str) -> Column:
+        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        limit = F.greatest(F.lit(cfg.parity_abs_tol), cfg.parity_rel_tol * F.greatest(F.abs(x), F.abs(y)))
+        same = (x.isNull() & y.isNull()) | F.coalesce(F.abs(x - y) <= limit, F.lit(False))
+        return F.when(~same, F.struct(F.lit(c).alias("feature"), x.alias("a"), y.alias("b")))
+
+    # Compared side by side first, so that only one column, not all of both matrices, goes through the explode.
+    breaks = pairs.select("case_id", F.array(*[broken(c) for c in columns]).alias("breaks"))
+    return breaks.select("case_id", F.explode("breaks").alias("p")).filter(F.col("p").isNotNull()).select("case_id", "p.*")
 
 
 def _moments(it: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterator[pa.RecordBatch]:

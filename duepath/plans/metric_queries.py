@@ -323,6 +323,8 @@ def rendered(spark, folder, names=ft.PARITY_NAMES):
     money = cyc.groupBy("case_id", "line_id").agg(F.max("instalment").alias("amount"))
     direct = ft.build(streams.cycles_as_payments(cyc), who, money.select("case_id", "amount"), fx.balances(spark, folder), names)
     txns, mandates = streams.cycles_as_transactions(cyc, who)
+    # Both are read several times, and numbering the lines sorts all cycles.
+    txns, mandates = cut_lineage(txns, "feed"), cut_lineage(mandates, "feed-mandates")
     feed = ft.build(streams.history_from_transactions(txns, mandates), who, mandates.select("case_id", "amount"), fx.balances(spark, folder), names)
     return feed, direct
 
